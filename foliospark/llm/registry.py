@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.llm import token_counts
+from foliospark.llm import decontamination, token_counts, warc
 
-MODULES = [token_counts]
+MODULES = [decontamination, warc, token_counts]
 
 
 def queries() -> dict:
