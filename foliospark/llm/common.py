@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,7 +44,19 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._stored_at = path
+    return got
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes stored tables that nothing needs any more, and lets Spark's cleaner drop the
+    shuffle files of finished steps: it does so when the driver collects its garbage."""
+    for t in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def words_of(text: str | None) -> list[bytes]:
