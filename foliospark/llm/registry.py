@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontamination, suffix_array, token_counts, warc
+from foliospark.llm import decontamination, packing, suffix_array, token_counts, warc
 
-MODULES = [decontamination, warc, suffix_array, token_counts]
+MODULES = [decontamination, packing, warc, suffix_array, token_counts]
 
 
 def queries() -> dict:
