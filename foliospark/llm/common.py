@@ -120,29 +120,45 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     )
 
 
-def groups_of(batches, key: list[str]):
-    """Whole groups of consecutive rows with equal key from Arrow batches that are sorted by it."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def whole_groups(batches, key: tuple[str, ...]):
+    """Arrow tables of whole groups from batches sorted by key: what may go on in the next
+    batch waits for it. Groups must be bounded by the caller."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(batch.schema.get_field_index(k)) for k in key]
-        change = np.zeros(batch.num_rows, bool)
-        for c in cols:
-            v = c.to_numpy(zero_copy_only=False)
-            change[1:] |= v[1:] != v[:-1]
-        cuts = np.flatnonzero(change).tolist()
-        first = tuple(c[0].as_py() for c in cols)
-        lo = 0
-        if held and first != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        for hi in cuts:
-            part = batch.slice(lo, hi - lo)
-            yield pa.Table.from_batches([*held, part])
-            held, lo = [], hi
-        held.append(batch.slice(lo))
-        last = tuple(c[-1].as_py() for c in cols)
-    if held:
-        yield pa.Table.from_batches(held)
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        same = np.ones(t.num_rows, bool)
+        for k in key:
+            v = t.column(k).to_numpy()
+            same &= v == v[-1]
+        cut = t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node that links (i, j) reach."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def in_blocks(df: DataFrame, group: str, member: str, chunks) -> DataFrame:
+    """Rows of each group dealt into blocks (x, y) with 0 <= x <= y < chunks: a row of chunk x
+    goes to each block that has x, so any two rows of a group meet in exactly one block of
+    their two chunks, and in no block stand more rows than in two chunks. The column `chunk`
+    tells a row's own; a group of one chunk stays as it is."""
+    own = F.pmod(F.xxhash64(member), chunks).cast("int")
+    with_own = df.withColumn("chunk", own).withColumn("__n", chunks.cast("int"))
+    dealt = with_own.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return dealt.withColumn("x", F.least("chunk", "__o")).withColumn("y", F.greatest("chunk", "__o")).drop("__n", "__o")
