@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontamination, jaccard, language_id, packing, suffix_array, token_counts, warc
+from foliospark.llm import decontamination, embedding_dedup, jaccard, language_id, packing, suffix_array, token_counts, url_rules, warc
 
-MODULES = [language_id, jaccard, decontamination, packing, warc, suffix_array, token_counts]
+MODULES = [embedding_dedup, url_rules, language_id, jaccard, decontamination, packing, warc, suffix_array, token_counts]
 
 
 def queries() -> dict:
