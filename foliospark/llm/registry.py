@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontamination, embedding_dedup, jaccard, language_id, packing, suffix_array, token_counts, url_rules, warc
+from foliospark.llm import decontamination, embedding_dedup, html_wrappers, jaccard, language_id, packing, suffix_array, token_counts, url_rules, warc
 
-MODULES = [embedding_dedup, url_rules, language_id, jaccard, decontamination, packing, warc, suffix_array, token_counts]
+MODULES = [embedding_dedup, url_rules, html_wrappers, language_id, jaccard, decontamination, packing, warc, suffix_array, token_counts]
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
