@@ -16,11 +16,16 @@ from foliospark.llm.suffix_array import remove_repeats
 PASSAGE_BYTES = 250
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """The rows as one struct beside the text, so that no extra column clashes with a result."""
+    return docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; lang becomes the one that was found. Null texts, texts
     without letters and those beyond their language's calibrated cross-entropy go."""
-    got = identify(docs, train(docs), keep=tuple(docs.columns))
-    return got.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    got = identify(_whole(docs), train(docs), "__text", keep=("__row",)).where(~F.col("rejected"))
+    return got.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +36,15 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of PASSAGE_BYTES bytes or more that occur anywhere else."""
-    got = remove_repeats(docs, size=PASSAGE_BYTES, keep=tuple(docs.columns))
-    return got.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(docs.columns)
+    got = remove_repeats(_whole(docs), "__text", PASSAGE_BYTES, keep=("__row",))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return got.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a twentieth of their words in benchmark windows."""
-    got = contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), with_spans=False)
-    return got.where(~F.col("contaminated")).select(docs.columns)
+    got = contamination(_whole(docs), table(spark, sf_dir, "benchmark"), "__text", keep=("__row",), with_spans=False)
+    return got.where(~F.col("contaminated")).select("__row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

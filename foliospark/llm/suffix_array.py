@@ -251,9 +251,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, k
     have no such string and stay whole. Rows are told apart by a 64-bit hash of all kept
     columns and the text; rows with equal hashes are equal and so are their results.
     """
-    key = F.xxhash64(*[F.col(c) for c in keep], F.col(text)).alias("key")
-    mine = docs.select(*[F.col(c) for c in keep], key, F.col(text).alias("text"))
-    spans = repeated_spans(mine.select("key", "text"), size)
+    key = F.xxhash64(*[F.col(c) for c in keep], F.col(text)).alias("__key")
+    mine = docs.select(*[F.col(c) for c in keep], key, F.col(text).alias("__text"))
+    spans = repeated_spans(mine.select(F.col("__key").alias("key"), F.col("__text").alias("text")), size).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     schema = T.StructType(
         [docs.schema[c] for c in keep]
         + [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
@@ -272,7 +272,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, k
             cols = [pa.array(rows[i], pa.int64()) for i in range(3)] + [pa.array(rows[i], pa.string()) for i in range(3, 5)][: 1 + with_text]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=schema.names)
 
-    joined = mine.join(spans, "key", "left").select(*[F.col(c) for c in keep], "text", "spans")
+    joined = mine.join(spans, "__key", "left").select(*[F.col(c) for c in keep], "__text", "__spans")
     return joined.mapInArrow(run, schema)
 
 
