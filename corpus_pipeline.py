@@ -17,15 +17,21 @@ PASSAGE_BYTES = 250
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """The rows as one struct beside the text, so that no extra column clashes with a result."""
-    return docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))
+    """The other columns as one struct beside the text, so that no extra column clashes with a
+    result."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"), F.col("text").alias("__text"))
+
+
+def _again(docs: DataFrame, got: DataFrame, **new) -> DataFrame:
+    """The columns of docs from what an operator made of `_whole(docs)`."""
+    return got.select(*[new[c].alias(c) if c in new else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; lang becomes the one that was found. Null texts, texts
     without letters and those beyond their language's calibrated cross-entropy go."""
-    got = identify(_whole(docs), train(docs), "__text", keep=("__row",)).where(~F.col("rejected"))
-    return got.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col("__row")[c].alias(c) for c in docs.columns])
+    got = identify(_whole(docs), train(docs), "__text", keep=("__row", "__text")).where(~F.col("rejected"))
+    return _again(docs, got, text=F.col("__text"), lang=F.col("lang_pred"))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +43,13 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of PASSAGE_BYTES bytes or more that occur anywhere else."""
     got = remove_repeats(_whole(docs), "__text", PASSAGE_BYTES, keep=("__row",))
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return got.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
+    return _again(docs, got, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a twentieth of their words in benchmark windows."""
-    got = contamination(_whole(docs), table(spark, sf_dir, "benchmark"), "__text", keep=("__row",), with_spans=False)
-    return got.where(~F.col("contaminated")).select("__row.*")
+    got = contamination(_whole(docs), table(spark, sf_dir, "benchmark"), "__text", keep=("__row", "__text"), with_spans=False)
+    return _again(docs, got.where(~F.col("contaminated")), text=F.col("__text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
