@@ -1 +1 @@
-"""foliospark"""
+"""Document-extraction analytics as Spark jobs."""

@@ -1 +1 @@
-"""foliospark"""
+"""Column functions on text and JSON."""

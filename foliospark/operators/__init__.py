@@ -1 +1 @@
-"""foliospark"""
+"""DataFrame operators: layout, blocks, tables, runs, paired comparison, gates, runner."""

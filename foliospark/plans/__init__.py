@@ -1 +1 @@
-"""foliospark"""
+"""Registered queries and their SQL twins."""

@@ -1 +1 @@
-"""foliospark"""
+"""Readers and writers of the file shapes that extraction runs leave behind."""

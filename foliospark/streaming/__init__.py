@@ -1 +1 @@
-"""foliospark"""
+"""Empty on purpose: all inputs are complete files or tables, so there is nothing to stream."""
