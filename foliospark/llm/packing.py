@@ -6,6 +6,7 @@ import base64
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ def token_ids(texts: pa.Array, tokenizer: str, ranks: str) -> tuple[np.ndarray,
     ids += [whole.encode(texts[i].as_py(), add_special_tokens=False).ids if odd[i] else encode(firsts[i]) for i in range(len(texts))]
     codes[starts[:-1]] = len(words) + np.arange(len(texts))
     size = np.fromiter(map(len, ids), np.int64, len(ids))
-    pool = np.concatenate([np.asarray(x, np.uint32) for x in (sum(ids[k : k + 4096], []) for k in range(0, len(ids), 4096))]) if ids else np.zeros(0, np.uint32)
+    pool = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
     at = np.cumsum(size) - size
     n = size[codes]
     ends = np.cumsum(n)
