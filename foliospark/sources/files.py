@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Image extensions that runs accept.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
+CSV = {"header": "true", "escape": '"', "nullValue": "\\N", "emptyValue": ""}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,11 +72,11 @@ def empty_traces(spark: SparkSession, folder: str) -> DataFrame:
     return files.join(trace_events(spark, folder).select("page"), "page", "left_anti")
 
 
-def component_samples(spark: SparkSession, folder: str, glob: str, component: str, metric: str) -> DataFrame:
+def component_samples(spark: SparkSession, folder: str, glob: str, component: str, metric: str, multi_line: bool = True) -> DataFrame:
     """Scorer samples (component, img_id, gt_idx, gt_position, gt, pred, score) of result files: a
-    top-level list of objects a file. Lists of one index become the index."""
+    list of objects a file, or an object a line. Lists of one index become the index."""
     schema = f"img_id string, gt_idx string, gt_position string, gt string, pred string, metric struct<`{metric}`: double>"
-    rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", glob).option("mode", "FAILFAST").json(folder)
+    rows = spark.read.schema(schema).option("multiLine", multi_line).option("pathGlobFilter", glob).option("mode", "FAILFAST").json(folder)
     index = F.regexp_replace("gt_idx", r"^\[([^,\]]*)\]$", "$1")
     return rows.select(F.lit(component).alias("component"), "img_id", index.alias("gt_idx"), "gt_position", "gt", "pred", F.col(f"metric.{metric}").alias("score"))
 
@@ -128,8 +129,12 @@ def write_json(rows: DataFrame, folder: str) -> None:
 
 
 def write_csv(rows: DataFrame, folder: str, columns: list[str]) -> None:
-    """CSV with a header and a fixed order of columns."""
-    rows.select(*columns).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
+    """CSV with a header and a fixed order of columns; \\N is null, so that empty texts stay."""
+    rows.select(*columns).write.options(**CSV).option("quoteAll", True).csv(folder)
+
+
+def read_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.options(**CSV).schema(schema).csv(folder)
 
 
 def write_page_texts(rows: DataFrame, folder: str, page: str = "page", text: str = "markdown") -> None:
