@@ -19,7 +19,7 @@ PASSAGE_BYTES = 250
 def _whole(docs: DataFrame) -> DataFrame:
     """The other columns as one struct beside the text, so that no extra column clashes with a
     result."""
-    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"), F.col("text").alias("__text"))
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"), F.col("text").alias("__body"))
 
 
 def _again(docs: DataFrame, got: DataFrame, **new) -> DataFrame:
@@ -30,26 +30,30 @@ def _again(docs: DataFrame, got: DataFrame, **new) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; lang becomes the one that was found. Null texts, texts
     without letters and those beyond their language's calibrated cross-entropy go."""
-    got = identify(_whole(docs), train(docs), "__text", keep=("__row", "__text")).where(~F.col("rejected"))
-    return _again(docs, got, text=F.col("__text"), lang=F.col("lang_pred"))
+    got = identify(_whole(docs), train(docs), "__body", keep=("__row", "__body")).where(~F.col("rejected"))
+    return _again(docs, got, text=F.col("__body"), lang=F.col("lang_pred"))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group that Jaccard links make up."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document, that of the least id, of each group that Jaccard links make up. Rows without
+    an id are known by their text and stand behind all that have one; of rows with one id and
+    text one stays."""
+    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    known = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    kept = near_duplicates(known, "__id").where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return known.join(kept, "__id", "left_semi").dropDuplicates(["__id", "text"]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of PASSAGE_BYTES bytes or more that occur anywhere else."""
-    got = remove_repeats(_whole(docs), "__text", PASSAGE_BYTES, keep=("__row",))
+    got = remove_repeats(_whole(docs), "__body", PASSAGE_BYTES, keep=("__row",))
     return _again(docs, got, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a twentieth of their words in benchmark windows."""
-    got = contamination(_whole(docs), table(spark, sf_dir, "benchmark"), "__text", keep=("__row", "__text"), with_spans=False)
-    return _again(docs, got.where(~F.col("contaminated")), text=F.col("__text"))
+    got = contamination(_whole(docs), table(spark, sf_dir, "benchmark"), "__body", keep=("__row", "__body"), with_spans=False)
+    return _again(docs, got.where(~F.col("contaminated")), text=F.col("__body"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import table, words_of
+from foliospark.llm.common import stored, table, words_of
 
 WINDOW = 13
 #: A benchmark of at most so many words makes one automaton, which every task holds (a node a
@@ -174,7 +174,8 @@ def contamination_join(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW
 ) -> DataFrame:
     """`contamination` without spans for a benchmark of any size: a join on whole windows."""
-    rows = docs.select(*[F.col(c) for c in keep], _words(F.coalesce(F.col(text), F.lit(""))).alias("__w"), F.monotonically_increasing_id().alias("__row"))
+    # numbered in a table, as a number given again could fall on another row
+    rows = stored(docs.select(*[F.col(c) for c in keep], _words(F.coalesce(F.col(text), F.lit(""))).alias("__w"), F.monotonically_increasing_id().alias("__row")), "words")
     b = benchmark.select(F.col(item_id).alias("item"), _words(F.col(item_text)).alias("w")).where("item IS NOT NULL AND size(w) > 0")
     runs = b.select(
         "item",
