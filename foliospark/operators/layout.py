@@ -7,7 +7,7 @@ width and height. Everything is partitioned by page_id.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -159,28 +159,58 @@ def suppress_contained(boxes: DataFrame, modes: dict[int, str] | None = None, sh
     return boxes.join(gone.distinct(), ["page_id", "box_idx"], "left_anti")
 
 
+def _page_by_page(boxes: DataFrame, order: list, columns: tuple[str, ...], pick, rank: str | None = None) -> DataFrame:
+    """Rows of each page that `pick` chooses, in its order; pick gets the page's columns as arrays,
+    in `order`. Pages are dealt by a hash and sorted in their partitions, and a task goes through
+    them batch by batch: a page's rows stand together, many pages share a batch."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema) + (f", {rank} int" if rank else "")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch] if held is None else [*held, batch]).combine_chunks()
+            page = t.column("page_id").to_numpy()
+            cuts = [0, *(np.flatnonzero(page[1:] != page[:-1]) + 1).tolist()] if len(page) else [0]
+            yield from chosen(t, cuts)
+            held = t.slice(cuts[-1]).to_batches() or None
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from chosen(t, [0, t.num_rows])
+
+    def chosen(t, cuts):
+        arrays = [t.column(c).to_numpy() for c in columns]
+        picked = [lo + pick(*(a[lo:hi] for a in arrays)) for lo, hi in zip(cuts, cuts[1:])]
+        if picked:
+            out = t.take(pa.array(np.concatenate(picked)))
+            if rank:
+                out = out.append_column(rank, pa.array(np.concatenate([np.arange(1, len(p) + 1, dtype=np.int32) for p in picked])))
+            yield from out.combine_chunks().to_batches()
+
+    return boxes.repartition("page_id").sortWithinPartitions("page_id", *order).mapInArrow(run, schema)
+
+
 def nms(boxes: DataFrame, same: float = 0.6, different: float = 0.98) -> DataFrame:
     """Greedy suppression by score within each page: a box stays if its pixel IoU with every
     better box that stayed is below the limit for equal or different classes. Ties go to the
     later box. nms_rank counts the survivors in score order."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema) + ", nms_rank int"
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_idx"], ascending=False, ignore_index=True)
-        v = pdf[list(BOX)].to_numpy(float)
-        size = (v[:, 2] - v[:, 0] + 1) * (v[:, 3] - v[:, 1] + 1)
-        cls, alive = pdf["cls_id"].to_numpy(), np.ones(len(pdf), bool)
-        for i in range(len(pdf)):
+
+    def pick(cls, x1, y1, x2, y2):
+        n = len(cls)
+        if n == 1:
+            return np.zeros(1, np.int64)
+        x1, y1, x2, y2 = (v.astype(float) for v in (x1, y1, x2, y2))
+        size = (x2 - x1 + 1) * (y2 - y1 + 1)
+        w = np.minimum(x2[:, None], x2) - np.maximum(x1[:, None], x1) + 1
+        h = np.minimum(y2[:, None], y2) - np.maximum(y1[:, None], y1) + 1
+        both = np.maximum(w, 0) * np.maximum(h, 0)
+        beats = both / (size[:, None] + size - both) >= np.where(cls[:, None] == cls, same, different)
+        alive = np.ones(n, bool)
+        for i in range(n - 1):
             if alive[i]:
-                w = np.minimum(v[i, 2], v[i + 1 :, 2]) - np.maximum(v[i, 0], v[i + 1 :, 0]) + 1
-                h = np.minimum(v[i, 3], v[i + 1 :, 3]) - np.maximum(v[i, 1], v[i + 1 :, 1]) + 1
-                both = np.maximum(w, 0) * np.maximum(h, 0)
-                iou = both / (size[i] + size[i + 1 :] - both)
-                alive[i + 1 :] &= iou < np.where(cls[i + 1 :] == cls[i], same, different)
-        pdf = pdf[alive].reset_index(drop=True)
-        return pdf.assign(nms_rank=np.arange(1, len(pdf) + 1, dtype=np.int32))
+                alive[i + 1 :] &= ~beats[i, i + 1 :]
+        return np.flatnonzero(alive)
 
-    return boxes.groupBy("page_id").applyInPandas(page, schema)
+    return _page_by_page(boxes, [F.desc("score"), F.desc("box_idx")], ("cls_id", *BOX), pick, "nms_rank")
 
 
 def greedy_overlap_filter(boxes: DataFrame) -> DataFrame:
@@ -189,17 +219,17 @@ def greedy_overlap_filter(boxes: DataFrame) -> DataFrame:
     0.7 the smaller goes (the later of equals), but different labels with a visual one among
     them both stay, unless one is a table and the other isn't visual."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("box_idx", ignore_index=True)
-        v, labels = pdf[list(BOX)].to_numpy(float), pdf["label"].tolist()
-        size = np.maximum(v[:, 2] - v[:, 0], 0) * np.maximum(v[:, 3] - v[:, 1], 0)
-        w = np.minimum(v[:, None, 2], v[None, :, 2]) - np.maximum(v[:, None, 0], v[None, :, 0])
-        h = np.minimum(v[:, None, 3], v[None, :, 3]) - np.maximum(v[:, None, 1], v[None, :, 1])
-        least = np.minimum(size[:, None], size[None, :])
-        ratio = np.where(least > 0, np.maximum(w, 0) * np.maximum(h, 0) / np.where(least > 0, least, 1), 0)
-        alive = np.ones(len(pdf), bool)
-        for i in range(len(pdf)):
-            alive[i] &= v[i, 2] - v[i, 0] >= 6 and v[i, 3] - v[i, 1] >= 6
+    def pick(labels, x1, y1, x2, y2):
+        x1, y1, x2, y2 = (v.astype(float) for v in (x1, y1, x2, y2))
+        size = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+        w = np.minimum(x2[:, None], x2) - np.maximum(x1[:, None], x1)
+        h = np.minimum(y2[:, None], y2) - np.maximum(y1[:, None], y1)
+        least = np.minimum(size[:, None], size)
+        ratio = np.maximum(w, 0) * np.maximum(h, 0) / np.where(least > 0, least, 1)
+        alive = np.ones(len(labels), bool)
+        for i in range(len(labels)):
+            # a tiny box goes when its turn comes
+            alive[i] &= bool(x2[i] - x1[i] >= 6 and y2[i] - y1[i] >= 6)
             for j in i + 1 + np.flatnonzero(ratio[i, i + 1 :] > 0.5):
                 if not (alive[i] and alive[j]):
                     continue
@@ -211,9 +241,9 @@ def greedy_overlap_filter(boxes: DataFrame) -> DataFrame:
                     both_stay = len(kinds) > 1 and kinds & set(VISUAL) and ("table" not in kinds or kinds <= set(VISUAL))
                     if not both_stay:
                         alive[j if size[i] >= size[j] else i] = False
-        return pdf[alive]
+        return np.flatnonzero(alive)
 
-    return boxes.where(F.coalesce(F.col("label") != "reference", F.lit(True))).groupBy("page_id").applyInPandas(page, boxes.schema)
+    return _page_by_page(boxes.where(F.coalesce(F.col("label") != "reference", F.lit(True))), ["box_idx"], ("label", *BOX), pick)
 
 
 def numbered(rows: DataFrame, skip: Column, order: str, name: str = "order") -> DataFrame:

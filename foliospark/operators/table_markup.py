@@ -20,24 +20,24 @@ def _lines(text: Column) -> Column:
     return F.filter(cut, lambda cells: F.size(cells) > 0)
 
 
-def squared(text: Column) -> Column:
-    """Rows of raw cells at one width: of the widths from the last full cell to the longest row
-    the smallest with the least sum of differences; longer rows are cut, shorter filled with
-    empty cells. Text without a row end is one row."""
-    rows = _lines(text)
+def squared(tables: DataFrame, text: str = "text", key: str = "table_id") -> DataFrame:
+    """(key, rows): rows of raw cells at one width, of the widths from the last full cell to the
+    longest row the smallest with the least sum of differences; longer rows are cut, shorter
+    ones filled with empty cells. Text without a row end is one row; without a cell, none."""
+    cut = tables.select(key, F.col(text).contains("<nl>").alias("ends"), _lines(F.col(text)).alias("rows")).where(F.size("rows") > 0)
     # place of the last full cell, counted from 1; 0 where there is none
     full = lambda cells: F.array_max(F.transform(cells, lambda x, i: F.when(x.startswith("<fcel>"), i + 1).otherwise(0)))
-    low = F.array_max(F.transform(rows, full))
-    high = F.greatest(low, F.array_max(F.transform(rows, F.size)))
-    cost = lambda w: F.aggregate(rows, F.lit(0), lambda n, cells: n + F.abs(F.size(cells) - w))
-    width = F.array_min(F.transform(F.sequence(low, high), lambda w: F.struct(cost(w).alias("cost"), w.alias("w"))))["w"]
-    even = F.transform(rows, lambda cells: F.slice(F.concat(cells, F.array_repeat(F.lit("<ecel>"), width)), F.lit(1), width))
-    return F.when(F.size(rows) > 0, F.when(text.contains("<nl>"), even).otherwise(rows))
+    sized = cut.withColumns({"sizes": F.transform("rows", F.size), "low": F.array_max(F.transform("rows", full))})
+    cost = lambda w: F.aggregate("sizes", F.lit(0), lambda n, size: n + F.abs(size - w))
+    widths = F.sequence("low", F.greatest("low", F.array_max("sizes")))
+    wide = sized.withColumn("width", F.array_min(F.transform(widths, lambda w: F.struct(cost(w).alias("cost"), w.alias("w"))))["w"])
+    even = F.transform("rows", lambda cells: F.slice(F.concat(cells, F.array_repeat(F.lit("<ecel>"), F.col("width"))), F.lit(1), F.col("width")))
+    return wide.select(key, F.when(F.col("ends"), even).otherwise(F.col("rows")).alias("rows"))
 
 
 def cells(tables: DataFrame, text: str = "text", key: str = "table_id") -> DataFrame:
     """(key, r, c, tag, text) of every cell of the squared table; text only in full cells."""
-    rows = tables.select(key, squared(F.col(text)).alias("rows")).select(key, F.posexplode("rows").alias("r", "row")).select(key, "r", F.posexplode("row").alias("c", "cell"))
+    rows = squared(tables, text, key).select(key, F.posexplode("rows").alias("r", "row")).select(key, "r", F.posexplode("row").alias("c", "cell"))
     tag = F.regexp_extract("cell", "^<(....)>", 1)
     return rows.select(key, "r", "c", tag.alias("tag"), F.when(tag == "fcel", strip(F.substring("cell", 7, 1 << 30))).otherwise("").alias("text"))
 

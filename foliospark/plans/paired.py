@@ -196,7 +196,7 @@ def strict(s, d):
 
 def reports(s, d):
     a, b = (P.slice_means(t.withColumn("score", F.col("score")), "score", ["component"]).select(F.col("slice").alias("metric"), F.col("mean").alias("value")) for t in samples(s, d))
-    return G.report_agreement(a, b, 3).select("metric", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+    return G.report_agreement(a, b, 3).select("metric", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
 def log_rows(s, d):
@@ -363,7 +363,7 @@ SELECT case_id, coalesce('b' || min(CASE WHEN seen AND a - b > 0 THEN ord END),
     "g6_stored_decision": oracle(f"WITH c AS ({_sub(_G3, 'runs')}) SELECT \"check\", true AS stored, passed AS recomputed FROM c WHERE NOT passed"),
     "g7_component_gate": oracle(f"WITH o AS (SELECT count(*) FILTER (CASE WHEN r.component = 'table' THEN c.v > r.v ELSE c.v < r.v END) AS worse, 0 AS missing, round(avg(CASE WHEN r.component = 'table' THEN 1 - c.v ELSE c.v END * 100), 6) AS overall FROM ({_PAGES(REF)}) r JOIN ({_PAGES(CAND)}) c USING (component)), c AS ({_ROW('no component worse', 'worse = 0', 'worse', 0)} UNION ALL {_ROW('all components there', 'missing = 0', 'missing', 0)} UNION ALL {_ROW('overall', 'overall >= 90', 'overall', '90.0')}) {_VERDICT}"),
     "g8_strict_verdict": oracle(f"WITH {_TRACE}, r AS (SELECT CASE WHEN ref_raw_result IS NULL OR cand_raw_result IS NULL THEN 'unobservable' WHEN ref_raw_result = cand_raw_result THEN 'equal' ELSE 'different' END AS x FROM j) SELECT count(*) FILTER (x = 'equal') AS equal, count(*) FILTER (x = 'different') AS different, count(*) FILTER (x = 'unobservable') AS unobservable, count(*) AS total, CASE WHEN count(*) FILTER (x = 'different') > 0 THEN 'FAIL' WHEN count(*) FILTER (x = 'unobservable') > 0 OR count(*) = 0 THEN 'UNKNOWN' ELSE 'PASS' END AS verdict FROM r"),
-    "g9_report_agreement": oracle("WITH a AS (SELECT 'ALL' AS metric, avg(score) AS a FROM {v_samples_ref} UNION ALL SELECT 'component: ' || component, avg(score) FROM {v_samples_ref} GROUP BY component), b AS (SELECT 'ALL' AS metric, avg(score) AS b FROM {v_samples_cand} UNION ALL SELECT 'component: ' || component, avg(score) FROM {v_samples_cand} GROUP BY component) SELECT metric, round(a, 6) AS a, round(b, 6) AS b FROM a JOIN b USING (metric) WHERE round(a, 3) <> round(b, 3)"),
+    "g9_report_agreement": oracle("WITH a AS (SELECT 'ALL' AS metric, avg(score) AS a FROM {v_samples_ref} UNION ALL SELECT 'component: ' || component, avg(score) FROM {v_samples_ref} GROUP BY component), b AS (SELECT 'ALL' AS metric, avg(score) AS b FROM {v_samples_cand} UNION ALL SELECT 'component: ' || component, avg(score) FROM {v_samples_cand} GROUP BY component) SELECT metric, round(a, 4) AS a, round(b, 4) AS b FROM a JOIN b USING (metric) WHERE round(a, 3) <> round(b, 3)"),
     "g10_result_table": "SELECT source, round(avg(n_chars) / 100, 2) AS overall, source = 'src7' AS is_primary FROM documents GROUP BY source",
     "g11_log_gate": """
 WITH h AS (SELECT conv_id * 1000 + turn AS pos, role AS command, CAST(turn % 3 AS INT) AS exit_code FROM conversations),
