@@ -99,7 +99,7 @@ QUERIES = {
 _TO_LABEL = f"({_LABELS})[cls_id + 1]"
 _PROMPT = lambda extra: f"""CASE WHEN label IN {_in(L.IMAGES)} THEN NULL {extra} WHEN contains(label, 'formula') AND label <> 'formula_number' THEN 'Formula Recognition:'
   WHEN label = 'table' THEN 'Table Recognition:' WHEN label = 'chart' THEN 'Chart Recognition:' WHEN label = 'seal' THEN 'Seal Recognition:' WHEN label = 'spotting' THEN 'Spotting:' ELSE 'OCR:' END"""
-_NUMBER = lambda skip: f"SELECT page_id, box_idx, label, CASE WHEN label NOT IN {_in(skip)} THEN sum(CASE WHEN label NOT IN {_in(skip)} THEN 1 END) OVER (PARTITION BY page_id ORDER BY box_idx ROWS UNBOUNDED PRECEDING) END AS \"order\" FROM (SELECT *, {_TO_LABEL} AS label FROM {{v_boxes}})"
+_NUMBER = lambda skip: f"SELECT page_id, box_idx, label, CASE WHEN label NOT IN {_in(skip)} THEN CAST(sum(CASE WHEN label NOT IN {_in(skip)} THEN 1 END) OVER (PARTITION BY page_id ORDER BY box_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS \"order\" FROM (SELECT *, {_TO_LABEL} AS label FROM {{v_boxes}})"
 _EVEN = lambda c: f"CAST(CASE WHEN {c} % 2 = 0 THEN {c} ELSE {c} + 1 END AS INT) AS {c}"  # noqa: E731  c + 0.5, half to even
 _HELD = f"SELECT a.page_id, a.box_idx AS inner_idx, a.cls_id AS inner_cls, b.box_idx AS outer_idx, b.cls_id AS outer_cls FROM {{v_boxes}} a JOIN {{v_boxes}} b ON a.page_id = b.page_id AND a.box_idx <> b.box_idx WHERE {_AREA('a')} > 0 AND {_INTER} / {_AREA('a')} >= 0.9"
 
