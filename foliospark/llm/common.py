@@ -59,6 +59,17 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows that a task works on at once: an Arrow batch holds up to 10,000 of them.
+ROWS = 2000
+
+
+def small(batches):
+    """The batches in slices of ROWS rows, which bounds what a task holds beside the batch."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of [0-9a-z] and of any non-ASCII letters, after A-Z are lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
@@ -98,7 +109,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     before = tally(cur)
     while before[0]:
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # stored, so that the join has two plain exchanges and Spark can split a hub's rows
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b")
         # in small-star every node b takes its smaller neighbours and itself to the least of them
         down = large.distinct()

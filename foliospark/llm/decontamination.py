@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import stored, table, words_of
+from foliospark.llm.common import small, stored, table, words_of
 
 WINDOW = 13
 #: A benchmark of at most so many words makes one automaton, which every task holds (a node a
@@ -146,7 +146,7 @@ def contamination(
 
     def run(batches):
         tree = Automaton(held.value, window)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.num_columns - 1)
             n_words, n_hit, found, flags = tree.scan(texts)
             cols = [

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import components, forest, in_blocks, mix, normal_words, release, stored, table, whole_groups
+from foliospark.llm.common import components, forest, in_blocks, mix, normal_words, release, small, stored, table, whole_groups
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -75,7 +75,7 @@ def signatures(values: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 
 def _digests(k: int, words: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             values, starts = shingles(batch.column(1), words)
             full = np.flatnonzero(np.diff(starts))
             if not len(full):

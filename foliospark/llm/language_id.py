@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import mix, table
+from foliospark.llm.common import mix, small, table
 
 ORDER = 5
 #: Models are fitted on about so many training documents a language, drawn by a hash of the text.
@@ -182,7 +182,7 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     order = ORDER
 
     def count(batches):
-        for batch in batches:
+        for batch in small(batches):
             lang = batch.column(1).to_numpy(zero_copy_only=False)
             for g in set(lang):
                 words, codes, _ = chunks(batch.column(0).filter(pa.array(lang == g)))
@@ -206,7 +206,7 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def calibrate(batches):
-        for batch in batches:
+        for batch in small(batches):
             entropy, letters, best = held.value.judge(batch.column(0))
             mine = np.array([held.value.langs.index(x) if x in held.value.langs else -1 for x in batch.column(1).to_pylist()], int)
             good = (best == mine) & (best >= 0)
@@ -239,7 +239,7 @@ def identify(docs: DataFrame, models: Models | None, text: str = "text", keep: t
 
     def run(batches):
         m = held.value
-        for batch in batches:
+        for batch in small(batches):
             entropy, n, best = m.judge(batch.column(batch.num_columns - 1))
             pick = np.maximum(best, 0)
             row = np.arange(len(best))

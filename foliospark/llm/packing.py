@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import stored, table
+from foliospark.llm.common import small, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The same vocabulary as ranks: tiktoken gives the same ids for a word in a tenth of the time.
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), capaci
 
     def cut(batches):
         turn = 0
-        for batch in batches:
+        for batch in small(batches):
             ids, bounds = token_ids(batch.column(batch.num_columns - 1), *paths)
             doc, piece, start, length, crc = [], [], [], [], []
             for i in range(batch.num_rows):

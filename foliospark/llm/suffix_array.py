@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import mix, release, stored, table
+from foliospark.llm.common import mix, release, small, stored, table
 
 MIN_BYTES = 400
 #: Bytes that are worked on at once, whatever the length of a text.
@@ -92,7 +92,7 @@ def _compress(batches):
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in small(batches):
         packed = pa.array([squeeze.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(batch.num_columns - 1)], pa.binary())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
 
@@ -230,14 +230,15 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
     alone = stored(runs.where("reps = 0").select("key", F.struct("s", (F.col("n") + size - 1).alias("n")).alias("span")), "spans")
     release(spark, runs)
     ctx = stored(cand.groupBy("k", "c").agg(F.sum("reps").alias("reps"), F.min(F.struct("key", "s", "n")).alias("r")), "contexts")
-    contested = ctx.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k")
+    # stored, so that the join has two plain exchanges and Spark can split the rows of a common k
+    contested = stored(ctx.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "contested")
     asked = ctx.join(contested, "k", "left_semi").groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("r.s", "r.n")).alias("asked"))
     wholly = stored(cand.join(ctx.where("reps > 1").select("k", "c"), ["k", "c"], "left_semi").select("key", F.struct("s", (F.col("n") + size - 1).alias("n")).alias("span")), "spans")
     texts = docs.select("key", "text").mapInArrow(_compress, "key long, text binary").join(asked, "key")
     suffixes = texts.mapInArrow(_emit_suffixes(size, block), "t1 long, t2s long, key long")
     bucketed = suffixes.repartitionByRange("t1", "t2s", "key").sortWithinPartitions("t1", "t2s", "key")
     told = stored(bucketed.mapInArrow(_compare_neighbours, "t1 long, t2 long, s int, key long, n int, edge boolean"), "told")
-    release(spark, cand, ctx)
+    release(spark, cand, ctx, contested)
     edges = told.where("edge")
     meets = edges.groupBy("t1", "t2").agg(F.sum("n").alias("m")).where("m > 1").select("t1", "t2")
     across = edges.join(F.broadcast(meets), ["t1", "t2"], "left_semi")  # two rows a bucket at most
@@ -277,7 +278,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, k
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows: list[list] = [[] for _ in range(5)]
             for text, ranges in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
                 data = _unpacked(text)

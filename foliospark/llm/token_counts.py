@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import table
+from foliospark.llm.common import small, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -139,7 +139,7 @@ def prefix_counts(
 
     def run(batches):
         model = _model(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.num_columns - 1)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             starts, ends, counts = prefix_table(texts, model)
