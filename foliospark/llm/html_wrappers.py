@@ -36,6 +36,7 @@ _OUT_TAGS = frozenset("nav footer aside form button select dialog menu head labe
 _OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar side aside related recommended widget comment comments reply replies disqus respond notice notices cookie cookies consent gdpr alert popup modal newsletter subscribe subscription signup login share sharing social toolbar pagination pager skip search copyright legal disclaimer".split()
 )
+_LAYOUT = frozenset("has with no layout wrapper container page site".split())
 _MAIN = ("article", "main")
 
 
@@ -221,17 +222,22 @@ def slots_of(w: list, around: tuple[str, ...] = ()) -> set[str]:
 
 
 def boilerplate(slot: str) -> bool:
-    """A slot within a menu, header, footer, sidebar, notice, advert, form or comments."""
+    """A slot within a menu, header, footer, sidebar, notice, advert, form or comments. Around an
+    article, words of an element that only names the page's layout (`layout has-sidebar`) don't
+    count."""
+    elements = [e.split(".") for e in slot.split("/")]
+    last = max((i for i, e in enumerate(elements) if e[0] in _MAIN), default=-1)
     inside = False
-    for element in slot.split("/"):
-        tag, *words = element.split(".")
+    for i, (tag, *words) in enumerate(elements):
         inside |= tag in _MAIN
         if tag in _OUT_TAGS or tag == "header" and not inside:
             return True
-        if tag not in ("body", "html", "article", "main") and _OUT_WORDS & set(words) - ({"header"} if inside else set()):
-            return True
-        if tag in ("article", "main") and {"comment", "comments", "reply", "ad", "advert", "promo", "related"} & set(words):
-            return True
+        if tag in _MAIN:
+            if {"comment", "comments", "reply", "ad", "advert", "promo", "related"} & set(words):
+                return True
+        elif tag not in ("body", "html") and not (i < last and _LAYOUT & set(words)):
+            if _OUT_WORDS & set(words) - ({"header"} if inside else set()):
+                return True
     return False
 
 

@@ -110,6 +110,11 @@ def test_wrappers(spark):
     assert html_wrappers.extract(df.limit(0), stored(html_wrappers.infer_wrappers(df.limit(0)))).count() == 0
 
 
+@pytest.mark.parametrize("slot,out", [("html/body/article/p", False), ("html/body.with.sidebar/article/p", False), ("html/body/div.layout.has.sidebar/article/p", False), ("html/body/div.related/article/p", True), ("html/body/div.sidebar/p", True), ("html/body/article/header/h1", False), ("html/body/header/h1", True), ("html/body/article/div.ad/p", True), ("html/body/section.comments/article.comment/p", True), ("html/body/aside/article/p", True)])
+def test_boilerplate(slot, out):
+    assert html_wrappers.boilerplate(slot) is out
+
+
 def test_alignment():
     fold, align = html_wrappers.fold, html_wrappers.align
     li = ["<li>", "#", "</li>"]
