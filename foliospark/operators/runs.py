@@ -87,14 +87,15 @@ def majority(answers: DataFrame, key: str, answer: str, repeat: str) -> DataFram
     return votes.groupBy(key).agg(F.max_by(F.struct(answer, "votes"), F.struct("votes", -F.col("first"))).alias("best")).select(key, "best.*")
 
 
-def ordered_digest(rows: DataFrame, name: str, digest: str, separator: str = "\t", buckets: int = 256) -> DataFrame:
-    """One SHA-256 over all rows in the order of their names, whatever the partitioning: lines
-    `name<separator>digest` are hashed in ranges of the name's own hash first, and the ranges'
-    digests in order after that, so no task gathers more than a range."""
+def ordered_digest(rows: DataFrame, name: str, digest: str, *by: str, separator: str = "\t", buckets: int = 4096) -> DataFrame:
+    """One SHA-256 over all rows (of each group) that doesn't depend on their order: lines
+    `name<separator>digest` are hashed in name order within buckets of the name's own hash
+    first, and the buckets' digests in order after that, so no task gathers more than a bucket
+    however many rows a group has."""
     line = F.concat(F.col(name), F.lit(separator), F.col(digest))
-    part = F.conv(F.substring(F.sha2(name, 256), 1, 2), 16, 10).cast("int") % buckets
-    parts = rows.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+    part = F.conv(F.substring(F.sha2(name, 256), 1, 4), 16, 10).cast("int") % buckets
+    parts = rows.groupBy(*by, part.alias("part")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("d"))
+    return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
 
 
 def listed_digest(rows: DataFrame, name: str, digest: str, *by: str, separator: str = "\t") -> DataFrame:

@@ -20,13 +20,13 @@ def listing(s, d):
 
 def repeated(s, d):
     names = table(s, d, "pages").select(F.regexp_extract("url", r"([^/?#.]+)(?:[.][a-z]+)?(?:[?#].*)?$", 1).alias("stem"), F.col("url").alias("name"))
-    return S.repeated_stems(names).select("stem", F.size("names").alias("n"))
+    return S.repeated_stems(names)
 
 
 def predictions(s, d):
     """Page texts written a folder a source, read back whole."""
     folder = S.new_folder(s, "predictions")
-    texts = table(s, d, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("text", " ", 1))), " ").alias("markdown"))
+    texts = table(s, d, "documents").groupBy("source").agg(F.concat_ws(" ", F.count(F.lit(1)).cast("string"), F.min(F.sha2("text", 256)), F.max(F.sha2("text", 256))).alias("markdown"))
     S.write_page_texts(texts, folder, "source")
     return S.read_page_texts(s, folder).select("source", F.regexp_replace("value", "\n$", "").alias("text"))
 
@@ -69,7 +69,8 @@ def scores(s, d):
 
 
 def cache(s, d):
-    t = table(s, d, "documents").groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.col("lang")))).alias("m"))
+    """A cache file for each thousand documents of a source, in either shape."""
+    t = table(s, d, "documents").groupBy("source", F.floor(F.col("doc_id") / 1000).alias("lot")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.col("lang")))).alias("m"))
     text = F.when(F.substring("source", -1, 1) == "1", F.to_json("m")).otherwise(F.to_json(F.struct(F.col("m").alias("entries"))))
     return S.response_cache(t.select(text.alias("value"))).select(F.col("key").cast("long").alias("doc_id"), "text")
 
@@ -109,8 +110,8 @@ QUERIES = {
 }
 ORACLES = {
     "s1_file_scan": "SELECT source, CAST(length(CAST(count(*) AS VARCHAR)) + 1 AS BIGINT) AS bytes FROM documents GROUP BY source",
-    "s2_repeated_stems": "SELECT regexp_extract(url, '([^/?#.]+)(?:[.][a-z]+)?(?:[?#].*)?$', 1) AS stem, CAST(count(DISTINCT url) AS INT) AS n FROM pages GROUP BY 1 HAVING count(DISTINCT url) > 1",
-    "s3_prediction_texts": "SELECT source, string_agg(w, ' ' ORDER BY encode(w)) AS text FROM (SELECT DISTINCT source, split_part(text, ' ', 1) AS w FROM documents) GROUP BY source",
+    "s2_repeated_stems": "WITH f AS (SELECT DISTINCT regexp_extract(url, '([^/?#.]+)(?:[.][a-z]+)?(?:[?#].*)?$', 1) AS stem, url AS name FROM pages), n AS (SELECT stem, count(*) AS n FROM f GROUP BY stem HAVING count(*) > 1) SELECT stem, name, n FROM f JOIN n USING (stem)",
+    "s3_prediction_texts": "SELECT source, count(*) || ' ' || min(sha256(text)) || ' ' || max(sha256(text)) AS text FROM documents GROUP BY source",
     "s5_component_samples": oracle("SELECT component, img_id, gt_idx, gt_position, gt, pred, score FROM {v_samples_ref}"),
     "s6_score_shapes": "SELECT 'p' || l_orderkey AS page, CASE WHEN l_orderkey % 3 = 2 THEN 1 ELSE count(*) END AS n, round(CASE WHEN l_orderkey % 3 = 2 THEN max(l_discount) ELSE sum(l_discount) END, 6) AS total FROM lineitem GROUP BY l_orderkey",
     "s7_strict_json": "SELECT CASE turn % 4 WHEN 0 THEN 'not strict JSON' WHEN 1 THEN 'not strict JSON' WHEN 2 THEN 'not an object' END AS problem, count(*) AS n FROM conversations GROUP BY 1",

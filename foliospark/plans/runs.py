@@ -47,8 +47,9 @@ def answers(s, d):
 
 
 def digests(s, d):
-    m = table(s, d, "v_manifest").withColumn("h", F.sha2("image", 256))
-    return R.listed_digest(m, "image", "h", "category")
+    """A digest for each thousand of a category's images."""
+    m = table(s, d, "v_manifest").withColumn("h", F.sha2("image", 256)).withColumn("lot", F.floor(F.regexp_extract("image", r"(\d+)", 1).cast("long") / 1000))
+    return R.listed_digest(m, "image", "h", "category", "lot")
 
 
 def whole_digest(s, d):
@@ -129,9 +130,9 @@ i AS (SELECT *, sum(CASE WHEN before IS NULL OR start_s > before THEN 1 ELSE 0 E
 n AS (SELECT page_id, island, max(finish_s) - min(start_s) AS n FROM i GROUP BY ALL)
 SELECT page_id, sum(n) AS covered FROM n GROUP BY page_id"""),
     "a11_majority_vote": "WITH v AS (SELECT user_id, event_type AS answer, count(*) AS votes, min(event_id) AS first FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, first) AS k FROM v) SELECT user_id, answer, votes FROM k WHERE k = 1",
-    "a16_ordered_digest": oracle("SELECT category, sha256(string_agg(image || chr(9) || sha256(image), chr(10) ORDER BY image)) AS digest FROM {v_manifest} GROUP BY category"),
+    "a16_ordered_digest": oracle("SELECT category, CAST(regexp_extract(image, '(\\d+)', 1) AS BIGINT) // 1000 AS lot, sha256(string_agg(image || chr(9) || sha256(image), chr(10) ORDER BY image)) AS digest FROM {v_manifest} GROUP BY ALL"),
     "a16_whole_digest": oracle("""
-WITH p AS (SELECT CAST('0x' || sha256(image)[1:2] AS INT) % 256 AS part, image, image || chr(9) || sha256(category) AS l FROM {v_manifest}),
+WITH p AS (SELECT CAST('0x' || sha256(image)[1:4] AS INT) % 4096 AS part, image, image || chr(9) || sha256(category) AS l FROM {v_manifest}),
 q AS (SELECT part, sha256(string_agg(l, chr(10) ORDER BY image)) AS d FROM p GROUP BY part)
 SELECT sha256(string_agg(d, chr(10) ORDER BY part)) AS digest FROM q"""),
     "a18_throughput": oracle("SELECT run_id, round(coalesce(count(*) * 60.0 / nullif(sum(seconds), 0), 0), 6) AS ppm FROM {v_page_runs} GROUP BY run_id"),

@@ -45,8 +45,9 @@ def file_scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = IM
 
 
 def repeated_stems(files: DataFrame) -> DataFrame:
-    """(stem, names) of stems that several files have; nothing may be written by stem then."""
-    return files.groupBy("stem").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") > 1)
+    """(stem, name, n) of the files whose stem n files have; nothing may be written by stem then."""
+    names = files.select("stem", "name").distinct()
+    return names.join(names.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "stem").select("stem", "name", "n")
 
 
 def prediction_texts(spark: SparkSession, folder: str, excluded: str | None = None) -> DataFrame:
