@@ -6,7 +6,8 @@ import html as _html
 import json
 import re
 from difflib import SequenceMatcher
-from zlib import crc32
+from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -20,8 +21,12 @@ from foliospark.llm.url_rules import host_of
 BROADCAST_BYTES = 16 << 20
 #: A host's pages are aligned in so many parts first.
 PARTS = 16
-#: A text that makes up so much of what its place shows over the host's pages is template.
+#: A string that so many of the pages that show its place have there is template, from so many
+#: different pages on.
 CONSTANT = 0.9
+LEAST_PAGES = 3
+#: Stands for all places of a page: a string that moves between slots is template by it.
+ANY = -2
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|([^<]+|<)", re.S)
 _NAME = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "xmp")
@@ -172,55 +177,105 @@ def align(a: list, b: list) -> list:
     if a == b:
         return a
     a, b = _gather(a, [n[1] for n in b if n[0] == "+" and not isinstance(n, str)]), _gather(b, [n[1] for n in a if n[0] == "+" and not isinstance(n, str)])
-    plain = lambda n: n[1] if not isinstance(n, str) and n[0] == "?" else [n]
-    x, y = [(m, len(plain(n)) == 1 and plain(n)[0] is n) for n in a for m in plain(n)], [(m, len(plain(n)) == 1 and plain(n)[0] is n) for n in b for m in plain(n)]
+    plain = lambda w: [(m, g if m is not n else None) for g, n in enumerate(w) for m in (n[1] if not isinstance(n, str) and n[0] == "?" else [n])]
+    x, y = plain(a), plain(b)  # nodes, and the optional group that each comes from
     out: list = []
+    last = None
 
-    def optional(nodes):
-        nodes = [n for n, _ in nodes]
-        if nodes:
-            out.append(["?", nodes])
-
-    def matched(p, q):
-        (n, sure), (m, sure2) = p, q
-        node = n if n == m or isinstance(n, str) else [n[0], align(n[1], m[1])]
-        if sure and sure2:
+    def add(node, *tag):
+        """Nodes of one tag stand in one optional group; without a tag they are in all pages."""
+        nonlocal last
+        if tag == (None, None):
             out.append(node)
-        elif out and not isinstance(out[-1], str) and out[-1][0] == "?":
-            out[-1] = ["?", [*out[-1][1], node]]
+        elif tag == last:
+            out[-1][1].append(node)
         else:
             out.append(["?", [node]])
+        last = tag
 
     for op, i, j, k, m in SequenceMatcher(None, [_label(n) for n, _ in x], [_label(n) for n, _ in y], autojunk=False).get_opcodes():
         if op == "equal":
-            for p, q in zip(x[i:j], y[k:m]):
-                matched(p, q)
+            for (n, g), (o, h) in zip(x[i:j], y[k:m]):
+                add(n if n == o or isinstance(n, str) else [n[0], align(n[1], o[1])], g, h)
         else:
-            optional(x[i:j])
-            optional(y[k:m])
+            for n, g in x[i:j]:
+                add(n, g, f"a{i}")
+            for n, h in y[k:m]:
+                add(n, f"b{k}", h)
+        last = None
     return out
 
 
-def slots_of(w: list, around: tuple[str, ...] = ()) -> set[str]:
-    """Element names that stand around text slots of a wrapper."""
-    found: set[str] = set()
-    stack = list(around)
-    for n in w:
-        if not isinstance(n, str):
-            found |= slots_of(n[1], tuple(stack))
-        elif n == "#":
-            found.add("/".join(stack))
-        elif n.startswith("</"):
-            tag = n[2:-1]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].partition(".")[0] == tag:
-                    del stack[k:]
-                    break
-        elif n[1:-1].partition(".")[0] not in _VOID:
-            stack.append(n[1:-1])
-    return found
+class Matcher:
+    """A wrapper as an automaton over the shapes of pages: at which text slot of the wrapper each
+    text of a page stands. A place is the number of the slot's state."""
+
+    def __init__(self, wrapper: list):
+        self.token: list[str | None] = [None]  # None: goes on without a token
+        self.next: list[tuple[int, ...]] = [()]  # of state 0, the end
+        self.start = self._build(wrapper, 0)
+        self.steps: dict[int, dict[str, list[int]]] = {}
 
+    def _state(self, token: str | None, *after: int) -> int:
+        self.token.append(token)
+        self.next.append(after)
+        return len(self.token) - 1
 
+    def _build(self, wrapper: list, after: int) -> int:
+        for n in reversed(wrapper):
+            if isinstance(n, str):
+                after = self._state(n, after)
+            elif n[0] == "?":
+                after = self._state(None, self._build(n[1], after), after)
+            else:
+                loop = self._state(None)
+                body = self._build(n[1], loop)
+                self.next[loop] = (body, after)
+                after = body
+        return after
+
+    def _steps(self, state: int) -> dict[str, list[int]]:
+        """Which states with a token follow, by token; '' for the end. Groups come before what
+        stands behind them."""
+        got = self.steps.get(state)
+        if got is None:
+            got, seen, open_ = {}, set(), [state]
+            while open_:
+                k = open_.pop()
+                if k in seen:
+                    continue
+                seen.add(k)
+                if k == 0:
+                    got.setdefault("", []).append(0)
+                elif self.token[k] is not None:
+                    got.setdefault(self.token[k], []).append(k)
+                else:
+                    open_.extend(reversed(self.next[k]))
+            self.steps[state] = got
+        return got
+
+    def places(self, shape: list[str]) -> list[int] | None:
+        """The place of each text of a page's shape; None if the wrapper doesn't match it."""
+        now: dict = {self.start: None}  # the state to go on from: the places so far
+        for token in shape:
+            then: dict = {}
+            for state, held in now.items():
+                for k in self._steps(state).get(token, ()):
+                    then.setdefault(self.next[k][0], (k, held) if token == "#" else held)
+            if not then:
+                return None
+            now = then
+        for state, held in now.items():
+            if "" in self._steps(state):
+                out = []
+                while held is not None:
+                    out.append(held[0])
+                    held = held[1]
+                return out[::-1]
+        return None
+
+
+@lru_cache(100_000)
 def boilerplate(slot: str) -> bool:
     """A slot within a menu, header, footer, sidebar, notice, advert, form or comments. Around an
     article, words of an element that only names the page's layout (`layout has-sidebar`) don't
@@ -241,42 +296,20 @@ def boilerplate(slot: str) -> bool:
     return False
 
 
-def content_slots(wrapper: list, stats: dict[str, tuple[int, int, int, int]]) -> list[str]:
-    """Slots of the article: not boilerplate, in article or main where the wrapper has one, else
-    not template and not mostly links; the latter marked ~ where the wrapper has an article. stats: slot -> (pages, characters, linked, constant pages)."""
-    good = [s for s in stats if not boilerplate(s)]
-    main: set[str] = set()
-    if re.search(r'"<(?:article|main)[.>]', json.dumps(wrapper)):
-        main = {s for s in good if any(e.partition(".")[0] in _MAIN for e in s.split("/"))}
-    rest = [s for s in good if s not in main and stats[s][2] * 2 <= stats[s][1]]
-    rest = [s for s in rest if stats[s][0] < 3 or stats[s][3] < CONSTANT * stats[s][0]]
-    # what stands outside is for the pages on which the article is missing
-    return sorted(main) + sorted(f"~{s}" if main else s for s in rest)
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _in_main(slot: str) -> bool:
+    return any(e.partition(".")[0] in _MAIN for e in slot.split("/"))
 
 
-def _observe(batches):
-    """Rows (host, kind, what, n, chars, linked, least, most): shapes of pages, and per slot how many
-    pages show it, its characters, those in links, and the range of its texts' checksums."""
+def _shapes(batches):
+    """Rows (host, what): the folded shapes of pages, each once a batch."""
     for batch in batches:
-        rows: dict[tuple[str, str, str], list] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            r = Reader(page or "")
-            shape = json.dumps(fold(r.shape), separators=(",", ":"))
-            rows.setdefault((host, "shape", shape), [0, 0, 0, None, None])[0] += 1
-            per: dict[str, list] = {}
-            for slot, text, linked in r.blocks:
-                own = per.setdefault(slot, [0, 0, []])
-                own[0] += len(text)
-                own[1] += linked
-                own[2].append(text)
-            for slot, (chars, linked, texts) in per.items():
-                crc = crc32("\n".join(texts).encode("utf-8", "surrogatepass"))
-                held = rows.setdefault((host, "slot", slot), [0, 0, 0, crc, crc])
-                rows[host, "slot", slot] = [held[0] + 1, held[1] + chars, held[2] + linked, min(held[3], crc), max(held[4], crc)]
-        if rows:
-            cols = list(zip(*(k + tuple(v) for k, v in rows.items())))
-            kinds = [pa.string()] * 3 + [pa.int64()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "kind", "what", "n", "chars", "linked", "least", "most"])
+        seen = {(host, json.dumps(fold(Reader(page).shape), separators=(",", ":"))) for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(seen))], names=["host", "what"])
 
 
 def _partly(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -286,34 +319,120 @@ def _partly(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "what": [json.dumps(out, separators=(",", ":"))]})
 
 
-def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
-    wrapper = json.loads(_partly(pdf[pdf["kind"] == "shape"])["what"].iloc[0])
-    stats = {r.what: (r.n, r.chars, r.linked, r.n if r.least == r.most else 0) for r in pdf[pdf["kind"] == "slot"].itertuples()}
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(wrapper, separators=(",", ":"))], "slots": [content_slots(wrapper, stats)]})
+class _Wrappers:
+    """Matchers of the wrappers that were used last."""
+
+    def __init__(self):
+        self.held: dict[str, Matcher] = {}
+
+    def places(self, wrapper: str | None, reader: Reader) -> list[int]:
+        """The place of each block, -1 where the page's host has no wrapper that matches it."""
+        got = None
+        if wrapper is not None:
+            if wrapper not in self.held:
+                if len(self.held) >= 256:
+                    self.held.clear()
+                self.held[wrapper] = Matcher(json.loads(wrapper))
+            got = self.held[wrapper].places(reader.shape)
+        return [-1] * len(reader.blocks) if got is None else got
+
+
+def _with_wrappers(rows: DataFrame, wrappers: DataFrame, columns: list[str]):
+    """rows, which have a __host, and what a task looks a host's columns up in: a broadcast
+    where wrappers are small, by measure; otherwise None, and each row has them in __wrapper."""
+    size = wrappers.agg(F.sum(F.length(F.to_json(F.struct("host", *columns))) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        held = {r[0]: tuple(r[1:]) for r in wrappers.select("host", *columns).collect()}
+        return rows, rows.sparkSession.sparkContext.broadcast(held)
+    kept = rows.columns
+    return rows.join(wrappers.select(F.col("host").alias("__host"), F.struct(*columns).alias("__wrapper")), "__host", "left").select(*kept, "__wrapper"), None
+
+
+def _looked_up(batch, at: int, held):
+    """The wrapper of each row, with the host in column `at` and the joined wrapper as the last."""
+    if held is not None:
+        return [held.value.get(h) for h in batch.column(at).to_pylist()]
+    return [w and tuple(w.values()) for w in batch.column(batch.num_columns - 1).to_pylist()]
+
+
+def _strings(held):
+    """Rows (host, core, blocks) of pages: where in the wrapper each block stands, the digest of
+    its text, whether it is the page's first block of this place and of this string there, its
+    characters and those in links. core: the longest block without a label, by which copies and
+    near copies of a page are folded."""
+    fields = [("place", pa.int32()), ("string", pa.int64()), ("shows", pa.int32()), ("has", pa.int32()), ("chars", pa.int64()), ("linked", pa.int64())]
+    kind = pa.list_(pa.struct(fields))
+
+    def run(batches):
+        known = _Wrappers()
+        for batch in batches:
+            hosts, cores, rows = [], [], []
+            for host, page, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _looked_up(batch, 0, held)):
+                r = Reader(page)
+                if not r.blocks:
+                    continue
+                seen: set = set()
+                row = []
+                for place, (slot, text, linked) in zip(known.places(w and w[0], r), r.blocks):
+                    string = _digest(text)
+                    row.append({"place": place, "string": string, "shows": int(place not in seen), "has": int((place, string) not in seen), "chars": len(text), "linked": linked})
+                    seen |= {place, (place, string)}
+                strings = dict.fromkeys(b["string"] for b in row)
+                row += [{"place": ANY, "string": x, "shows": int(i == 0), "has": 1, "chars": 0, "linked": 0} for i, x in enumerate(strings)]
+                own = [text for slot, text, _ in r.blocks if not boilerplate(slot)] or [text for _, text, _ in r.blocks]
+                hosts.append(host)
+                cores.append(_digest(max(own, key=lambda t: (len(t), t))))
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(cores, pa.int64()), pa.array(rows, kind)], names=["host", "core", "blocks"])
+
+    return run
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper, slots) from all pages: each host's union-free regular expression and the
-    slots in it that hold the article.
+    """(host, wrapper, template, links) from all pages: each host's union-free regular expression,
+    the strings at its slots that are template, and its slots that hold mostly links.
 
     Pages are reduced to their folded shapes where they are read; only different shapes are
     shuffled and aligned, in PARTS parts of a host first and the parts' wrappers after that,
-    so a host with most of the pages costs no more than its kinds of page. Null html has no
-    shape; a null url belongs to the host ''.
+    so a host with most of the pages costs no more than its kinds of page. Then each page is
+    matched against its host's wrapper, which aligns the strings of different pages slot by
+    slot; a string that nearly all of them have at a slot, or anywhere, is template. Pages with the same
+    longest text count once. Null html has no shape; a null url belongs to the host ''.
     """
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("html IS NOT NULL").mapInArrow(_observe, "host string, kind string, what string, n long, chars long, linked long, least long, most long")
-    seen = stored(seen.groupBy("host", "kind", "what").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "linked")], F.min("least").alias("least"), F.max("most").alias("most")), "shapes")
+    rows = pages.select(host_of(F.col(url)).alias("__host"), F.col(html).alias("__html")).where("__html IS NOT NULL")
+    shapes = stored(rows.mapInArrow(_shapes, "host string, what string").distinct(), "shapes")
     part = F.pmod(F.xxhash64("what"), F.lit(PARTS))
-    parts = seen.where("kind = 'shape'").groupBy("host", part.alias("part")).applyInPandas(_partly, "host string, what string")
-    rest = seen.where("kind = 'slot'").unionByName(parts.withColumn("kind", F.lit("shape")), allowMissingColumns=True)
-    return rest.groupBy("host").applyInPandas(_decide, "host string, wrapper string, slots array<string>")
-
-
-def text_of(page: str | None, slots) -> str:
-    """Blocks of the page that stand in the given slots, two line breaks between them."""
-    good = set(slots or ())
-    blocks = Reader(page or "").blocks
-    return "\n\n".join([text for slot, text, _ in blocks if slot in good] or [text for slot, text, _ in blocks if f"~{slot}" in good])
+    parts = shapes.groupBy("host", part.alias("part")).applyInPandas(_partly, "host string, what string")
+    wrappers = stored(parts.groupBy("host").applyInPandas(_partly, "host string, what string").withColumnRenamed("what", "wrapper"), "wrappers")
+
+    rows, held = _with_wrappers(rows, wrappers, ["wrapper"])
+    placed = rows.mapInArrow(_strings(held), "host string, core long, blocks array<struct<place int, string long, shows int, has int, chars long, linked long>>")
+    one = placed.groupBy("host", "core").agg(F.min(F.struct(F.xxhash64("blocks").alias("h"), "blocks")).alias("page"))
+    strings = one.select("host", F.explode("page.blocks").alias("b")).select("host", "b.*").groupBy("host", "place", "string").agg(*[F.sum(c).alias(c) for c in ("shows", "has", "chars", "linked")])
+    strings = stored(strings, "strings")
+    slots = stored(strings.groupBy("host", "place").agg(*[F.sum(c).alias(c) for c in ("shows", "chars", "linked")]), "slots")
+    # only strings of LEAST_PAGES pages can be template, so few rows of a slot meet its count
+    often = strings.where((F.col("place") != -1) & (F.col("has") >= LEAST_PAGES)).select("host", "place", "string", "has")
+    fixed = often.join(slots.select("host", "place", "shows"), ["host", "place"]).where(F.col("has") >= CONSTANT * F.col("shows"))
+    template = fixed.groupBy("host").agg(F.collect_list(F.struct("place", "string")).alias("template"))
+    links = slots.where("place >= 0 AND linked * 2 > chars").groupBy("host").agg(F.collect_list("place").alias("links"))
+    return wrappers.join(template, "host", "left").join(links, "host", "left")
+
+
+def text_of(r: Reader, places: list[int], template: dict[int, set[int]], links: set[int]) -> str:
+    """What stands at the wrapper's text slots and is no template, two line breaks between blocks.
+    Slots labelled boilerplate are no article; slots in article or main are, and on pages where
+    these show nothing all others that don't hold mostly links."""
+    main, rest = [], []
+    anywhere = template.get(ANY, set())
+    for place, (slot, text, _) in zip(places, r.blocks):
+        if boilerplate(slot) or (fixed := template.get(place, set()) | anywhere) and _digest(text) in fixed:
+            continue
+        if _in_main(slot):
+            main.append(text)
+        elif place not in links:
+            rest.append(text)
+    return "\n\n".join(main or rest)
 
 
 def extract(pages: DataFrame, wrappers: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html") -> DataFrame:
@@ -323,20 +442,20 @@ def extract(pages: DataFrame, wrappers: DataFrame, keep: tuple[str, ...] = ("pag
     tasks where they are small, by measure; otherwise each page is joined with its host's.
     """
     rows = pages.select(*[F.col(c) for c in keep], host_of(F.col(url)).alias("__host"), F.col(html).alias("__html"))
-    size = wrappers.agg(F.sum(F.length(F.array_join("slots", ",")) + F.length("host") + 64)).first()[0] or 0
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string, n_chars long"
-    small = size <= BROADCAST_BYTES
-    if small:
-        held = pages.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in wrappers.select("host", "slots").collect()})
-    else:
-        held = None
-        rows = rows.join(wrappers.select(F.col("host").alias("__host"), F.col("slots").alias("__slots")), "__host", "left").select(*keep, "__host", "__html", "__slots")
+    rows, held = _with_wrappers(rows, wrappers, ["wrapper", "template", "links"])
 
     def run(batches):
+        known = _Wrappers()
         for batch in batches:
-            hosts, pages_ = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
-            slots = [held.value.get(h) for h in hosts] if held is not None else batch.column(len(keep) + 2).to_pylist()
-            texts = [text_of(p, s) for p, s in zip(pages_, slots)]
+            texts = []
+            for page, w in zip(batch.column(len(keep) + 1).to_pylist(), _looked_up(batch, len(keep), held)):
+                r = Reader(page or "")
+                wrapper, strings, links = w or (None, None, None)
+                template: dict[int, set[int]] = {}
+                for place, string in (s.values() if isinstance(s, dict) else s for s in strings or ()):
+                    template.setdefault(place, set()).add(string)
+                texts.append(text_of(r, known.places(wrapper, r), template, set(links or ())))
             cols = [pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, "text", "n_chars"])
 

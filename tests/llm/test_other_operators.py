@@ -115,6 +115,32 @@ def test_boilerplate(slot, out):
     assert html_wrappers.boilerplate(slot) is out
 
 
+def test_template_strings_of_an_article(spark):
+    """Strings that different pages share at a slot go, in an article too; copies are no proof."""
+    page = "<html><body><article><h1>%s</h1><p>Read this on our site</p><p>%s</p>%s<p>Thanks for reading</p></article></body></html>"
+    rows = [(i, f"http://a.net/{i}", page % (f"Head {i}", f"Body of page {i} " * 3, "<ul><li>x</li></ul>" if i == 4 else "")) for i in range(6)]
+    rows += [(10 + i, f"http://b.net/{i}", page % ("Head", "One body ", "")) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_wrappers.extract(df, stored(html_wrappers.infer_wrappers(df))).collect()}
+    for i in range(6):
+        assert got[i] == "\n\n".join([f"Head {i}", " ".join([f"Body of page {i}"] * 3), *["x"] * (i == 4)])
+        assert got[10 + i] == "Head\n\nRead this on our site\n\nOne body\n\nThanks for reading"
+
+
+def test_wrappers_match_their_pages():
+    rng = random.Random(5)
+    tokens = ["<p>", "#", "</p>", "<b>", "</b>", "<br>"]
+    for _ in range(200):
+        shapes = [[rng.choice(tokens[: rng.randint(2, 6)]) for _ in range(rng.randint(0, 12))] for _ in range(4)]
+        wrapper = html_wrappers.fold(shapes[0])
+        for s in shapes[1:]:
+            wrapper = html_wrappers.align(wrapper, html_wrappers.fold(s))
+        m = html_wrappers.Matcher(wrapper)
+        for s in shapes:
+            places = m.places(s)
+            assert places is not None and len(places) == s.count("#") and all(m.token[k] == "#" for k in places)
+
+
 def test_alignment():
     fold, align = html_wrappers.fold, html_wrappers.align
     li = ["<li>", "#", "</li>"]
