@@ -172,7 +172,8 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     """Models of the languages of the documents with crc32(id) mod 4 of 0 or 1, calibrated on
     those with 3; None where there is no such document with a letter. Rows without id, text or
     language teach nothing. About `sample` documents a language are drawn by a hash of their
-    text, so the n-grams that come to the driver don't grow with the corpus."""
+    text, so the n-grams that come to the driver don't grow with the corpus; the limits come
+    from all calibration documents."""
     rows = docs.select(_fold(id).alias("fold"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("fold <> 2 AND text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -212,7 +213,7 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
             good = (best == mine) & (best >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(best[good].astype(np.int32)), pa.array(entropy[good, best[good]])], names=["lang", "h"])
 
-    told = drawn.where("fold = 3").select("text", "lang").mapInArrow(calibrate, "lang int, h double").groupBy("lang").agg(F.max("h"), F.avg("h")).collect()
+    told = rows.where("fold = 3").select("text", "lang").mapInArrow(calibrate, "lang int, h double").groupBy("lang").agg(F.max("h"), F.avg("h")).collect()
     models.limit = np.full(len(models.langs), np.inf)  # a language without calibration documents rejects nothing
     for j, most, mean in told:
         models.limit[j] = max(MARGIN * most, (mean + np.log(models.letters[j])) / 2)

@@ -154,6 +154,19 @@ def test_kneser_ney_sums_to_one():
         assert p.sum() == pytest.approx(1, abs=2e-2)
 
 
+def test_limits_cover_all_calibration_documents(spark):
+    """A document that the sample for the models doesn't draw counts for its language's limit."""
+    rng = random.Random(3)
+    words = ["abcd", "efgh", "abij", "cdgh"]
+    rows = [(i, " ".join(rng.choices(words, k=30)), "en") for i in range(600)]
+    odd = spark.createDataFrame([("".join(rng.choices("abcdefghij ", k=120)),) for _ in range(20)], "text string").where("pmod(xxhash64(text), 1 << 30) > (1 << 29)").first().text
+    at = next(i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 3)
+    rows[at] = (at, odd, "en")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.train(docs, sample=60), keep=("doc_id",))
+    assert not got.where(f"doc_id = {at}").first().rejected
+
+
 def test_language_id_without_training(spark, no_docs):
     assert language_id.train(no_docs) is None
     one = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
