@@ -12,8 +12,9 @@ from foliospark.llm.language_id import identify, train
 from foliospark.llm.packing import pack
 from foliospark.llm.suffix_array import remove_repeats
 
-#: A passage of over 50 words has more bytes than this; the suffix stage removes what repeats.
+#: The suffix stage removes repeats of so many bytes, and of so many words where these are shorter.
 PASSAGE_BYTES = 250
+PASSAGE_WORDS = 51
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -45,8 +46,9 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of PASSAGE_BYTES bytes or more that occur anywhere else."""
-    got = remove_repeats(_whole(docs), "__body", PASSAGE_BYTES, keep=("__row",))
+    """Texts without the passages of PASSAGE_BYTES bytes or PASSAGE_WORDS words or more that occur
+    anywhere else."""
+    got = remove_repeats(_whole(docs), "__body", PASSAGE_BYTES, keep=("__row",), words=PASSAGE_WORDS)
     return _again(docs, got, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ SEGMENT = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 21) - 1)
+_WIDE = re.compile(r"[^\S\x00-\x7f]")
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 
 
 class Roller:
@@ -211,9 +214,44 @@ def _compare_neighbours(batches):
         yield from told(*held, not started, True)
 
 
-def repeated_spans(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
+def word_windows(text: str, words: int, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text's bytes, and where its windows of `words` words begin and end that are shorter
+    than `size` bytes. White space, as Python knows it, stands between words."""
+    data = text.encode("utf-8", "surrogatepass")
+    marks = data if text.isascii() else _WIDE.sub(lambda m: " " * len(m[0].encode()), text).encode("utf-8", "surrogatepass")
+    space = np.concatenate([[True], _SPACE[np.frombuffer(marks, np.uint8)], [True]])
+    turn = np.flatnonzero(space[1:] != space[:-1])
+    s, e = turn[::2], turn[1::2]
+    s, e = s[: max(0, len(s) - words + 1)], e[words - 1 :]
+    short = e - s < size
+    return data, s[short], e[short]
+
+
+def repeated_words(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """(key, span) of the windows of `words` words that occur anywhere else too and are shorter
+    than `size` bytes; `repeated_spans` finds the longer ones. Windows are known by 128 bits."""
+
+    def run(batches):
+        for batch in small(batches):
+            out: list[list] = [[] for _ in range(4)]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data, s, e = word_windows(text.as_py() or "", words, size)
+                out[0] += [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(s.tolist(), e.tolist())]
+                out[1] += [key] * len(s)
+                out[2] += s.tolist()
+                out[3] += (e - s).tolist()
+            cols = [pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "key", "s", "n"])
+
+    windows = stored(docs.select("key", "text").mapInArrow(run, "h binary, key long, s int, n int"), "windows")
+    again = stored(windows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "again")
+    return windows.join(again, "h", "left_semi").select("key", F.struct("s", "n").alias("span"))
+
+
+def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, words: int = 0) -> DataFrame:
     """(key, spans) of `docs`, which has a long `key` and `text`: array<struct<s, n>> of byte
-    ranges that strings of `size` bytes cover which start anywhere else too.
+    ranges that strings of `size` bytes cover which start anywhere else too, and with words
+    those of so many words.
 
     Candidate suffixes are those around an anchor that occurs again (`anchored_runs`). Where
     the whole context of an anchor occurs again, all its suffixes do. The other suffixes are
@@ -243,6 +281,8 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES) -> DataFrame:
     meets = edges.groupBy("t1", "t2").agg(F.sum("n").alias("m")).where("m > 1").select("t1", "t2")
     across = edges.join(F.broadcast(meets), ["t1", "t2"], "left_semi")  # two rows a bucket at most
     found = told.where("NOT edge").select("key", "s").union(across.select("key", "s")).select("key", F.struct("s", F.lit(size).alias("n")).alias("span"))
+    if words:
+        found = found.union(repeated_words(docs, words, size))
     spans = alone.union(wholly).union(found).groupBy("key").agg(F.collect_list("span").alias("spans"))
     return stored(spans, "spans")
 
@@ -258,8 +298,9 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
-    """Every byte that a repeated string of `size` bytes covers is removed, in all its places.
+def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, keep: tuple[str, ...] = (), with_text: bool = True, words: int = 0) -> DataFrame:
+    """Every byte that a repeated string of `size` bytes covers is removed, in all its places;
+    with words, so is every repeated passage of so many words, however short they are.
 
     Returns the columns `keep`, n_bytes, n_removed, n_spans, kept_sha256 and, with with_text,
     kept_text: the bytes that are left as text, without characters of which a byte went.
@@ -270,7 +311,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, k
     """
     key = F.xxhash64(*[F.col(c) for c in keep], F.col(text)).alias("__key")
     mine = docs.select(*[F.col(c) for c in keep], key, F.col(text).alias("__text"))
-    spans = repeated_spans(mine.select(F.col("__key").alias("key"), F.col("__text").alias("text")), size).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    spans = repeated_spans(mine.select(F.col("__key").alias("key"), F.col("__text").alias("text")), size, words).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     schema = T.StructType(
         [docs.schema[c] for c in keep]
         + [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]

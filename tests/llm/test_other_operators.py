@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import embedding_dedup, html_wrappers, url_rules, warc
 from foliospark.llm.common import stored
@@ -115,6 +116,18 @@ def test_boilerplate(slot, out):
     assert html_wrappers.boilerplate(slot) is out
 
 
+def test_passages_of_short_words(spark, tmp_path):
+    """A passage of over 50 words goes with fewer than 250 bytes too; one of 50 words stays."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    long, short = (" ".join(rng.choices("abcdefghijé", k=n)) for n in (51, 50))
+    texts = [f"one\u00a0{long} two", f"three\t{long}", f"four {short} five", f"{short} six", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, str(tmp_path)).collect()}
+    assert [got[i] for i in range(4)] == ["one\u00a0 two", "three\t", texts[2], texts[3]]
+
+
 def test_template_strings_of_an_article(spark):
     """Strings that different pages share at a slot go, in an article too; copies are no proof."""
     page = "<html><body><article><h1>%s</h1><p>Read this on our site</p><p>%s</p>%s<p>Thanks for reading</p></article></body></html>"
