@@ -1,8 +1,10 @@
-"""Token counts (10): prefix dynamic programming over token counts."""
+"""Token counts (10): prefix dynamic programming stores the exact token count at every prefix."""
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,148 +18,155 @@ from foliospark.llm.common import small, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: The model's mark for a blank: a text that holds it literally can't be cut at blanks.
+#: The model's mark for a blank.
 _MARK = "▁"
+#: Counts of chunks up to so many characters are kept for later texts, of so many chunks at a time.
+CHUNK_CHARS, CHUNKS = 64, 1_000_000
+
+
+class Model:
+    """A sentencepiece BPE model as tables, and the dynamic programming over its pieces."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = self.library.vocab_size()
+        plain = [i for i in range(n) if not (self.library.is_byte(i) or self.library.is_control(i) or self.library.is_unknown(i))]
+        self.score = {self.library.id_to_piece(i): self.library.get_score(i) for i in plain}
+        self.tails = {p[k:] for p in self.score for k in range(len(p))}
+        if max(map(len, self.score), default=1) > 120:
+            raise ValueError("a piece of more than 120 characters: steps of a byte can't hold its counts")
+        # where no piece has a blank after another character, no merge crosses the beginning of
+        # a run of blanks and counts add up there; otherwise a text is one chunk
+        apart = not any(_MARK in p.lstrip(_MARK) for p in self.score)
+        #: What cuts a text that has a blank before it where counts add up.
+        self.chunk = re.compile(f"{_MARK}+[^{_MARK}]*" if apart else "(?s:.+)")
+        self.after: dict[tuple[str, str], bool] = {}
+        self.steps: dict[str, bytes] = {}
+
+    def counts(self, chunk: str) -> list[int]:
+        """Tokens of chunk[:i] for i = 1..len(chunk), by dynamic programming over the last token.
+
+        A prefix's encoding is a shorter prefix's encoding and one token more. Of the tokens
+        that end at i exactly one stays apart from the last token of the shorter prefix when
+        the two are merged together. A character without a piece counts as its UTF-8 bytes.
+        """
+        score, tails, after = self.score, self.tails, self.after
+        last, count = [""], [0]
+        for i in range(1, len(chunk) + 1):
+            j = i - 1
+            piece = chunk[j]
+            known = piece in score
+            while True:
+                if known or j == i - 1:
+                    apart = after.get((last[j], piece)) if j else True
+                    if apart is None:
+                        apart = self._apart(last[j], piece)
+                    if apart:
+                        last.append(piece)
+                        count.append(count[j] + (1 if known else len(piece.encode("utf-8", "surrogatepass"))))
+                        break
+                j -= 1
+                piece = chunk[j:i]
+                if j < 0 or piece not in tails:
+                    raise ValueError(f"no token of the model ends {chunk[:i]!r}")
+                known = piece in score
+        return count[1:]
+
+    def _apart(self, a: str, b: str) -> bool:
+        if len(self.after) >= CHUNKS:
+            self.after.clear()
+        got = self.after[a, b] = self._merged(a + b) == [a, b]
+        return got
+
+    def _merged(self, text: str) -> list[str]:
+        """Pieces of a short text: the best-scored neighbours merge first, the left of equals."""
+        got = list(text)
+        while len(got) > 1:
+            best = max(((self.score[p], -k) for k in range(len(got) - 1) if (p := got[k] + got[k + 1]) in self.score), default=None)
+            if best is None:
+                break
+            k = -best[1]
+            got[k : k + 2] = [got[k] + got[k + 1]]
+        return got
+
+    def learn(self, chunks) -> dict[str, bytes]:
+        """What each character of the chunks adds to the count, a signed byte each. The library's
+        own counts of the chunks are the check; where they differ it encodes each prefix."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self.steps]
+        if len(self.steps) + len(new) > CHUNKS:
+            self.steps.clear()
+            new = list(dict.fromkeys(chunks))
+        for chunk, ids in zip(new, self.library.encode([c[1:] for c in new], num_threads=1)):
+            counts = self.counts(chunk)
+            if counts[-1] != len(ids) and len(chunk) > 1:
+                counts = [1, *(len(self.library.encode(chunk[1:i])) for i in range(2, len(chunk) + 1))]
+            self.steps[chunk] = bytes([(b - a) & 0xFF for a, b in zip([0, *counts], counts)])
+        return self.steps
+
+    def prefix_steps(self, texts: list[str | None]) -> list[bytes]:
+        """Of each text a signed byte a character: their sum up to any character is the exact
+        number of tokens of the text up to there."""
+        cut = [self.chunk.findall((_MARK + t).replace(" ", _MARK)) if t else () for t in texts]
+        steps = self.learn(chain.from_iterable(cut)) if any(cut) else {}
+        out = []
+        for chunks in cut:
+            got = b"".join(map(steps.__getitem__, chunks))
+            # the blank before the text is no character of it, and an empty prefix has no tokens
+            out.append(bytes([got[0] + got[1] & 0xFF]) + got[2:] if got else got)
+        for long in [c for c in steps if len(c) > CHUNK_CHARS]:
+            del steps[long]
+        return out
 
 
 @lru_cache(maxsize=2)
-def _model(path: str):
-    import sentencepiece
+def model_at(path: str) -> Model:
+    return Model(path)
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
 
+def tokens_at(steps: bytes, offset: int) -> int:
+    """Exact tokens of the first `offset` characters, from a stored row alone."""
+    return int(np.frombuffer(steps, np.int8)[: max(0, offset)].sum(dtype=np.int64))
 
-def irregular(texts: pa.Array) -> np.ndarray:
-    """Texts with blanks at an end or in a row, or with the mark: their blanks may merge with
-    neighbours, so that counts don't add up at blanks. They make a single chunk."""
-    hit = pc.match_substring_regex(texts, f"^ |  | $|{_MARK}")
-    return hit.fill_null(False).to_numpy(zero_copy_only=False)
 
+def fitting_prefix(steps: bytes, budget: int) -> int:
+    """Characters of the longest prefix of at most `budget` tokens, from a stored row alone."""
+    fits = np.flatnonzero(np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
-def prefix_table(texts: pa.Array, model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, counts) over all texts: texts[i] has the chunks starts[i]..starts[i+1];
-    ends has the characters up to each chunk's end and counts the tokens up to there.
 
-    No piece of the model has a blank after another character, so a merge never crosses the
-    beginning of a word and count(prefix up to word k) = count(prefix up to word k-1) +
-    tokens(word k). That is the recurrence; each distinct word of the batch is encoded once.
-    """
-    texts = texts.fill_null("").cast(pa.string())
-    odd = irregular(texts)
-    plain = pc.if_else(pa.array(odd), "", texts)
-    split = pc.split_pattern(plain, " ")
-    flat = split.flatten().dictionary_encode()
-    starts = split.offsets.to_numpy().astype(np.int64)
-    starts = starts - starts[0]
-    codes = flat.indices.to_numpy()
-    words = flat.dictionary
-    n_tokens = np.fromiter(map(len, model.encode(words.to_pylist(), num_threads=1)), np.int64, len(words))
-    n_chars = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    tokens, chars = n_tokens[codes], n_chars[codes] + 1  # each word with the blank before it
-    if len(starts) > 1:
-        chars[starts[:-1]] -= 1
-        for i in np.flatnonzero(odd):
-            whole = texts[int(i)].as_py()
-            tokens[starts[i]], chars[starts[i]] = len(model.encode(whole)), len(whole)
-    counts, ends = np.cumsum(tokens), np.cumsum(chars)
-    sizes = np.diff(starts)
-    base = np.concatenate([[0], counts])[starts[:-1]], np.concatenate([[0], ends])[starts[:-1]]
-    return starts, ends - np.repeat(base[1], sizes), counts - np.repeat(base[0], sizes)
-
-
-def word_prefix_counts(word: str, model) -> list[int]:
-    """Tokens of word[:i] for i = 0..len(word), by dynamic programming over the last token.
-
-    A prefix's encoding is a shorter prefix's encoding and one token more; of the tokens that
-    end at i exactly one keeps apart from the last token of the shorter prefix when the two
-    are merged together. A character without a piece counts as its UTF-8 bytes.
-    """
-    mark = _MARK + word.replace(" ", _MARK)
-    last, count = [""], [0]
-    for i in range(1, len(mark) + 1):
-        for j in range(i):
-            piece = mark[j:i]
-            known = model.piece_to_id(piece) != model.unk_id()
-            if (known or i - j == 1) and _merged(last[j] + piece, model) == (last[j], piece)[not last[j] :]:
-                last.append(piece)
-                count.append(count[j] + (1 if known else len(piece.encode())))
-                break
-    return [0, *count[2:]]
-
-
-def _merged(text: str, model) -> tuple[str, ...]:
-    """Pieces of a text of two tokens: the best-scored neighbours merge first, the left of equals."""
-    got = list(text)
-    while True:
-        best = None
-        for k in range(len(got) - 1):
-            at = model.piece_to_id(got[k] + got[k + 1])
-            if at != model.unk_id() and (best is None or model.get_score(at) > best[0]):
-                best = (model.get_score(at), k)
-        if best is None:
-            return tuple(got)
-        got[best[1] : best[1] + 2] = [got[best[1]] + got[best[1] + 1]]
-
-
-def tokens_at(text: str, ends, counts, offset: int, model_path: str) -> int:
-    """Exact tokens of text[:offset] from a stored row: a look-up, and within a word the
-    dynamic programming over that one word."""
-    model = _model(model_path)
-    if offset <= 0:
-        return 0
-    ends = np.asarray(ends)
-    k = int(np.searchsorted(ends, offset, "left"))
-    if k >= len(ends):
-        return int(counts[-1])
-    if ends[k] == offset:
-        return int(counts[k])
-    lo = int(ends[k - 1]) if k else 0
-    part = text[lo:offset]
-    if k == 0 or len(ends) == 1:
-        return len(model.encode(part)) if len(ends) == 1 else word_prefix_counts(part, model)[-1]
-    before = int(counts[k - 1])
-    return before + (word_prefix_counts(part[1:], model)[-1] if len(part) > 1 else 1)
-
-
-def prefix_counts(
-    df: DataFrame, text: str = "text", model_path: str | None = None, keep_prefixes: bool = True, keep: tuple[str, ...] = ()
-) -> DataFrame:
+def prefix_counts(df: DataFrame, text: str = "text", model_path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Token counts of every prefix of a text column.
 
-    Returns the columns `keep`, n_bytes, n_tokens and, with keep_prefixes, prefix_ends and
-    prefix_tokens: the character offset of the end of each word and the exact tokens up to
-    there (`tokens_at` answers for any offset between). A null or empty text has 0 bytes, 0
-    tokens and no prefixes. Texts are never cut; rows stay where they are (no shuffle), and
-    memory is bounded by one Arrow batch. Columns of df that aren't in `keep` are not read.
+    Returns the columns `keep`, n_bytes, n_tokens and prefix_steps: a signed byte for each
+    character, whose sum up to any place is the exact count there. `tokens_at` and
+    `fitting_prefix` answer truncation and budget questions from it without the text or the
+    model. Null and empty texts have 0 bytes, 0 tokens and no steps; equal rows give equal
+    rows. Texts are never cut; rows stay where they are (no shuffle), and memory is bounded by
+    one slice of an Arrow batch. Columns of df that aren't in `keep` are not read.
     """
     path = model_path or public_tokenizers.path(MODEL)
     schema = T.StructType(
-        [df.schema[c] for c in keep]
-        + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
-        + [T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("prefix_ends", "prefix_tokens") if keep_prefixes]
+        [df.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("prefix_steps", T.BinaryType())]
     )
 
     def run(batches):
-        model = _model(path)
+        model = model_at(path)
         for batch in small(batches):
             texts = batch.column(batch.num_columns - 1)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            starts, ends, counts = prefix_table(texts, model)
-            total = counts[starts[1:] - 1] if len(counts) else np.zeros(0, np.int64)
-            cols = [*batch.columns[:-1], size, pa.array(np.where(np.asarray(size) == 0, 0, total), pa.int64())]
-            names = [*keep, "n_bytes", "n_tokens"]
-            if keep_prefixes:
-                offsets = pa.array(starts, pa.int32())
-                cols += [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for v in (ends, counts)]
-                names += ["prefix_ends", "prefix_tokens"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            steps = model.prefix_steps(texts.to_pylist())
+            total = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], size, pa.array(total, pa.int64()), pa.array(steps, pa.binary())], names=schema.names)
 
     # the text goes in under a name of its own, for `keep` may hold a column of any name
     return df.select(*[F.col(c) for c in keep], F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = prefix_counts(table(spark, sf_dir, "documents"), keep=("doc_id",), keep_prefixes=False)
+    """Token counts of all documents with the steps of every prefix; null text counts as empty."""
+    got = prefix_counts(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return got.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 

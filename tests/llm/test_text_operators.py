@@ -24,14 +24,36 @@ def words(text):
 
 
 def test_token_counts(docs, corpus):
-    model = token_counts._model(public_tokenizers.path(token_counts.MODEL))
+    """Every stored prefix against the library's encoding of that prefix."""
+    library = token_counts.model_at(public_tokenizers.path(token_counts.MODEL)).library
     got = {r.source_id: r for r in token_counts.prefix_counts(docs.withColumnRenamed("doc_id", "source_id").fillna(6, ["source_id"]), keep=("source_id",)).collect()}
     for i, (_, text, *_) in enumerate(corpus):
-        r = got[i]
-        assert (r.n_bytes, r.n_tokens) == (len((text or "").encode()), len(model.encode(text or "")))
+        r, text = got[i], text or ""
+        assert (r.n_bytes, r.n_tokens, len(r.prefix_steps)) == (len(text.encode()), len(library.encode(text)), len(text))
         rng = random.Random(i)
-        for at in sorted(rng.sample(range(len(text or "") + 1), min(12, len(text or "") + 1))):
-            assert token_counts.tokens_at(text or "", r.prefix_ends, r.prefix_tokens, at, public_tokenizers.path(token_counts.MODEL)) == len(model.encode((text or "")[:at]))
+        places = range(len(text) + 1) if len(text) < 700 else sorted(rng.sample(range(len(text) + 1), 12))
+        counts = {at: len(library.encode(text[:at])) for at in places}
+        assert {at: token_counts.tokens_at(r.prefix_steps, at) for at in places} == counts
+        if len(text) < 700:
+            for budget in (0, 1, 5, 40, 10_000):
+                assert token_counts.fitting_prefix(r.prefix_steps, budget) == max(at for at in places if counts[at] <= budget)
+
+
+@pytest.mark.parametrize("text", [" a", "a ", "a  b", "   ", "▁", "x▁ y", "　x", "<s>hi</s>", "a\n\nb \n c", "é ü 漢字 😀😀", "\r\n\x00 \x01", "a" * 300, " " * 40, "\t\t  \t", "the theatre"])
+def test_prefixes_of_odd_texts(text):
+    model = token_counts.model_at(public_tokenizers.path(token_counts.MODEL))
+    steps = model.prefix_steps([None, text, ""])[1]
+    assert [token_counts.tokens_at(steps, k) for k in range(len(text) + 1)] == [len(model.library.encode(text[:k])) for k in range(len(text) + 1)]
+
+
+def test_models_that_cannot_be_cut_at_blanks():
+    """Without cuts a text is one chunk with the same counts."""
+    model = token_counts.Model(public_tokenizers.path(token_counts.MODEL))
+    text = "two words,  and more of them"
+    want = model.prefix_steps([text])
+    model.steps.clear()
+    model.chunk = re.compile("(?s:.+)")
+    assert model.prefix_steps([text]) == want
 
 
 # --- decontamination
