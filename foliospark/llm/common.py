@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -39,24 +38,31 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Spark drops the shuffle files of a write when it is done, not at some later garbage collection.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends here."""
+    """df written as a table in the shared folder and read again: lineage ends here. Shuffle files
+    of the write go with its end; the session's setting for that is put back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     got = spark.read.schema(df.schema).parquet(path)
     got._stored_at = path
     return got
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes stored tables that nothing needs any more, and lets Spark's cleaner drop the
-    shuffle files of finished steps: it does so when the driver collects its garbage."""
+    """Deletes stored tables that nothing needs any more."""
     for t in tables:
         at = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 #: Rows that a task works on at once: an Arrow batch holds up to 10,000 of them.

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from foliospark.llm.common import mix, release, small, stored, table
 
 MIN_BYTES = 400
+#: Suffixes of a bucket, which one task sorts in memory (24 bytes each).
+BUCKET = 1 << 20
 #: Bytes that are worked on at once, whatever the length of a text.
 SEGMENT = 1 << 20
 
@@ -163,55 +165,57 @@ def _emit_suffixes(size: int, block: int):
     return run
 
 
-def _compare_neighbours(batches):
-    """Of suffixes in order: those that equal a neighbour, and the first of the first and of the
-    last group of the bucket with that group's size, for the comparison with other buckets."""
-    held, started = None, False
-
-    def rows(t1, t2, s, key, n, edge):
-        return pa.RecordBatch.from_arrays([_signed(t1), _signed(t2), pa.array(s.astype(np.int32)), pa.array(key), pa.array(np.minimum(n, 2).astype(np.int32)), pa.array(edge)], names=["t1", "t2", "s", "key", "n", "edge"])
-
-    def told(t1, t2s, key, is_first, is_last):
-        t2, s = t2s >> np.uint64(32), t2s & np.uint64(0xFFFFFFFF)
-        new = np.concatenate([[True], (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])])
-        head = np.flatnonzero(new)
-        count = np.diff(np.concatenate([head, [len(t1)]]))
-        n = np.repeat(count, count)
-        ends = np.unique(np.concatenate([head[:1] if is_first else head[:0], head[-1:] if is_last else head[:0]]))
-        yield rows(t1[ends], t2[ends], s[ends], key[ends], n[ends], np.full(len(ends), True))
-        # every member of an edge group is given, as it may have its equals in the next bucket
-        at_edge = np.zeros(len(t1), bool)
-        for e in ends:
-            at_edge[e : e + n[e]] = True
-        good = (n >= 2) & ~at_edge
-        yield rows(t1[good], t2[good], s[good], key[good], n[good], np.full(int(good.sum()), False))
-        rest = at_edge.copy()
-        rest[ends] = False
-        good = rest & (n >= 2)
-        yield rows(t1[good], t2[good], s[good], key[good], n[good], np.full(int(good.sum()), False))
-
-    for batch in batches:
-        if not batch.num_rows:
+def multikey_quicksort(tokens: list[np.ndarray], short: int = 2048) -> np.ndarray:
+    """The order of suffixes that are given token by token: three-way partitions by one token, and
+    those with the pivot's token go on with the next. Short stretches are sorted at once."""
+    order = np.arange(len(tokens[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        lo, hi, k = todo.pop()
+        own = order[lo:hi]
+        if hi - lo <= short:
+            order[lo:hi] = own[np.lexsort([t[own] for t in tokens[:k:-1]] + [tokens[k][own]])]
             continue
-        now = [batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
-        if held is not None:
-            now = [np.concatenate([a, b]) for a, b in zip(held, now)]
-        t1, t2 = now[0], now[1] >> np.uint64(32)
-        # the last group may go on in the next batch; of a long one two rows are enough to hold
-        last = np.flatnonzero((t1 != t1[-1]) | (t2 != t2[-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield from told(*(x[:cut] for x in now), not started, False)
-            started = True
-        held = [x[cut:] for x in now]
-        if len(held[0]) > 4096:
-            keep = held[0][:2], held[1][:2], held[2][:2]
-            t2h, s = held[1] >> np.uint64(32), held[1] & np.uint64(0xFFFFFFFF)
-            n = np.full(len(s) - 2, 2)
-            yield rows(held[0][2:], t2h[2:], s[2:], held[2][2:], n, np.full(len(n), False))
-            held = list(keep)
-    if held is not None:
-        yield from told(*held, not started, True)
+        v = tokens[k][own]
+        pivot = np.sort(v[:: len(v) // 31])[15]
+        less, more = v < pivot, v > pivot
+        same = ~(less | more)
+        order[lo:hi] = np.concatenate([own[less], own[same], own[more]])
+        a, b = lo + int(less.sum()), hi - int(more.sum())
+        todo += [(lo, a, k), (b, hi, k)]
+        if k + 1 < len(tokens):
+            todo.append((a, b, k + 1))
+    return order
+
+
+def _sort_and_compare(batches):
+    """A bucket's suffixes, sorted by multikey quicksort: those that equal a neighbour, and the
+    first of the first and of the last group with the group's size, for the comparison with
+    other buckets. A bucket is of bounded size (`BUCKET`)."""
+    held = [[x.to_numpy() for x in b.columns] for b in batches if b.num_rows]
+    if not held:
+        return
+    t1, t2s, key = (np.concatenate(x) for x in zip(*held))
+    del held
+    t1, t2s = t1.view(np.uint64), t2s.view(np.uint64)
+    order = multikey_quicksort([t1, t2s, key])
+    t1, t2s, key = t1[order], t2s[order], key[order]
+    t2, s = t2s >> np.uint64(32), t2s & np.uint64(0xFFFFFFFF)
+
+    def rows(at, n, edge):
+        return pa.RecordBatch.from_arrays(
+            [_signed(t1[at]), _signed(t2[at]), pa.array(s[at].astype(np.int32)), pa.array(key[at]), pa.array(np.minimum(n[at], 2).astype(np.int32)), pa.array(np.full(len(t1[at]), edge))],
+            names=["t1", "t2", "s", "key", "n", "edge"],
+        )
+
+    head = np.flatnonzero(np.concatenate([[True], (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])]))
+    count = np.diff(np.concatenate([head, [len(t1)]]))
+    n = np.repeat(count, count)
+    ends = np.unique(head[[0, -1]])
+    yield rows(ends, n, True)
+    inner = n >= 2
+    inner[ends] = False
+    yield rows(np.flatnonzero(inner), n, False)
 
 
 def word_windows(text: str, words: int, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -254,11 +258,12 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, words: int = 0) -> Da
     those of so many words.
 
     Candidate suffixes are those around an anchor that occurs again (`anchored_runs`). Where
-    the whole context of an anchor occurs again, all its suffixes do. The other suffixes are
-    range-partitioned by their tokens at sampled splitters, sorted in each bucket and compared
-    with their neighbours, the ends of buckets with each other. Tokens are fingerprints of
-    half a window, so a suffix is 12 bytes instead of `size`. A group of equal suffixes of any
-    size may lie in several buckets; nothing is gathered by group.
+    the whole context of an anchor occurs again, all its suffixes do, known by 128 bits. The
+    other suffixes are range-partitioned by their tokens at sampled splitters into buckets of
+    some BUCKET suffixes, sorted in each by multikey quicksort and compared with their
+    neighbours, the ends of buckets with each other. Tokens are fingerprints of half a window
+    (96 bits are compared), so a suffix is 12 bytes instead of `size`. A group of equal
+    suffixes of any size may lie in several buckets; nothing is gathered by group.
     """
     spark, block = docs.sparkSession, size // 2
     runs = stored(docs.select("key", "text").mapInArrow(_find_runs(size, block), "key long, k long, c long, reps int, s int, n int"), "runs")
@@ -270,16 +275,17 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, words: int = 0) -> Da
     ctx = stored(cand.groupBy("k", "c").agg(F.sum("reps").alias("reps"), F.min(F.struct("key", "s", "n")).alias("r")), "contexts")
     # stored, so that the join has two plain exchanges and Spark can split the rows of a common k
     contested = stored(ctx.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "contested")
-    asked = ctx.join(contested, "k", "left_semi").groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("r.s", "r.n")).alias("asked"))
+    asked = stored(ctx.join(contested, "k", "left_semi").groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("r.s", "r.n")).alias("asked")), "asked")
     wholly = stored(cand.join(ctx.where("reps > 1").select("k", "c"), ["k", "c"], "left_semi").select("key", F.struct("s", (F.col("n") + size - 1).alias("n")).alias("span")), "spans")
     texts = docs.select("key", "text").mapInArrow(_compress, "key long, text binary").join(asked, "key")
     suffixes = texts.mapInArrow(_emit_suffixes(size, block), "t1 long, t2s long, key long")
-    bucketed = suffixes.repartitionByRange("t1", "t2s", "key").sortWithinPartitions("t1", "t2s", "key")
-    told = stored(bucketed.mapInArrow(_compare_neighbours, "t1 long, t2 long, s int, key long, n int, edge boolean"), "told")
-    release(spark, cand, ctx, contested)
+    total = asked.agg(F.sum(F.aggregate("asked", F.lit(0).cast("long"), lambda n, r: n + r["n"]))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    told = stored(suffixes.repartitionByRange(buckets, "t1", "t2s", "key").mapInArrow(_sort_and_compare, "t1 long, t2 long, s int, key long, n int, edge boolean"), "told")
+    release(spark, cand, ctx, contested, asked)
     edges = told.where("edge")
     meets = edges.groupBy("t1", "t2").agg(F.sum("n").alias("m")).where("m > 1").select("t1", "t2")
-    across = edges.join(F.broadcast(meets), ["t1", "t2"], "left_semi")  # two rows a bucket at most
+    across = edges.join(meets, ["t1", "t2"], "left_semi")  # two rows a bucket at most
     found = told.where("NOT edge").select("key", "s").union(across.select("key", "s")).select("key", F.struct("s", F.lit(size).alias("n")).alias("span"))
     if words:
         found = found.union(repeated_words(docs, words, size))
@@ -336,7 +342,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, k
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), keep=("doc_id",), with_text=False)
+    """Repeats of 400 bytes in all documents, with the text that is left of each."""
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=("doc_id",))
 
 
 QUERIES = {"op9_suffix_array": op9_suffix_array}

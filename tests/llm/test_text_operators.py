@@ -290,6 +290,7 @@ def test_repeats(spark, corpus, monkeypatch, size, segment):
         a = rng.choice([t for t in texts if t and len(t) > 60])
         k, n = rng.randrange(len(a) // 2), rng.randrange(30, 900)
         texts.append("<" + a[k : k + n] + rng.choice("!?é") + a[k + n : k + 2 * n])
+    monkeypatch.setattr(suffix_array, "BUCKET", 500)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(4)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.remove_repeats(df, size=size, keep=("doc_id",)).collect()}
     assert [got[i] for i in range(len(texts))] == removed(texts, size)
@@ -303,14 +304,26 @@ def test_repeats_odd_tables(spark, no_docs):
     assert got == [("1", 0), ("1", 0), ("2", 402), ("None", 400), ("None", 400)]
 
 
+@pytest.mark.parametrize("small", [1, 8, 5000])
+def test_multikey_quicksort(small):
+    rng = np.random.default_rng(small)
+    for high in (2, 5, 1 << 40):
+        tokens = [rng.integers(0, high, 3000) for _ in range(3)]
+        got = suffix_array.multikey_quicksort(tokens, max(small, 31))
+        rows = list(zip(*(t.tolist() for t in tokens)))
+        assert [rows[i] for i in got] == sorted(rows)
+
+
 def test_long_groups_of_equal_suffixes():
-    """A group that goes on over batches is told once, its rows all."""
+    """A group that fills a bucket is told whole; its first row stands for it at the edge."""
     n = 10_000
-    t1, t2s = np.array([1] + [5] * n + [9], np.uint64), np.concatenate([[0], np.arange(n), [0]]).astype(np.uint64)
+    t1, t2s = np.array([5] * n + [9, 1], np.uint64), np.concatenate([np.arange(n), [0, 0]]).astype(np.uint64)
     whole = pa.RecordBatch.from_arrays([pa.array(t1.view(np.int64)), pa.array(t2s.view(np.int64)), pa.array(np.zeros(n + 2, np.int64))], names=["t1", "t2s", "key"])
-    told = pa.Table.from_batches(list(suffix_array._compare_neighbours(whole.slice(k, 3000) for k in range(0, n + 2, 3000))))
-    five = [s for t, s, e in zip(told["t1"].to_pylist(), told["s"].to_pylist(), told["edge"].to_pylist()) if t == 5]
-    assert sorted(five) == list(range(n))
+    told = pa.Table.from_batches(list(suffix_array._sort_and_compare(whole.slice(k, 3000) for k in range(0, n + 2, 3000))))
+    rows = list(zip(told["t1"].to_pylist(), told["s"].to_pylist(), told["edge"].to_pylist()))
+    assert sorted(s for t, s, e in rows if t == 5) == list(range(n)) and {t for t, _, e in rows if e} == {1, 9}
+    alone = pa.Table.from_batches(list(suffix_array._sort_and_compare([whole.slice(0, n)])))
+    assert alone["edge"].to_pylist() == [True] + [False] * (n - 1) and alone["n"].to_pylist()[0] == 2
 
 
 # --- empty tables and repeated rows of the others
