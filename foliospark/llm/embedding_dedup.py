@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.llm.common import components, forest, in_blocks, mix, stored, table, whole_groups
 
@@ -13,7 +14,10 @@ COSINE = 0.98
 #: Unit vectors at this cosine are 0.2 apart; a projection quantised in steps of 2 keeps such a
 #: pair together with probability 0.92, 16 of them with 0.26, and one of 36 tables with 0.99998.
 WIDTH, PROJECTIONS, TABLES = 2.0, 16, 36
-CHUNK = 256
+#: Vectors of a crowded bucket's chunk; a block compares two chunks.
+CHUNK = 512
+#: Buckets of more vectors are compared as a matrix, smaller ones pair by pair over many buckets at once.
+FEW, PAIRS = 24, 16_384
 
 
 def planes(dim: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -23,92 +27,123 @@ def planes(dim: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buckets(unit: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The bucket of each unit vector in each table, of its label and dimension alone."""
+    """The bucket of each unit vector in each table, of its label's hash and dimension alone."""
     a, b = planes(unit.shape[1])
     step = np.floor((unit @ a + b) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(unit), TABLES, PROJECTIONS)
-    salt = labels.astype(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(TABLES, dtype=np.uint64) + np.uint64(unit.shape[1] << 20)
+    salt = labels[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(TABLES, dtype=np.uint64) + np.uint64(unit.shape[1] << 20)
     key = mix(salt)
     for k in range(PROJECTIONS):
         key = mix(key ^ step[:, :, k])
     return key.view(np.int64)
 
 
-def _units(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dimension: rows and their unit vectors."""
+def _hashes(labels: pa.Array) -> np.ndarray:
+    """64-bit hashes of label texts."""
+    import xxhash
+
+    coded = labels.dictionary_encode()
+    return np.array([xxhash.xxh64_intdigest(v) for v in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
+
+
+def _units(column: pa.Array, kind: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dimension: rows and their unit vectors, scaled first so that no square overflows."""
     out: dict[int, list] = {}
     for i, v in enumerate(column.to_pylist()):
-        out.setdefault(len(v) // 4, []).append((i, v))
+        out.setdefault(len(v) // np.dtype(kind).itemsize, []).append((i, v))
     done = {}
     for dim, rows in out.items():
-        m = np.frombuffer(b"".join(v for _, v in rows), np.float32).reshape(-1, dim).astype(np.float64)
+        m = np.frombuffer(b"".join(v for _, v in rows), kind).reshape(-1, dim).astype(np.float64)
+        m = m / np.abs(m).max(1)[:, None]
         done[dim] = np.array([i for i, _ in rows]), m / np.sqrt((m * m).sum(1))[:, None]
     return done
 
 
-def _digest(batches):
-    """(id, label, f1, f2, vector) of the vectors that can be compared."""
+def _digest(kind: str):
+    """(id, label, f1, f2, vector) of the vectors that can be compared; f1 and f2 are a 128-bit
+    hash of label and vector."""
     import xxhash
 
-    for batch in batches:
-        keep, raw = [], []
-        for i, v in enumerate(batch.column(2).to_pylist()):
-            if v and None not in v:
-                x = np.asarray(v, np.float32) + np.float32(0)  # -0 becomes 0
-                if np.isfinite(x).all() and x.any():
-                    keep.append(i)
-                    raw.append(x.tobytes())
-        if keep:
-            at = pa.array(keep)
-            label = batch.column(1).take(at)
-            f = [pa.array(np.array([xxhash.xxh64_intdigest(v, seed=s + 2 * (g & 0xFFFFFFFF)) for v, g in zip(raw, label.to_pylist())], np.uint64).view(np.int64)) for s in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), label, *f, pa.array(raw, pa.binary())], names=["id", "label", "f1", "f2", "vector"])
-
-
-def _tables(batches):
-    for batch in batches:
-        labels = batch.column(1).to_numpy()
-        for rows, unit in _units(batch.column(2)).values():
-            key = buckets(unit, labels[rows])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel()), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(rows))), batch.column(0).take(pa.array(np.repeat(rows, TABLES)))], names=["bucket", "t", "id"]
-            )
-
-
-def _compare(cosine: float):
+    def run(batches):
+        for batch in batches:
+            keep, raw, f = [], [], []
+            for i, (g, v) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if v and None not in v:
+                    x = np.asarray(v, kind) + np.zeros(1, kind)  # -0 becomes 0
+                    if np.isfinite(x).all() and x.any():
+                        keep.append(i)
+                        raw.append(x.tobytes())
+                        f.append(xxhash.xxh128_digest(g.encode("utf-8", "surrogatepass") + b"\xff" + raw[-1]))
+            if keep:
+                at = pa.array(keep)
+                both = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)), pa.array(raw, pa.binary())], names=["id", "label", "f1", "f2", "vector"])
+
+    return run
+
+
+def _tables(kind: str):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            labels = _hashes(batch.column(1))
+            for rows, unit in _units(batch.column(2), kind).values():
+                key = buckets(unit, labels[rows])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.ravel()), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(rows))), batch.column(0).take(pa.array(np.repeat(rows, TABLES)))], names=["bucket", "t", "id"]
+                )
+
+    return run
+
+
+def _pairs(unit: np.ndarray, group: np.ndarray, cosine: float):
+    """Pairs (i, j) with i < j of one group and a cosine of `cosine` or more, some at a time.
+    Rows of a group stand together."""
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.concatenate([head, [len(group)]]))
+    few = np.repeat(size <= FEW, size)
+    for lag in range(1, min(FEW, int(size.max()))):
+        at = np.flatnonzero(few[lag:] & (group[lag:] == group[:-lag]))
+        for k in range(0, len(at), PAIRS):
+            i = at[k : k + PAIRS]
+            i = i[np.einsum("ij,ij->i", unit[i], unit[i + lag]) >= cosine]
+            yield i, i + lag
+    for lo, n in zip(head[size > FEW], size[size > FEW]):
+        own = unit[lo : lo + n]
+        i, j = np.nonzero(np.triu(own @ own.T >= cosine, 1))
+        for k in range(0, len(i), PAIRS):
+            yield lo + i[k : k + PAIRS], lo + j[k : k + PAIRS]
+
+
+def _compare(cosine: float, kind: str):
     """Rows (a, b, links): a forest of the links found in a block, and each member's links. A pair
-    that meets in several tables counts in the first of them only."""
+    that meets in several tables counts in the first of them only; labels must be equal."""
 
     def run(batches):
         for t in whole_groups(batches, ("bucket", "x", "y")):
             t = t.combine_chunks()
-            key = [t.column(c).to_numpy() for c in ("bucket", "x", "y")]
-            ids, copies, chunk, at, labels = (t.column(c).to_numpy() for c in ("id", "copies", "chunk", "t", "label"))
-            group = np.cumsum(np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])]))
-            one_chunk = key[1] == key[2]
-            codes, vectors = np.empty((len(ids), TABLES), np.int64), [None] * len(ids)
-            for rows, unit in _units(t.column("vector").chunk(0)).values():
-                codes[rows] = buckets(unit, labels[rows])
-                for r, u in zip(rows, unit):
-                    vectors[r] = u
+            key = np.stack([t.column(c).to_numpy() for c in ("bucket", "x", "y")])
+            ids, copies, chunk, at = (t.column(c).to_numpy() for c in ("id", "copies", "chunk", "t"))
+            text = t.column("label").chunk(0)
+            label, hashed = text.dictionary_encode().indices.to_numpy(), _hashes(text)
+            group = np.cumsum(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+            within = key[1] == key[2]  # a block of one chunk with itself
             links, left, right = np.zeros(len(ids), np.int64), [], []
-            for lag in range(1, len(ids)):
-                i = np.flatnonzero((group[lag:] == group[:-lag]) & (one_chunk[lag:] | (chunk[lag:] != chunk[:-lag])) & (ids[lag:] != ids[:-lag]))
-                if not (group[lag:] == group[:-lag]).any():
-                    break
-                for part in np.array_split(i, len(i) // 65536 + 1):
-                    if not len(part):
-                        continue
-                    a, b = np.stack([vectors[k] for k in part]), np.stack([vectors[k + lag] for k in part])
-                    near = part[(a * b).sum(1) >= cosine]
-                    near = near[(codes[near] == codes[near + lag]).argmax(1) == at[near]]
-                    np.add.at(links, near, copies[near + lag])
-                    np.add.at(links, near + lag, copies[near])
-                    left.append(near)
-                    right.append(near + lag)
+            for rows, unit in _units(t.column("vector").chunk(0), kind).values():
+                codes = buckets(unit, hashed[rows])
+                for i, j in _pairs(unit, group[rows], cosine):
+                    a, b = rows[i], rows[j]
+                    good = (label[a] == label[b]) & (ids[a] != ids[b]) & (within[a] | (chunk[a] != chunk[b]))
+                    good &= (codes[i] == codes[j]).argmax(1) == at[a]
+                    left.append(a[good])
+                    right.append(b[good])
             if left:
-                label = forest(len(ids), np.concatenate(left), np.concatenate(right))
-                b, own = np.flatnonzero(label != np.arange(len(ids))), np.flatnonzero(links)
-                cols = [np.concatenate([ids[label[b]], ids[own]]), np.concatenate([ids[b], ids[own]]), np.concatenate([np.zeros(len(b), np.int64), links[own]])]
+                i, j = np.concatenate(left), np.concatenate(right)
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                root = forest(len(ids), i, j)
+                b, own = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(links)
+                cols = [np.concatenate([ids[root[b]], ids[own]]), np.concatenate([ids[b], ids[own]]), np.concatenate([np.zeros(len(b), np.int64), links[own]])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "links"])
 
     return run
@@ -121,20 +156,32 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     linked directly, the least id that links reach, and whether that is its own. Vectors that
     are null, empty, zero or hold nulls or non-finite numbers, and those without a label or an
     id, link with nothing: no links, their own id, kept. Vectors of different lengths don't
-    link. Rows repeated in full, and equal vectors of one label, are links of each other; they
-    are folded into one before hashing. Crowded buckets are dealt into blocks of bounded size,
-    which give out counts and spanning forests, never pairs.
+    link. Labels may be of any type that casts to a text and are compared by that text.
+    Numbers stay as they are given: floats as floats, all others as doubles. Rows repeated in
+    full, and equal vectors of one label, are links of each other; they are folded into one
+    before hashing. Rows of one id must be repeats of one row. Other columns are not read.
+
+    Buckets of several tables with the same members are one bucket. Crowded buckets are dealt
+    into blocks of bounded size, which give out counts and spanning forests, never pairs.
     """
-    mine = vectors.select(F.col(id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<float>").alias("e"))
-    base = stored(mine.where("id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL").mapInArrow(_digest, "id long, label long, f1 long, f2 long, vector binary"), "vectors")
+    single = isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType)
+    kind, value = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    group = F.col(label)
+    if isinstance(vectors.schema[label].dataType, (T.FloatType, T.DoubleType)):
+        group = group + F.lit(0.0)  # -0 becomes 0
+    mine = vectors.select(F.col(id).cast("long").alias("id"), group.cast("string").alias("label"), F.col(embedding).cast(value).alias("e"))
+    base = stored(mine.where("id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL").mapInArrow(_digest(kind), "id long, label string, f1 long, f2 long, vector binary"), "vectors")
     sets = stored(base.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
     nodes = base.join(sets.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep", "copies"), (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")))
     nodes = stored(nodes.select("id", "label", "copies", "vector").dropDuplicates(["id"]), "nodes")
-    dealt = nodes.select("id", "label", "vector").mapInArrow(_tables, "bucket long, t int, id long")
-    crowd = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    dealt = nodes.select("id", "label", "vector").mapInArrow(_tables(kind), "bucket long, t int, id long")
+    crowd = dealt.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("m"), F.min("t").alias("t"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")
+    ).where("m > 1")
+    crowd = crowd.groupBy("m", "h1", "h2").agg(F.min_by("bucket", "t").alias("bucket")).select("bucket", "m")
     met = in_blocks(dealt.join(crowd, "bucket"), "bucket", "id", F.ceil(F.col("m") / CHUNK)).join(nodes, "id")
     met = met.select("bucket", "x", "y", "t", "chunk", "id", "label", "copies", "vector").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "id")
-    told = stored(met.mapInArrow(_compare(cosine), "a long, b long, links long"), "links")
+    told = stored(met.mapInArrow(_compare(cosine, kind), "a long, b long, links long"), "links")
     final = components(told.where("a <> b").select("a", "b"))
     links = told.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     known = sets.join(links, "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -147,6 +194,7 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings of equal labels."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 

@@ -38,6 +38,28 @@ def test_near_vectors(spark, monkeypatch, chunk):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind,labels", [("long", [5, 5 + (1 << 32), -1, (1 << 32) - 1]), ("string", ["a", "A", "", "é"]), ("double", [0.5, 0.25, -1.0, 1e300])])
+def test_labels_and_doubles(spark, kind, labels):
+    """Labels are compared whole, in any type; vectors keep the precision and range of doubles."""
+    a, b = [1e39, 2e39, -1e39], [1e-50, 2e-50, -1e-50]
+    rows = [(i, a, g) for i, g in enumerate(labels)] + [(10 + i, b, g) for i, g in enumerate(labels)] + [(30, [1e200, 2e200, -1e200], labels[0]), (31, [1e-200, 2e-200, -1e-200], labels[0]), (32, [1.0, -2.0, 1.0], labels[0])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got[0] == got[10] == got[30] == got[31] == (3, 0) and got[32] == (0, 32)
+    assert all(got[i] == got[10 + i] == (1, i) for i in range(1, len(labels)))
+
+
+def test_many_dense_groups(spark):
+    """Clusters of more vectors than FEW, whose members meet in most tables, against all pairs."""
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.standard_normal(24) + rng.standard_normal((90, 24)) * s for s in (0.005, 0.05, 0.12)]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), "g") for i, x in enumerate(v)], "vec_id long, embedding array<float>, label string").repartition(3)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    links = (u @ u.T >= 0.98) & ~np.eye(len(u), dtype=bool)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {i: int(n) for i, n in enumerate(links.sum(1))}
+
+
 URLS = [("https://a.example.org/es/1", "block", "example.org/es/"), ("https://EXAMPLE.org/en/12?x#y", "block", "example.org/en/1"), ("http://x.org", "allow", None), ("http://x.org/", "allow", "org/"), ("https://b.com/fr/", "allow", "com/fr/"), ("https://b.com/de/", "block", "com/de/"), ("https://notexample.org/es/", "allow", "org/"), ("nothing", "allow", None), (None, "allow", None), ("", "allow", None), ("a://b://c/d", "allow", None)]
 
 
