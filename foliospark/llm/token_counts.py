@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -40,21 +41,21 @@ class Model:
         # where no piece has a blank after another character, no merge crosses the beginning of
         # a run of blanks and counts add up there; otherwise a text is one chunk
         apart = not any(_MARK in p.lstrip(_MARK) for p in self.score)
-        #: What cuts a text that has a blank before it where counts add up.
         self.chunk = re.compile(f"{_MARK}+[^{_MARK}]*" if apart else "(?s:.+)")
         self.after: dict[tuple[str, str], bool] = {}
         self.steps: dict[str, bytes] = {}
 
-    def counts(self, chunk: str) -> list[int]:
-        """Tokens of chunk[:i] for i = 1..len(chunk), by dynamic programming over the last token.
+    def counts(self, chunk: str, last: list[str] | None = None, count: list[int] | None = None) -> list[int]:
+        """[0, tokens of chunk[:1], tokens of chunk[:2], ...] by dynamic programming over the last
+        token. `last` and `count` have what is known of a prefix and are carried on.
 
         A prefix's encoding is a shorter prefix's encoding and one token more. Of the tokens
         that end at i exactly one stays apart from the last token of the shorter prefix when
         the two are merged together. A character without a piece counts as its UTF-8 bytes.
         """
         score, tails, after = self.score, self.tails, self.after
-        last, count = [""], [0]
-        for i in range(1, len(chunk) + 1):
+        last, count = ([""], [0]) if last is None else (last, count)
+        for i in range(len(last), len(chunk) + 1):
             j = i - 1
             piece = chunk[j]
             known = piece in score
@@ -72,7 +73,7 @@ class Model:
                 if j < 0 or piece not in tails:
                     raise ValueError(f"no token of the model ends {chunk[:i]!r}")
                 known = piece in score
-        return count[1:]
+        return count
 
     def _apart(self, a: str, b: str) -> bool:
         if len(self.after) >= CHUNKS:
@@ -91,32 +92,37 @@ class Model:
             got[k : k + 2] = [got[k] + got[k + 1]]
         return got
 
-    def learn(self, chunks) -> dict[str, bytes]:
-        """What each character of the chunks adds to the count, a signed byte each. The library's
-        own counts of the chunks are the check; where they differ it encodes each prefix."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self.steps]
-        if len(self.steps) + len(new) > CHUNKS:
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """What each character of the chunks adds to the count, a signed byte each. In sorted order
+        a chunk goes on from the prefix that it shares with the one before. The library's own
+        counts of the chunks are the check; where they differ it encodes each prefix."""
+        if len(self.steps) + len(chunks) > CHUNKS:
             self.steps.clear()
-            new = list(dict.fromkeys(chunks))
+        new = sorted(chunks - self.steps.keys())
+        before, last, count = "", [""], [0]
         for chunk, ids in zip(new, self.library.encode([c[1:] for c in new], num_threads=1)):
-            counts = self.counts(chunk)
-            if counts[-1] != len(ids) and len(chunk) > 1:
-                counts = [1, *(len(self.library.encode(chunk[1:i])) for i in range(2, len(chunk) + 1))]
-            self.steps[chunk] = bytes([(b - a) & 0xFF for a, b in zip([0, *counts], counts)])
+            k = len(commonprefix((before, chunk)))
+            del last[k + 1 :], count[k + 1 :]
+            got, before = self.counts(chunk, last, count), chunk
+            if got[-1] != len(ids) and len(chunk) > 1:
+                got = [0, 1, *(len(self.library.encode(chunk[1:i])) for i in range(2, len(chunk) + 1))]
+            self.steps[chunk] = bytes([b - a & 0xFF for a, b in pairwise(got)])
         return self.steps
 
     def prefix_steps(self, texts: list[str | None]) -> list[bytes]:
         """Of each text a signed byte a character: their sum up to any character is the exact
         number of tokens of the text up to there."""
         cut = [self.chunk.findall((_MARK + t).replace(" ", _MARK)) if t else () for t in texts]
-        steps = self.learn(chain.from_iterable(cut)) if any(cut) else {}
+        wanted = set(chain.from_iterable(cut))
+        steps = self.learn(wanted)
         out = []
         for chunks in cut:
             got = b"".join(map(steps.__getitem__, chunks))
             # the blank before the text is no character of it, and an empty prefix has no tokens
             out.append(bytes([got[0] + got[1] & 0xFF]) + got[2:] if got else got)
-        for long in [c for c in steps if len(c) > CHUNK_CHARS]:
-            del steps[long]
+        for chunk in wanted:
+            if len(chunk) > CHUNK_CHARS:
+                del steps[chunk]
         return out
 
 
