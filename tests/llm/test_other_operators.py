@@ -73,36 +73,56 @@ def test_given_rules(spark):
 
 
 def test_mined_rules(spark):
-    """Combinations found by FP-growth are those that counting all subsets gives."""
+    """Rules block what counting all subsets of tokens blocks, of any size and on any host suffix."""
     from itertools import combinations
 
     rng = random.Random(1)
     pages, labels = [], []
     for i in range(400):
-        host, part = rng.choice(["good", "spam", "mixed"]) + ".net", rng.choice(["win", "news"])
-        pages.append((i, f"http://{host}/{part}/{i}"))
-        bad = host == "spam.net" or host == "mixed.net" and part == "win"
+        host, part = rng.choice(["www.good"] * 4 + ["a.spam", "b.spam", "x.mixed"]) + ".net", rng.choice(["win/big", "news"])
+        flags = [x for x in "abc" if rng.random() < 0.7]
+        pages.append((i, f"http://{host}/{part}/{i}" + ("?" + "&".join(flags) if flags else "")))
+        bad = ".spam." in host or ".mixed." in host and part == "win/big" or ".good." in host and part == "news" and flags == ["a", "b", "c"]
         labels.append((i, 0 if bad and rng.random() < 0.95 else 1, 0))
     labels += [(None, 0, 1), (5000, None, None)]
     p, lab = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     mined = stored(url_rules.mine(p, lab, support=0.02))
-    got = {frozenset(r["items"]): r.confidence for r in mined.collect()}
-    assert frozenset(["host:spam.net"]) in got and frozenset(["host:mixed.net", "path:win"]) in got
-    tokens = {r.page_id: r.t for r in p.select("page_id", url_rules.tokens_of(p.url).alias("t")).collect()}
+    got = {frozenset(r["items"]): (r.confidence, r.freq, r.key) for r in mined.collect()}
+    assert frozenset(["host:spam.net", "host:net"]) in got
+    assert frozenset(["host:x.mixed.net", "host:mixed.net", "host:net", "path:win", "path:big"]) not in got  # its shorter suffix implies it
+    assert frozenset(["host:mixed.net", "host:net", "path:win", "path:big"]) in got
+    assert frozenset(["host:good.net", "host:net", "path:news", "query:a", "query:b", "query:c"]) in got
+    tokens = {r.page_id: set(r.t) for r in p.select("page_id", url_rules.tokens_of(p.url).alias("t")).collect()}
     bad = {i for i, q, t in labels if i is not None and (q == 0 or t == 1)}
+    share = len(bad & set(tokens)) / len(tokens)
+    sure = lambda n, m: m >= 8 and m / n >= max(0.6, 1.5 * share)
+    for rule, (confidence, freq, key) in got.items():
+        there = {i for i, t in tokens.items() if rule <= t}
+        assert (freq, confidence) == (len(there), pytest.approx(len(there & bad) / len(there))) and sure(len(there), len(there & bad))
+        assert len({i for i, t in tokens.items() if key in t}) == min(len({i for i, t in tokens.items() if x in t}) for x in rule)
+        assert not any(got.get(rule - {x}, (0,))[0] >= confidence for x in rule)
     count, with_bad = {}, {}
     for i, t in tokens.items():
-        for n in range(1, 5):
-            for c in map(frozenset, combinations(t, n)):
+        for n in range(1, len(t) + 1):
+            for c in map(frozenset, combinations(sorted(t), n)):
                 count[c] = count.get(c, 0) + 1
                 with_bad[c] = with_bad.get(c, 0) + (i in bad)
-    share = len(bad & set(tokens)) / len(tokens)
-    want = {c: with_bad[c] / n for c, n in count.items() if with_bad[c] >= 0.02 * len(tokens) and with_bad[c] / n >= max(0.6, 1.5 * share)}
-    want = {c: x for c, x in want.items() if not any(want.get(c - {y}, -1) >= x for y in c)}
-    assert got == pytest.approx(want)
+    want = {c for c, n in count.items() if sure(n, with_bad[c])}
     verdicts = {r.page_id: r.verdict for r in url_rules.judge(p, mined).collect()}
-    assert verdicts == {i: "block" if any(c <= set(tokens[i]) for c in want) else "allow" for i in tokens}
+    assert verdicts == {i: "block" if any(c <= t for c in want) else "allow" for i, t in tokens.items()}
     assert url_rules.mine(p, lab.limit(0)).count() == 0
+    assert url_rules.judge(p.limit(0), mined).count() == 0 and url_rules.mine(p.limit(0), lab).count() == 0
+    assert url_rules.mine(p.where("page_id < 8"), lab).count() == 0  # fewer bad pages than LEAST
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://" + "a." * 3000 + "example.org/es/" + "x/" * 20_000 + "?" + "&".join(map(str, range(5000)))
+    rows = [(1, long, 7), (1, long, 7), (2, "https://b.example.org/es/", 7), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, key int")
+    mined = url_rules.mine(df, spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int"), least=1)
+    got = sorted(((r.page_id or 0, r.verdict, r.rule, len(r.path)) for r in url_rules.judge(df, mined).collect()))
+    assert got == [(0, "allow", None, 0), (1, "block", "example.org/es/", 40_004), (1, "block", "example.org/es/", 40_004), (2, "block", "example.org/es/", 4)]
+
 
 
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href="/x">x</a></li></ul></nav><!-- <p>no</p> --><div class="cookie notice">We use cookies</div><aside class="sidebar">side</aside>%s<section class="comments"><p>nice!</p></section><form><p>mail</p><input></form><footer>&copy; foot</footer></body></html>'
