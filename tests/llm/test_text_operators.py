@@ -83,18 +83,27 @@ def test_decontamination(spark, docs, corpus):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = contaminated(corpus, items)
     mine = docs.withColumnRenamed("doc_id", "row").fillna(6, ["row"])
-    for run in (decontamination.contamination(mine, bench, keep=("row",)), decontamination.contamination(mine, bench, keep=("row",), max_words=0)):
-        got = {r.row: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in run.collect()}
-        assert got == want
-    spans = {r.row: r.hit_spans for r in decontamination.contamination(mine, bench, keep=("row",)).collect()}
-    assert [corpus[12][1][s.start : s.end] for s in spans[12]] == ["one two"]
-    for i, ranges in spans.items():
-        hit = [w for s in ranges for w in words((corpus[i][1] or "")[s.start : s.end])]
-        assert len(hit) == want[i][1]
+    one = decontamination.contamination(mine, bench, keep=("row",))
+    many = decontamination.contamination(mine, bench, keep=("row",), max_words=150)
+    assert one.schema == many.schema
+    for run in (one, many):
+        rows = {r.row: r for r in run.collect()}
+        assert {i: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in rows.items()} == want
+        assert [corpus[12][1][s.start : s.end] for s in rows[12].hit_spans] == ["one two"]
+        for i, r in rows.items():
+            assert sum(len(words((corpus[i][1] or "")[s.start : s.end])) for s in r.hit_spans) == want[i][1]
+            assert all(a.end < b.start for a, b in zip(r.hit_spans, r.hit_spans[1:]))
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontamination.contamination(mine, none, keep=("row",)).collect()} == {0}
 
 
+@pytest.mark.parametrize("size", [1, 5, 1000])
+def test_slices_have_each_window_once(size):
+    text = " ".join(map(str, range(40)))
+    got = [w for _, part in decontamination.slices([(1, text), (2, "a b"), (3, ""), (4, None)], 13, size) for w in decontamination.windows_of(part)]
+    assert got == [w for t in (text, "a b") for w in decontamination.windows_of(decontamination.words_of(t))]
+
+
 # --- packing
 
 
