@@ -54,7 +54,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a twentieth of their words in benchmark windows."""
-    got = contamination(_whole(docs), table(spark, sf_dir, "benchmark"), "__body", keep=("__row", "__body"), with_spans=False)
+    got = contamination(_whole(docs), table(spark, sf_dir, "benchmark"), "__body", keep=("__row", "__body"))
     return _again(docs, got.where(~F.col("contaminated")), text=F.col("__body"))
 
 
