@@ -224,8 +224,13 @@ def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), capaci
     for r in sorted(sizes, key=lambda r: (r[0], r[1])):
         base[r[0], r[1]] = counts.get(r[0], 0)
         counts[r[0]] = counts.get(r[0], 0) + r[2]
-    held = spark.sparkContext.broadcast((base, slots(plan(counts, capacity))))
-    ranked = pieces.repartition("length", "__part").sortWithinPartitions("length", "__part", "ids_crc32", "start")
+    counts.pop(capacity, None)
+    sequences = plan(counts, capacity)
+    number = sum(times for times, _ in sequences)
+    held = spark.sparkContext.broadcast((base, slots(sequences)))
+    full = pieces.where(F.col("length") == capacity).drop("__part")  # alone in a sequence: numbered where they are
+    full = full.withColumn("sequence_id", F.lit(number) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    ranked = pieces.where(F.col("length") < capacity).repartition("length", "__part").sortWithinPartitions("length", "__part", "ids_crc32", "start")
     done = T.StructType([f for f in pieces.schema.fields if f.name != "__part"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
@@ -245,10 +250,11 @@ def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), capaci
             cols = [c for c, f in zip(batch.columns, batch.schema.names) if f != "__part"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(off)], names=done.names)
 
-    return ranked.mapInArrow(place, done)
+    return ranked.mapInArrow(place, done).union(full)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens."""
     return pack(table(spark, sf_dir, "documents"), keep=("doc_id",))
 
 
