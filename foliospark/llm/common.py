@@ -76,6 +76,22 @@ def small(batches):
             yield batch.slice(k, ROWS)
 
 
+def compressed(batches):
+    """The last column, a text, as zstd, so that it is shuffled at a third of its size."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in small(batches):
+        packed = pa.array([squeeze.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(batch.num_columns - 1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
+
+
+def unpacked(packed: pa.Scalar) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(packed.as_py())
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of [0-9a-z] and of any non-ASCII letters, after A-Z are lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []

@@ -9,20 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import components, forest, in_blocks, mix, normal_words, release, small, stored, table, whole_groups
+from foliospark.llm.common import components, compressed, forest, in_blocks, mix, normal_words, release, small, stored, table, unpacked, whole_groups
 
 WORDS = 5
 SIMILARITY = 0.8
-TREES, DEPTH = 24, 5
+TREES, DEPTH = 24, 6
 RECALL = 0.99999
-#: Members of a block's chunk: of a trie node, and when shingles are compared.
-NODE_CHUNK, BLOCK_CHUNK, BLOCK_SHINGLES = 256, 128, 500_000
+#: Members of a block's chunk: of a trie node, and when n-grams are compared.
+NODE_CHUNK, BLOCK_CHUNK, BLOCK_SHINGLES = 256, 192, 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def prefix_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair of this similarity meets in some tree with the
-    recall wanted: prefixes are shortened from the tries' full depth until it is reached."""
+    """Where shortening may end: the longest prefix at which a pair of this similarity meets in
+    some tree with the recall wanted."""
     for d in range(depth, 1, -1):
         if 1 - (1 - similarity**d) ** trees >= recall:
             return d
@@ -95,8 +95,9 @@ def _digests(k: int, words: int):
     return run
 
 
-def _trie_nodes(trees: int, depth: int, d: int):
-    """(node, id, bits): the key of each tree's prefix of d values, and a byte of each value."""
+def _tries(trees: int, depth: int, d: int):
+    """(node, rest, id): of each tree the key of the sorted trie's node at prefix length d, and
+    the values behind that prefix, which order the suffixes of the signature below the node."""
 
     def run(batches):
         for batch in batches:
@@ -106,51 +107,70 @@ def _trie_nodes(trees: int, depth: int, d: int):
             key = np.broadcast_to(mix(np.arange(1, trees + 1, dtype=np.uint64) * _ODD), (batch.num_rows, trees)).copy()
             for k in range(d):  # (array arithmetic wraps around)
                 key = mix(key ^ (sig[:, :, k].astype(np.uint64) + mix(np.array([k + 1], np.uint64))[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), trees)))], names=["node", "id"])
+            rest = np.ascontiguousarray(sig[:, :, d:].astype(">u4")).reshape(batch.num_rows * trees, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array([r.tobytes() for r in rest], pa.binary()), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), trees)))], names=["node", "rest", "id"])
 
     return run
 
 
 def _meet(least: float):
-    """Forest edges (a, b) between members of a trie node whose signatures agree enough."""
+    """Forest edges (a, b) between members of a trie node whose signatures agree enough.
+
+    Rows of a node stand in the trie's order. Members that share the whole signature of the
+    tree are compared first, then the matched prefix is shortened value by value up to the
+    node's own; two members that longer prefixes have joined already aren't compared again.
+    """
 
     def run(batches):
         for t in whole_groups(batches, ("node", "x", "y")):
             ids = t.column("id").to_numpy()
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
-            key = [t.column(c).to_numpy() for c in ("node", "x", "y")]
-            new = np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])])
-            group = np.cumsum(new)
-            left, right = [], []
-            for lag in range(1, len(ids)):
-                i = np.flatnonzero(group[lag:] == group[:-lag])
-                if not len(i):
-                    break
-                good = i[(bits[i] == bits[i + lag]).sum(1) >= least * bits.shape[1]]
-                left.append(good)
-                right.append(good + lag)
-            if left:
-                label = forest(len(ids), np.concatenate(left), np.concatenate(right))
-                b = np.flatnonzero(label != np.arange(len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[label[b]]), pa.array(ids[b])], names=["a", "b"])
+            rest = np.frombuffer(b"".join(t.column("rest").to_pylist()), ">u4").reshape(len(ids), -1)
+            key = np.stack([t.column(c).to_numpy() for c in ("node", "x", "y")])
+            new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])
+            label = np.arange(len(ids))
+            for width in range(rest.shape[1], -1, -1):
+                group = np.cumsum(new | np.concatenate([[True], (rest[1:, :width] != rest[:-1, :width]).any(1)]))
+                for lag in range(1, len(ids)):
+                    i = np.flatnonzero(group[lag:] == group[:-lag])
+                    if not len(i):
+                        break
+                    i = i[label[i] != label[i + lag]]
+                    i = i[(bits[i] == bits[i + lag]).sum(1) >= least * bits.shape[1]]
+                    if len(i):
+                        label = forest(len(ids), label[i], label[i + lag])[label]
+            b = np.flatnonzero(label != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[label[b]]), pa.array(ids[b])], names=["a", "b"])
+
+    return run
+
+
+def _sets(words: int):
+    """(id, grams): the sorted different n-grams of compressed texts, 8 bytes each."""
+
+    def run(batches):
+        for batch in small(batches):
+            texts = pa.array([unpacked(t).decode("utf-8", "surrogatepass") for t in batch.column(1)], pa.string())
+            values, starts = shingles(texts, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(values[a:b]).tobytes() for a, b in zip(starts, starts[1:])], pa.binary())], names=["id", "grams"])
 
     return run
 
 
-def _verify(similarity: float, words: int):
+def _verify(similarity: float):
     """Rows (a, b, links): a forest of the links within a block, and each member's links there."""
 
     def run(batches):
         for t in whole_groups(batches, ("group", "x", "y")):
             key = np.stack([t.column(c).to_numpy() for c in ("group", "x", "y")])
             cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [t.num_rows]])
-            values, starts = shingles(t.column("text").combine_chunks(), words)
+            grams = [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]
             ids, copies, chunk = (t.column(c).to_numpy() for c in ("id", "copies", "chunk"))
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi - lo < 2:
                     continue
                 same = np.diff(key[1:, lo], axis=0)[0] == 0
-                both = _shared(values, starts, lo, hi)
+                both = _shared(grams[lo:hi])
                 size = both.diagonal()
                 like = both / np.maximum(size[:, None] + size[None, :] - both, 1) >= similarity
                 np.fill_diagonal(like, False)
@@ -175,10 +195,9 @@ def _verify(similarity: float, words: int):
     return run
 
 
-def _shared(values: np.ndarray, starts: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """How many different shingles each two of the texts lo..hi share, slab by slab."""
-    sets = [np.unique(values[starts[i] : starts[i + 1]]) for i in range(lo, hi)]
-    m = hi - lo
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each two of the sets share, slab by slab."""
+    m = len(sets)
     owner = np.repeat(np.arange(m), list(map(len, sets)))
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
@@ -209,10 +228,13 @@ def near_duplicates(
     link with nothing and are kept. Rows without an id take part and get their group's id, or
     null where no member has one; a null component is kept. Rows of one id are one document.
 
-    Copies are folded into one set first, so they cost a row each. Tries are matched at the
-    prefix length that `prefix_depth` gives; members of a crowded trie node meet in blocks of
-    bounded size, and blocks give out spanning forests, never all pairs. Links are exact:
-    every two members of a candidate group are compared by their n-grams, block by block.
+    Copies are folded into one set first, so they cost a row each. In each tree signatures are
+    sorted into a trie; matched prefixes are shortened from the tries' depth until the recall
+    is reached (`_meet`, `prefix_depth`). Nodes of several trees with the same members are one
+    node; members of a crowded node meet in blocks of bounded size, and blocks give out
+    spanning forests, never all pairs. Links are exact: every two members of a candidate group
+    are compared by their n-grams, which are made once and sent to the blocks in place of texts.
+    Texts of any length are whole; other columns are not read.
     """
     spark, k = docs.sparkSession, trees * depth
     d = prefix_depth(similarity, trees, depth, recall)
@@ -222,11 +244,12 @@ def near_duplicates(
     sets = stored(base.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
     nodes = base.join(sets.where("rep IS NOT NULL").select("rep", "copies", "f1", "f2"), (base.id == F.col("rep")) & (base.f1 == sets.f1) & (base.f2 == sets.f2))
     nodes = stored(nodes.select("id", "copies", "n", "sig").dropDuplicates(["id"]), "nodes")
-    tries = nodes.select("id", "sig").mapInArrow(_trie_nodes(trees, depth, d), "node long, id long")
-    crowd = tries.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    tries = nodes.select("id", "sig").mapInArrow(_tries(trees, depth, d), "node long, rest binary, id long")
+    crowd = tries.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")).where("m > 1")
+    crowd = crowd.groupBy("m", "h1", "h2").agg(F.min("node").alias("node")).select("node", "m")
     bits = nodes.select("id", "sig").mapInArrow(_low_bytes, "id long, bits binary")
     dealt = in_blocks(tries.join(crowd, "node"), "node", "id", F.ceil(F.col("m") / NODE_CHUNK))
-    met = dealt.select("node", "x", "y", "id").join(bits, "id").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y", "id")
+    met = dealt.select("node", "x", "y", "rest", "id").join(bits, "id").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y", "rest", "id")
     edges = stored(met.mapInArrow(_meet(least), "a long, b long").distinct(), "edges")
     near = stored(components(edges).select(F.col("node").alias("id"), F.col("component").alias("group")), "groups")
     release(spark, edges)
@@ -234,9 +257,10 @@ def near_duplicates(
     crowd = weighed.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     parts = F.greatest(F.ceil(F.col("m") / BLOCK_CHUNK), F.ceil(F.col("total") / BLOCK_SHINGLES))
     members = in_blocks(weighed.join(crowd, "group"), "group", "id", parts).select("group", "x", "y", "chunk", "id", "copies")
-    texts = mine.where("id IS NOT NULL AND text IS NOT NULL").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    blocks = members.join(texts, "id").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "id")
-    told = stored(blocks.mapInArrow(_verify(similarity, words), "a long, b long, links long"), "links")
+    packed = mine.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(compressed, "id long, text binary")
+    sets_of = packed.join(near.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(words), "id long, grams binary")
+    blocks = members.join(sets_of, "id").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "id")
+    told = stored(blocks.mapInArrow(_verify(similarity), "a long, b long, links long"), "links")
     release(spark, near)
     final = components(told.where("a <> b").select("a", "b"))
     links = told.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
@@ -257,6 +281,7 @@ def _low_bytes(batches):
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all documents at five words and a similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import mix, release, small, stored, table
+from foliospark.llm.common import compressed, mix, release, small, stored, table, unpacked
 
 MIN_BYTES = 400
 #: Suffixes of a bucket, which one task sorts in memory (24 bytes each).
@@ -92,22 +92,6 @@ def _bytes(text: pa.Scalar) -> np.ndarray:
     return np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _compress(batches):
-    """The last column, a text, as zstd; a text is shuffled twice, by then at a third of its size."""
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in small(batches):
-        packed = pa.array([squeeze.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(batch.num_columns - 1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
-
-
-def _unpacked(packed: pa.Scalar) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(packed.as_py())
-
-
 def _find_runs(size: int, block: int):
     """Rows (key, k, c, reps, s, n) of each text's runs of windows. Runs of equal context in
     one segment make one row with reps 2; the places of the others come as rows without k."""
@@ -152,7 +136,7 @@ def _emit_suffixes(size: int, block: int):
             keys = batch.column(0).to_numpy()
             t1, t2s, key = [], [], []
             for i in range(batch.num_rows):
-                data = np.frombuffer(_unpacked(batch.column(1)[i]), np.uint8)
+                data = np.frombuffer(unpacked(batch.column(1)[i]), np.uint8)
                 for r in batch.column(2)[i].as_py():
                     v = roll(data[r["s"] : r["s"] + r["n"] + size - 1])
                     n = r["n"]
@@ -277,7 +261,7 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, words: int = 0) -> Da
     contested = stored(ctx.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "contested")
     asked = stored(ctx.join(contested, "k", "left_semi").groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("r.s", "r.n")).alias("asked")), "asked")
     wholly = stored(cand.join(ctx.where("reps > 1").select("k", "c"), ["k", "c"], "left_semi").select("key", F.struct("s", (F.col("n") + size - 1).alias("n")).alias("span")), "spans")
-    texts = docs.select("key", "text").mapInArrow(_compress, "key long, text binary").join(asked, "key")
+    texts = docs.select("key", "text").mapInArrow(compressed, "key long, text binary").join(asked, "key")
     suffixes = texts.mapInArrow(_emit_suffixes(size, block), "t1 long, t2s long, key long")
     total = asked.agg(F.sum(F.aggregate("asked", F.lit(0).cast("long"), lambda n, r: n + r["n"]))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
@@ -328,7 +312,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, k
         for batch in small(batches):
             rows: list[list] = [[] for _ in range(5)]
             for text, ranges in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
-                data = _unpacked(text)
+                data = unpacked(text)
                 cuts = merged(ranges.as_py())
                 left = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(data)]))
                 for held, v in zip(rows, (len(data), len(data) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))):
@@ -337,7 +321,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, k
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=schema.names)
 
     packed = T.StructType([*mine.schema.fields[:-1], T.StructField("__text", T.BinaryType())])
-    joined = mine.mapInArrow(_compress, packed).join(spans, "__key", "left").select(*[F.col(c) for c in keep], "__text", "__spans")
+    joined = mine.mapInArrow(compressed, packed).join(spans, "__key", "left").select(*[F.col(c) for c in keep], "__text", "__spans")
     return joined.mapInArrow(run, schema)
 
 

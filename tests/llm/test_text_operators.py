@@ -262,6 +262,25 @@ def test_prefixes_shorten_with_the_similarity():
     assert jaccard.prefix_depth(0.8) == 4
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """All links of the documents of sf0.001, by their sets of n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found, label = links({r.doc_id: r.text for r in docs.collect()})
+    got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: (len(found[i]), label[i]) for i in found} and sum(map(len, found.values())) > 0
+
+
+def test_matched_prefixes_are_shortened():
+    """Members of a node are joined by longer prefixes first; others by the node's own prefix."""
+    bits = np.zeros((5, 8), np.uint8)
+    bits[4] = 9
+    rest = np.array([[1, 1], [1, 1], [1, 2], [7, 7], [7, 8]], ">u4")
+    cols = [pa.array([3] * 5), pa.array([0] * 5), pa.array([0] * 5), pa.array([r.tobytes() for r in rest], pa.binary()), pa.array([10, 11, 12, 13, 14]), pa.array([b.tobytes() for b in bits], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(cols, names=["node", "x", "y", "rest", "id", "bits"])
+    (told,) = jaccard._meet(0.5)([batch])
+    assert sorted(zip(told["a"].to_pylist(), told["b"].to_pylist())) == [(10, 11), (10, 12), (10, 13)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 80)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
