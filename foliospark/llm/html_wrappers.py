@@ -5,9 +5,10 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from collections import Counter
 from difflib import SequenceMatcher
-from functools import lru_cache
 from hashlib import blake2b
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -19,8 +20,8 @@ from foliospark.llm.url_rules import host_of
 
 #: Wrappers of all hosts together are sent to the tasks up to so many bytes; beyond, they are joined.
 BROADCAST_BYTES = 16 << 20
-#: A host's pages are aligned in so many parts first.
-PARTS = 16
+#: So many different shapes of a host are aligned in a task; what comes out is aligned in turn.
+FAN = 64
 #: A string that so many of the pages that show its place have there is template, from so many
 #: different pages on.
 CONSTANT = 0.9
@@ -43,6 +44,7 @@ _OUT_WORDS = frozenset(
 )
 _LAYOUT = frozenset("has with no layout wrapper container page site".split())
 _MAIN = ("article", "main")
+_OUT_MAIN = frozenset("comment comments reply ad advert promo related".split())
 
 
 def words_of(attributes: str) -> list[str]:
@@ -75,32 +77,73 @@ def tokens(page: str):
                 yield "close", name, ""
 
 
+class Around(NamedTuple):
+    """What the open elements around a block say of it."""
+
+    out: bool = False  # a menu, header, footer, sidebar, notice, advert, form or comments
+    outer: bool = False  # the same, by an element that also names the page's layout
+    main: bool = False  # an article or main part
+
+    def entered(self, tag: str, words: list[str]) -> Around:
+        """The labels within one more element. Around an article, words of an element that only
+        names the page's layout (`layout has-sidebar`) don't count."""
+        out, outer, main = self.out, self.outer, self.main or tag in _MAIN
+        if tag in _OUT_TAGS or tag == "header" and not main:
+            out = True
+        elif tag in _MAIN:
+            outer = False
+            out |= not _OUT_MAIN.isdisjoint(words)
+        elif words and tag not in ("body", "html") and _OUT_WORDS & set(words) - ({"header"} if main else set()):
+            if _LAYOUT.isdisjoint(words):
+                out = True
+            else:
+                outer = True
+        return self if (out, outer, main) == self else Around(out, outer, main)
+
+    @property
+    def boilerplate(self) -> bool:
+        return self.out or self.outer
+
+
 class Reader:
-    """A page's blocks in order, with their slots: the elements that are open around each."""
+    """A page's blocks in order, with the labels of the elements that are open around each."""
 
     def __init__(self, page: str):
         self.shape: list[str] = []
-        self.blocks: list[tuple[str, str, int]] = []  # slot, text, characters of it in links
-        stack: list[str] = []
+        self.blocks: list[tuple[Around, str, int]] = []  # labels, text, characters of it in links
+        stack: list[tuple[str, Around]] = []
+        open_: Counter[str] = Counter()
         held: list[str] = []
         linked = 0
-        slot = ""
+        around = top = Around()
 
         def flush():
             nonlocal held, linked
             text = " ".join(_html.unescape("".join(held)).split())
             if text:
-                self.blocks.append((slot, text, linked))
+                self.blocks.append((around, text, linked))
                 self.shape.append("#")
             held, linked = [], 0
 
+        def shut(tag: str, scope=frozenset()):
+            """Closes the innermost open element of this name and what is in it."""
+            if not open_[tag]:
+                return
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    open_.subtract(t for t, _ in stack[k:])
+                    del stack[k:]
+                    return
+                if stack[k][0] in scope:
+                    return
+
         for kind, name, text in tokens(page):
             tag = name.partition(".")[0]
             if kind == "text":
                 if not held:
-                    slot = "/".join(s for s in stack if s.partition(".")[0] in _BLOCK or s.partition(".")[0] in _OUT_TAGS or "." in s)
+                    around = stack[-1][1] if stack else top
                 held.append(text)
-                if any(s.partition(".")[0] == "a" for s in stack):
+                if open_["a"]:
                     linked += len(text.strip())
                 continue
             if tag in _BLOCK or tag in _OUT_TAGS:
@@ -110,21 +153,13 @@ class Reader:
                 continue
             if kind == "open":
                 for closed in _CLOSES.get(tag, ("p",) if tag in _BLOCK else ()):
-                    for k in range(len(stack) - 1, -1, -1):
-                        own = stack[k].partition(".")[0]
-                        if own == closed:
-                            del stack[k:]
-                            break
-                        if own in _SCOPE:
-                            break
+                    shut(closed, _SCOPE - {closed})
                 if tag not in _VOID:
-                    stack.append(name)
+                    stack.append((tag, (stack[-1][1] if stack else top).entered(tag, name.split(".")[1:])))
+                    open_[tag] += 1
                 self.shape.append(f"<{name}>")
             else:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].partition(".")[0] == tag:
-                        del stack[k:]
-                        break
+                shut(tag)
                 self.shape.append(f"</{tag}>")
         flush()
 
@@ -275,35 +310,10 @@ class Matcher:
         return None
 
 
-@lru_cache(100_000)
-def boilerplate(slot: str) -> bool:
-    """A slot within a menu, header, footer, sidebar, notice, advert, form or comments. Around an
-    article, words of an element that only names the page's layout (`layout has-sidebar`) don't
-    count."""
-    elements = [e.split(".") for e in slot.split("/")]
-    last = max((i for i, e in enumerate(elements) if e[0] in _MAIN), default=-1)
-    inside = False
-    for i, (tag, *words) in enumerate(elements):
-        inside |= tag in _MAIN
-        if tag in _OUT_TAGS or tag == "header" and not inside:
-            return True
-        if tag in _MAIN:
-            if {"comment", "comments", "reply", "ad", "advert", "promo", "related"} & set(words):
-                return True
-        elif tag not in ("body", "html") and not (i < last and _LAYOUT & set(words)):
-            if _OUT_WORDS & set(words) - ({"header"} if inside else set()):
-                return True
-    return False
-
-
 def _digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _in_main(slot: str) -> bool:
-    return any(e.partition(".")[0] in _MAIN for e in slot.split("/"))
-
-
 def _shapes(batches):
     """Rows (host, what): the folded shapes of pages, each once a batch."""
     for batch in batches:
@@ -319,6 +329,18 @@ def _partly(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "what": [json.dumps(out, separators=(",", ":"))]})
 
 
+def _merged(shapes: DataFrame) -> DataFrame:
+    """(host, what): one wrapper a host. Its shapes are dealt into parts of some FAN, the parts'
+    wrappers again, until a host has one; a task never aligns more than a few FAN."""
+    while True:
+        sizes = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("m"))
+        most = sizes.agg(F.max("m")).first()[0] or 0
+        if most <= 1:
+            return shapes
+        dealt = shapes.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("what"), F.ceil(F.col("m") / FAN)))
+        shapes = stored(dealt.select("host", "part", "what").groupBy("host", "part").applyInPandas(_partly, "host string, what string").distinct(), "wrappers")
+
+
 class _Wrappers:
     """Matchers of the wrappers that were used last."""
 
@@ -373,13 +395,13 @@ def _strings(held):
                     continue
                 seen: set = set()
                 row = []
-                for place, (slot, text, linked) in zip(known.places(w and w[0], r), r.blocks):
+                for place, (_, text, linked) in zip(known.places(w and w[0], r), r.blocks):
                     string = _digest(text)
                     row.append({"place": place, "string": string, "shows": int(place not in seen), "has": int((place, string) not in seen), "chars": len(text), "linked": linked})
                     seen |= {place, (place, string)}
                 strings = dict.fromkeys(b["string"] for b in row)
                 row += [{"place": ANY, "string": x, "shows": int(i == 0), "has": 1, "chars": 0, "linked": 0} for i, x in enumerate(strings)]
-                own = [text for slot, text, _ in r.blocks if not boilerplate(slot)] or [text for _, text, _ in r.blocks]
+                own = [text for around, text, _ in r.blocks if not around.boilerplate] or [text for _, text, _ in r.blocks]
                 hosts.append(host)
                 cores.append(_digest(max(own, key=lambda t: (len(t), t))))
                 rows.append(row)
@@ -393,17 +415,14 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     the strings at its slots that are template, and its slots that hold mostly links.
 
     Pages are reduced to their folded shapes where they are read; only different shapes are
-    shuffled and aligned, in PARTS parts of a host first and the parts' wrappers after that,
-    so a host with most of the pages costs no more than its kinds of page. Then each page is
+    shuffled and aligned, as a tree of parts of some FAN shapes, so a host with most of the
+    pages costs no more than its kinds of page. Then each page is
     matched against its host's wrapper, which aligns the strings of different pages slot by
     slot; a string that nearly all of them have at a slot, or anywhere, is template. Pages with the same
     longest text count once. Null html has no shape; a null url belongs to the host ''.
     """
     rows = pages.select(host_of(F.col(url)).alias("__host"), F.col(html).alias("__html")).where("__html IS NOT NULL")
-    shapes = stored(rows.mapInArrow(_shapes, "host string, what string").distinct(), "shapes")
-    part = F.pmod(F.xxhash64("what"), F.lit(PARTS))
-    parts = shapes.groupBy("host", part.alias("part")).applyInPandas(_partly, "host string, what string")
-    wrappers = stored(parts.groupBy("host").applyInPandas(_partly, "host string, what string").withColumnRenamed("what", "wrapper"), "wrappers")
+    wrappers = _merged(stored(rows.mapInArrow(_shapes, "host string, what string").distinct(), "shapes")).withColumnRenamed("what", "wrapper")
 
     rows, held = _with_wrappers(rows, wrappers, ["wrapper"])
     placed = rows.mapInArrow(_strings(held), "host string, core long, blocks array<struct<place int, string long, shows int, has int, chars long, linked long>>")
@@ -425,10 +444,10 @@ def text_of(r: Reader, places: list[int], template: dict[int, set[int]], links:
     these show nothing all others that don't hold mostly links."""
     main, rest = [], []
     anywhere = template.get(ANY, set())
-    for place, (slot, text, _) in zip(places, r.blocks):
-        if boilerplate(slot) or (fixed := template.get(place, set()) | anywhere) and _digest(text) in fixed:
+    for place, (around, text, _) in zip(places, r.blocks):
+        if around.boilerplate or (fixed := template.get(place, set()) | anywhere) and _digest(text) in fixed:
             continue
-        if _in_main(slot):
+        if around.main:
             main.append(text)
         elif place not in links:
             rest.append(text)
@@ -438,7 +457,8 @@ def text_of(r: Reader, places: list[int], template: dict[int, set[int]], links:
 def extract(pages: DataFrame, wrappers: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html") -> DataFrame:
     """The article's text of each page by its host's wrapper: the columns `keep`, text, n_chars.
 
-    Null and empty html, and pages without an article, give an empty text. Wrappers go to all
+    Null and empty html, and pages without an article, give an empty text; repeated rows give
+    equal texts; pages of any length and depth are read once, from front to back. Wrappers go to all
     tasks where they are small, by measure; otherwise each page is joined with its host's.
     """
     rows = pages.select(*[F.col(c) for c in keep], host_of(F.col(url)).alias("__host"), F.col(html).alias("__html"))
@@ -463,6 +483,7 @@ def extract(pages: DataFrame, wrappers: DataFrame, keep: tuple[str, ...] = ("pag
 
 
 def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages, by the wrappers of their hosts."""
     pages = table(spark, sf_dir, "pages")
     return extract(pages, stored(infer_wrappers(pages), "wrappers"))
 

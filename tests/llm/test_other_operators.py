@@ -1,7 +1,10 @@
 """Vectors, URLs, pages and archives against brute force, and the pipeline."""
 
 import io
+import itertools
+import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -155,7 +158,11 @@ def test_wrappers(spark):
 
 @pytest.mark.parametrize("slot,out", [("html/body/article/p", False), ("html/body.with.sidebar/article/p", False), ("html/body/div.layout.has.sidebar/article/p", False), ("html/body/div.related/article/p", True), ("html/body/div.sidebar/p", True), ("html/body/article/header/h1", False), ("html/body/header/h1", True), ("html/body/article/div.ad/p", True), ("html/body/section.comments/article.comment/p", True), ("html/body/aside/article/p", True)])
 def test_boilerplate(slot, out):
-    assert html_wrappers.boilerplate(slot) is out
+    around = html_wrappers.Around()
+    for element in slot.split("/"):
+        around = around.entered(element.split(".")[0], element.split(".")[1:])
+    assert around.boilerplate is out
+
 
 
 def test_passages_of_short_words(spark, tmp_path):
@@ -182,6 +189,71 @@ def test_template_strings_of_an_article(spark):
         assert got[10 + i] == "Head\n\nRead this on our site\n\nOne body\n\nThanks for reading"
 
 
+def test_long_and_deep_pages(spark):
+    """Time grows with the length of a page, not with its depth or its stray tags."""
+    deep = "<html><body>" + "<div class=x>" * 30_000 + "<article><p>in the middle</p></article>" + "</div>" * 30_000
+    stray = "<body>" + "<span>" * 20_000 + "</b>" * 20_000 + "<article><p>after all</p></article>"
+    long = "<body><article>" + "".join(f"<p>block {i} has words</p><hr>" for i in range(20_000)) + "</article></body>"
+    rows = [(1, "http://a/1", deep), (2, "http://a/2", stray), (3, "http://b/3", long), (3, "http://b/3", long)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    began = time.time()
+    got = sorted((r.page_id, r.text) for r in html_wrappers.extract(df, stored(html_wrappers.infer_wrappers(df))).collect())
+    assert got[:2] == [(1, "in the middle"), (2, "after all")] and got[2] == got[3]
+    assert got[2][1].count("\n\n") == 19_999 and time.time() - began < 60
+
+
+def expansions(wrapper, most=2):
+    """All shapes of a small wrapper with at most `most` repeats, each as [(token, its leaf)]."""
+    out = [[]]
+    for i, n in enumerate(wrapper):
+        if isinstance(n, str):
+            mine = [[(n, (i,))]]
+        else:
+            inner = [[(t, (i, *at)) for t, at in e] for e in expansions(n[1], most)]
+            mine = [[], *inner] if n[0] == "?" else [sum(c, []) for r in range(1, most + 1) for c in itertools.product(inner, repeat=r)]
+        out = [a + b for a in out for b in mine]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_places_against_all_expansions(seed):
+    """A shape matches if and only if it is an expansion, and its texts stand where one puts them."""
+    rng = random.Random(seed)
+
+    def wrapper(depth):
+        return [rng.choice(["#", "<p>", "</p>", "<b>"]) if depth == 0 or rng.random() < 0.6 else [rng.choice("?+"), wrapper(depth - 1)] for _ in range(rng.randint(1, 3))]
+
+    w = wrapper(2)
+    m = html_wrappers.Matcher(w)
+    known = {}
+    for e in expansions(w):
+        known.setdefault(tuple(t for t, _ in e), []).append([at for t, at in e if t == "#"])
+    state = {}
+    for shape, parses in known.items():
+        places = m.places(list(shape))
+        assert places is not None and len(places) == len(parses[0])
+        assert any(all(state.setdefault(p, at) == at for p, at in zip(places, parse)) for parse in parses) or len(parses) > 1
+    longest = max(map(len, known))
+    for _ in range(200):
+        shape = tuple(rng.choices(["#", "<p>", "</p>", "<b>"], k=rng.randint(0, min(4, longest))))
+        if shape not in known and len(shape) <= 2:
+            assert m.places(list(shape)) is None
+
+
+@pytest.mark.parametrize("fan", [2, 64])
+def test_shapes_of_a_large_host(spark, monkeypatch, fan):
+    """Merged as a tree, a wrapper still matches every page of its host."""
+    monkeypatch.setattr(html_wrappers, "FAN", fan)
+    rng = random.Random(4)
+    pages = ["<html><body><article>" + "".join(rng.choice(["<p>a</p>", "<ul><li>x</li><li>y</li></ul>", "<h2>t</h2>", "<p>b<br>c</p><hr>"]) for _ in range(rng.randint(0, 5))) + "</article></body></html>" for _ in range(60)]
+    df = spark.createDataFrame([(f"http://h/{i}", p) for i, p in enumerate(pages)], "url string, html string").repartition(3)
+    (row,) = html_wrappers.infer_wrappers(df).select("host", "wrapper").collect()
+    m = html_wrappers.Matcher(json.loads(row.wrapper))
+    for p in pages:
+        r = html_wrappers.Reader(p)
+        assert len(m.places(r.shape)) == len(r.blocks)
+
+
 def test_wrappers_match_their_pages():
     rng = random.Random(5)
     tokens = ["<p>", "#", "</p>", "<b>", "</b>", "<br>"]
