@@ -85,7 +85,8 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
 
     Equal payloads of MIN_REVISIT bytes or more: the rows with the smallest page_id are
     responses (all of them, if that id is repeated), others revisit it; a null id is larger
-    than any. Null html is an empty payload. Each task attempt writes files of its own name
+    than any. Null html is an empty payload; a page of any size is one record, which a task
+    holds in memory. Each task attempt writes files of its own name
     and only those of the attempts that end well are returned, so a lost executor costs a
     repeated task. `folder` can be any file system that pyarrow opens.
     """
@@ -98,7 +99,10 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
         .where("n > 1 AND first IS NOT NULL")
         .select("digest", "first")
     )
-    marked = rows.join(again, "digest", "left").select("id", "url", "html", "digest", F.when(F.col("id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("ref"))
+    ref = F.when(F.col("id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("ref")
+    marked = rows.where(F.octet_length("html") >= MIN_REVISIT).join(again, "digest", "left").select("id", "url", "html", "digest", ref)
+    # short payloads, of which the empty one may be that of very many pages, never revisit: no join
+    marked = marked.union(rows.where(F.octet_length("html") < MIN_REVISIT).select("id", "url", "html", "digest", F.lit(None).cast("long")))
 
     def run(batches):
         from pyarrow import fs
@@ -162,6 +166,7 @@ def read_warc(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives in the shared folder and read back."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     archives = stored(write_warc(table(spark, sf_dir, "pages"), folder), "archives")
