@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from foliospark.llm.common import mix, small, table
 
 ORDER = 5
-#: Models are fitted on about so many training documents a language, drawn by a hash of the text.
-SAMPLE = 4000
+#: Models are fitted on about so many training documents a language, of about so many characters
+#: together, drawn by a hash of the text. With these a language has at most some SAMPLE_CHARS
+#: different 5-grams, of 28 bytes each, on the driver.
+SAMPLE, SAMPLE_CHARS = 4000, 40_000_000
 #: A document is rejected whose cross-entropy is above both so many times the highest of its
 #: language's calibration documents, and halfway from their mean to a guess at random.
 MARGIN = 1.1
@@ -126,18 +128,22 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
         k = rows.shape[1]
         return hashes(rows.ravel(), np.arange(len(rows)) * k + k - 1, k)
 
-    keys = [np.unique(np.concatenate([key(level[g][0]) for g in langs])) for level in levels]
+    # rows and keys of all grams and of all contexts, in the order of the keys: word beginnings
+    # are contexts that no gram is
+    rows, keys = [], []
+    for k, level in enumerate(levels, 1):
+        found = np.concatenate([level[g][0] for g in langs] + [levels[k][g][0][:, :-1] for g in langs if k < ORDER])
+        at, one = np.unique(key(found), return_index=True)
+        keys.append(at)
+        rows.append(found[one])
     tables, backs = [], [np.ones((len(k), len(langs)), np.float32) for k in keys]
     alphabet = len(np.unique(np.concatenate([levels[0][g][0].ravel() for g in langs]))) + 1
     base = np.zeros(len(langs), np.float32)
     for k in range(1, ORDER + 1):
         level = levels[k - 1]
         p = np.zeros((len(keys[k - 1]), len(langs)), np.float32)
-        rows = np.concatenate([level[g][0] for g in langs])
-        at, one = np.unique(key(rows), return_index=True)
-        rows = rows[one]  # a row for each key, in the order of the keys
-        ctx = _find(keys[k - 2], key(rows[:, :-1])) if k > 1 else None
-        tail = _find(keys[k - 2], key(rows[:, 1:])) if k > 1 else None
+        ctx = _find(keys[k - 2], key(rows[k - 1][:, :-1])) if k > 1 else None
+        tail = _find(keys[k - 2], key(rows[k - 1][:, 1:])) if k > 1 else None
         for j, g in enumerate(langs):
             own, c = level[g]
             c = c.astype(float)
@@ -171,14 +177,14 @@ def _fold(id: str):
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Models | None:
     """Models of the languages of the documents with crc32(id) mod 4 of 0 or 1, calibrated on
     those with 3; None where there is no such document with a letter. Rows without id, text or
-    language teach nothing. About `sample` documents a language are drawn by a hash of their
-    text, so the n-grams that come to the driver don't grow with the corpus; the limits come
-    from all calibration documents."""
+    language teach nothing. About `sample` documents a language, and SAMPLE_CHARS characters of
+    them, are drawn by a hash of their text, so the n-grams that come to the driver don't grow
+    with the corpus; the limits come from all calibration documents."""
     rows = docs.select(_fold(id).alias("fold"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("fold <> 2 AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)), F.sum(F.length("text"))).collect()
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, sample / n))])
+    share = F.create_map(*[F.lit(x) for g, n, chars in sizes for x in (g, min(1.0, sample / n, SAMPLE_CHARS / max(1, chars)))])
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
     order = ORDER
 
@@ -227,7 +233,9 @@ def identify(docs: DataFrame, models: Models | None, text: str = "text", keep: t
     null or without a letter are `und`, with score 0 and no cross-entropy, and rejected; so is
     everything where there is no model. Other texts get a learned language always; rejected
     says that even that model's cross-entropy is beyond its calibrated limit. score is the
-    posterior of the language, damped by the square root of the length.
+    posterior of the language, damped by the square root of the length. Of languages with one
+    cross-entropy the first by name is taken; repeated rows are judged alike, texts of any
+    length whole.
     """
     schema = T.StructType(
         [docs.schema[c] for c in keep]
@@ -259,6 +267,7 @@ def identify(docs: DataFrame, models: Models | None, text: str = "text", keep: t
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those whose crc32(doc_id) mod 4 isn't 2."""
     docs = table(spark, sf_dir, "documents")
     got = identify(docs, train(docs), keep=("doc_id",))
     return got.select("doc_id", F.coalesce(_fold("doc_id") == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")

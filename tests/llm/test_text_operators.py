@@ -185,6 +185,60 @@ def test_kneser_ney_sums_to_one():
         assert p.sum() == pytest.approx(1, abs=2e-2)
 
 
+def kneser_ney(words_, alphabet, order=5):
+    """Interpolated Kneser-Ney with dictionaries: p(context, letter) from all words of one language."""
+    grams = Counter()
+    for w in words_:
+        padded = " " * (order - 1) + w + " "
+        for i in range(order, len(padded) + 1):
+            grams[padded[i - order : i]] += 1
+    levels = {order: dict(grams)}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])  # different characters before
+    discount = {}
+    for k, held in levels.items():
+        n1, n2 = (sum(c == n for c in held.values()) for n in (1, 2))
+        discount[k] = n1 / (n1 + 2 * n2) if n1 else 0.5
+
+    def p(context, letter):
+        k = len(context) + 1
+        mine = levels[k]
+        if k == 1:
+            total = sum(mine.values())
+            return max(mine.get(letter, 0) - discount[1], 0) / total + discount[1] * len(mine) / total / alphabet
+        after = {g: c for g, c in mine.items() if g[:-1] == context}
+        total = sum(after.values())
+        if not total:
+            return p(context[1:], letter)
+        return max(mine.get(context + letter, 0) - discount[k], 0) / total + discount[k] * len(after) / total * p(context[1:], letter)
+
+    return p
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_entropies_against_dictionaries(seed):
+    """Two languages in shared hash arrays, each against its own Kneser-Ney with dictionaries."""
+    rng = random.Random(seed)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 7)))
+    known = {"x": [word("abcd") for _ in range(60)], "y": [word("cdefé") for _ in range(40)]}
+    counts = {}
+    for g, ws in known.items():
+        points, at, _ = language_id.grams(pa.array(ws))
+        counts[g] = np.unique(np.stack([points[at - 4 + j] for j in range(5)], 1), axis=0, return_counts=True)
+    m = language_id.fit(counts)
+    texts = [" ".join(word("abcdeé漢") for _ in range(rng.randint(1, 6))) for _ in range(12)] + [known["x"][0]]
+    entropy, n, best = m.judge(pa.array(texts))
+    alphabet = len({c for ws in known.values() for w in ws for c in w} | {" "}) + 1
+    for i, text in enumerate(texts):
+        for j, g in enumerate(m.langs):
+            p, losses = kneser_ney(known[g], alphabet), []
+            for w in text.split(" "):
+                padded = "    " + w + " "
+                losses += [-np.log(p(padded[k - 4 : k], padded[k])) for k in range(4, len(padded))]
+            assert n[i] == len(losses) and entropy[i, j] == pytest.approx(np.mean(losses), rel=1e-4)
+        assert best[i] == entropy[i].argmin()
+
+
 def test_limits_cover_all_calibration_documents(spark):
     """A document that the sample for the models doesn't draw counts for its language's limit."""
     rng = random.Random(3)
