@@ -19,8 +19,8 @@ ORDER = 5
 #: different 5-grams, of 28 bytes each, on the driver.
 SAMPLE, SAMPLE_CHARS = 4000, 40_000_000
 #: A document is rejected whose cross-entropy is above both so many times the highest of its
-#: language's calibration documents, and halfway from their mean to a guess at random.
-MARGIN = 1.1
+#: language's calibration documents, and two thirds of the way from their mean to a guess at random.
+MARGIN, WAY = 1.1, 2 / 3
 UNKNOWN = "und"
 _FACTORS = mix(np.arange(1, ORDER + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -222,7 +222,7 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     told = rows.where("fold = 3").select("text", "lang").mapInArrow(calibrate, "lang int, h double").groupBy("lang").agg(F.max("h"), F.avg("h")).collect()
     models.limit = np.full(len(models.langs), np.inf)  # a language without calibration documents rejects nothing
     for j, most, mean in told:
-        models.limit[j] = max(MARGIN * most, (mean + np.log(models.letters[j])) / 2)
+        models.limit[j] = max(MARGIN * most, mean + WAY * (np.log(models.letters[j]) - mean))
     return models
 
 
