@@ -1,4 +1,8 @@
-"""A corpus from the documents table: five stages, each one operator of foliospark.llm."""
+"""A corpus from the documents table: five stages, each one operator of foliospark.llm.
+
+All stages take tables without rows, null in any column, texts of any length, rows repeated in
+full and extra columns of any name; a stage but the last returns the columns it was given.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,8 @@ from foliospark.llm.packing import pack
 from foliospark.llm.suffix_array import remove_repeats
 
 #: The suffix stage removes repeats of so many bytes, and of so many words where these are shorter.
+#: A choice of this stage: both are what a passage of over 50 words may have, and neither implies
+#: the other (51 short words have fewer than 250 bytes, 250 bytes may be one word).
 PASSAGE_BYTES = 250
 PASSAGE_WORDS = 51
 
@@ -30,7 +36,9 @@ def _again(docs: DataFrame, got: DataFrame, **new) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; lang becomes the one that was found. Null texts, texts
-    without letters and those beyond their language's calibrated cross-entropy go."""
+    without letters and those beyond their language's calibrated cross-entropy go; repeated rows
+    stay or go alike. Rows without an id teach the models nothing and are judged as others.
+    Where nothing can be learned (no language given) everything goes."""
     got = identify(_whole(docs), train(docs), "__body", keep=("__row", "__body")).where(~F.col("rejected"))
     return _again(docs, got, text=F.col("__body"), lang=F.col("lang_pred"))
 
@@ -47,19 +55,24 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of PASSAGE_BYTES bytes or PASSAGE_WORDS words or more that occur
-    anywhere else."""
+    anywhere else, in all their places (there is no first one that stays, so no ties). A
+    document that is all such passages stays with an empty text; null and empty texts come out
+    empty. Rows repeated in full count as copies of each other."""
     got = remove_repeats(_whole(docs), "__body", PASSAGE_BYTES, keep=("__row",), words=PASSAGE_WORDS)
     return _again(docs, got, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a twentieth of their words in benchmark windows."""
+    """Documents with less than a twentieth of their words in benchmark windows; exactly a twentieth
+    goes. Null and empty texts have no words and stay; so does all where the benchmark is empty."""
     got = contamination(_whole(docs), table(spark, sf_dir, "benchmark"), "__body", keep=("__row", "__body"))
     return _again(docs, got.where(~F.col("contaminated")), text=F.col("__body"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in training sequences."""
+    """The pieces of the documents in training sequences: doc_id and the columns of
+    `foliospark.llm.packing.pack`. A null or empty text is one piece of the end token; repeated
+    rows are documents of their own. Which of equally long pieces stands where is not fixed."""
     return pack(docs, keep=("doc_id",))
 
 
