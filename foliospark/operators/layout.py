@@ -213,13 +213,56 @@ def nms(boxes: DataFrame, same: float = 0.6, different: float = 0.98) -> DataFra
     return _page_by_page(boxes, [F.desc("score"), F.desc("box_idx")], ("cls_id", *BOX), pick, "nms_rank")
 
 
-def greedy_overlap_filter(boxes: DataFrame) -> DataFrame:
+def _clipped(shape: np.ndarray, triangle: np.ndarray) -> np.ndarray:
+    """The part of a convex shape within a triangle of positive turn: half-plane by half-plane."""
+    for a, b in zip(triangle, np.roll(triangle, -1, 0)):
+        if not len(shape):
+            break
+        side = (b[0] - a[0]) * (shape[:, 1] - a[1]) - (b[1] - a[1]) * (shape[:, 0] - a[0])
+        out = []
+        for p, q, s, t in zip(shape, np.roll(shape, -1, 0), side, np.roll(side, -1)):
+            if s >= 0:
+                out.append(p)
+            if s * t < 0:
+                out.append(p + (q - p) * (s / (s - t)))
+        shape = np.array(out).reshape(-1, 2)
+    return shape
+
+
+def _turn(shape: np.ndarray) -> float:
+    """Twice the signed area of a polygon."""
+    x, y = shape.T
+    return float(x @ np.roll(y, -1) - y @ np.roll(x, -1))
+
+
+def polygon_overlap(a, b) -> float:
+    """The common area of two polygons without self-crossings over the smaller of their areas. Each
+    is the signed sum of its triangles about its first corner, so it needn't be convex."""
+    a, b = (np.array([tuple(p) for p in x], float).reshape(-1, 2) for x in (a, b))
+    least = min(abs(_turn(a)), abs(_turn(b))) if min(len(a), len(b)) > 2 else 0.0
+    if not least:
+        return 0.0
+    both = 0.0
+    fans = [[np.stack([x[0], x[i], x[i + 1]]) for i in range(1, len(x) - 1)] for x in (a, b)]
+    for s in fans[0]:
+        for t in fans[1]:
+            turns = _turn(s), _turn(t)
+            if turns[0] and turns[1]:
+                part = _clipped(s if turns[0] > 0 else s[::-1], t if turns[1] > 0 else t[::-1])
+                if len(part) > 2:
+                    both += _turn(part) * np.sign(turns[0]) * np.sign(turns[1])
+    return abs(both) / least
+
+
+def greedy_overlap_filter(boxes: DataFrame, polygon: str | None = None) -> DataFrame:
     """Overlaps resolved in order of box_idx; needs label. References and boxes with a side under
     6 pixels go. Of two live boxes an inline formula goes beyond half the smaller area; beyond
     0.7 the smaller goes (the later of equals), but different labels with a visual one among
-    them both stay, unless one is a table and the other isn't visual."""
+    them both stay, unless one is a table and the other isn't visual. With a polygon column,
+    corners as pairs, two boxes that both have one and whose polygons overlap by less than 0.7
+    of the smaller both stay as well."""
 
-    def pick(labels, x1, y1, x2, y2):
+    def pick(labels, x1, y1, x2, y2, shapes=None):
         x1, y1, x2, y2 = (v.astype(float) for v in (x1, y1, x2, y2))
         size = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
         w = np.minimum(x2[:, None], x2) - np.maximum(x1[:, None], x1)
@@ -239,11 +282,14 @@ def greedy_overlap_filter(boxes: DataFrame) -> DataFrame:
                     alive[j] &= labels[j] != "inline_formula"
                 elif ratio[i, j] > 0.7:
                     both_stay = len(kinds) > 1 and kinds & set(VISUAL) and ("table" not in kinds or kinds <= set(VISUAL))
+                    if not both_stay and shapes is not None and shapes[i] is not None and shapes[j] is not None:
+                        both_stay = polygon_overlap(shapes[i], shapes[j]) < 0.7
                     if not both_stay:
                         alive[j if size[i] >= size[j] else i] = False
         return np.flatnonzero(alive)
 
-    return _page_by_page(boxes.where(F.coalesce(F.col("label") != "reference", F.lit(True))), ["box_idx"], ("label", *BOX), pick)
+    columns = ("label", *BOX, polygon) if polygon else ("label", *BOX)
+    return _page_by_page(boxes.where(F.coalesce(F.col("label") != "reference", F.lit(True))), ["box_idx"], columns, pick)
 
 
 def numbered(rows: DataFrame, skip: Column, order: str, name: str = "order") -> DataFrame:

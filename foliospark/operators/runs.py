@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.sources.files import new_folder
+
 
 def status_class(status: Column) -> Column:
     """ok, fail or fallback; any other status is an error."""
@@ -27,11 +31,35 @@ def run_counts(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def latency_summary(runs: DataFrame, value: str, *by: str) -> DataFrame:
-    """count, mean, nearest-rank p50, p95 and p99, and max. percentile_disc keeps a count for each
-    different value of a group, so its buffers grow with those and not with the rows."""
+    """count, mean, nearest-rank p50, p95 and p99, and max.
+
+    Equal values are counted first. The counts are range-partitioned by group and value and
+    stored with their partition, whose totals say which rank each begins with; so a group of
+    any number of different values is spread over tasks, and no task gathers them.
+    """
+    spark, shares = runs.sparkSession, {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     rows = runs.where(F.col(value).isNotNull())
-    percentiles = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"), *percentiles, F.max(value).alias("max"))
+    at = f"{new_folder(spark, 'values')}"
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    counted.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id()).write.parquet(at)
+    held = spark.read.parquet(at)
+    group = [F.col(c) for c in by] or [F.lit(0)]
+    totals = held.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))  # a row a partition and group
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*group)
+    totals = totals.select(*by, "__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"), F.sum("__m").over(every).alias("__all"))
+    named = {c: f"__by{i}" for i, c in enumerate(by)}
+    totals = totals.withColumnsRenamed(named | {"__part": "__at"})
+    keys = held.join(totals, reduce(lambda x, c: x & held[c].eqNullSafe(F.col(named[c])), by, F.col("__part") == F.col("__at")))
+    within = Window.partitionBy(*group, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = keys.withColumn("__rank", F.col("__before") + F.sum("__n").over(within))
+    picked = [F.min(F.when(F.col("__rank") >= F.ceil(F.col("__all") * F.lit(p)), F.col(value))).alias(k) for k, p in shares.items()]
+    found = ranked.groupBy(*by).agg(*picked)
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    if not by:
+        return sums.crossJoin(found).select("count", "mean", *shares, "max")  # one row each
+    same = reduce(lambda x, y: x & y, [sums[c].eqNullSafe(found[c]) for c in by])
+    return sums.join(found, same).select(*[sums[c] for c in by], "count", "mean", *shares, "max")
 
 
 def covered_time(intervals: DataFrame, key: str = "page_id", start: str = "start_s", finish: str = "finish_s") -> DataFrame:

@@ -72,6 +72,15 @@ held AS (SELECT f.page_id, t.box_idx AS table_idx, f.box_idx AS figure_idx, f.pa
         CASE WHEN least(f.x2 - f.x1, f.y2 - f.y1) >= 25 THEN '[F' || f.number || ']' END AS token
       FROM f JOIN b t ON f.page_id = t.page_id AND t.label = 'table' AND f.x1 >= t.x1 - 200 AND f.y1 >= t.y1 - 300 AND f.x2 <= t.x2 + 200 AND f.y2 <= t.y2 + 300)"""
 
+def polygons(s, d):
+    """Every second box is a diamond in its corners, every third has no polygon."""
+    x, y = (F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0
+    corner = lambda a, b: F.array(F.col(a).cast("double") if isinstance(a, str) else a, F.col(b).cast("double") if isinstance(b, str) else b)
+    diamond = F.array(corner(x, "y1"), corner("x2", y), corner(x, "y2"), corner("x1", y))
+    shaped = L.with_polygon(L.with_labels(boxes(s, d))).withColumn("polygon", F.when(F.col("box_idx") % 3 == 0, None).when(F.col("box_idx") % 2 == 0, diamond).otherwise(F.col("polygon")))
+    return L.greedy_overlap_filter(shaped.select(*KEY, "label", *L.BOX, "polygon"), "polygon").select(*KEY, "label")
+
+
 QUERIES = {
     "p1_confidence_filter": lambda s, d: L.confidence_filter(boxes(s, d).withColumns({c: F.col(c) + F.lit(0.5) for c in L.BOX}), 0.3).select(*KEY, "cls_id", "score", *L.BOX),
     "p2_oversized_images": lambda s, d: L.drop_oversized_images(boxes(s, d).withColumns({"x2": F.col("x2") + 300, "y2": F.col("y2") + 500}), pages(s, d)).select(*KEY, "cls_id"),
@@ -88,6 +97,7 @@ QUERIES = {
     "j2_containment_small": lambda s, d: L.suppress_contained(boxes(s, d), {3: "small", 7: "small", 22: "small"}).select(*KEY),
     "j3_class_nms": lambda s, d: L.nms(boxes(s, d)).select(*KEY, "nms_rank"),
     "j4_greedy_overlap": lambda s, d: L.greedy_overlap_filter(L.with_labels(boxes(s, d)).select(*KEY, "label", *L.BOX)).select(*KEY, "label"),
+    "j4_polygon_overlap": polygons,
     "p8_reference_and_tiny": lambda s, d: L.greedy_overlap_filter(L.with_labels(boxes(s, d)).withColumn("x2", F.col("x1") + (F.col("x2") - F.col("x1")) % 40).select(*KEY, "label", *L.BOX)).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
     "j5_figures_in_tables": figure_tables,
     "j6_remaining_figures": kept_figures,

@@ -8,7 +8,7 @@ from foliospark.functions import json_values as J
 from foliospark.functions import text as X
 from foliospark.operators import gates as G
 from foliospark.operators import paired as P
-from foliospark.operators.runs import ordered_digest
+from foliospark.operators.runs import listed_digest, ordered_digest
 from foliospark.plans.texts import CATEGORY, PAIRS, pair_rows
 from foliospark.plans.views import oracle, table
 
@@ -97,16 +97,17 @@ def records(s, d):
     return P.page_records(m, runs, runs.where("status = 'ok'").select("image", F.col("seconds").alias("old")))
 
 
-def edit(s, d):
-    """Sentences of all documents as samples, in ASCII, as one engine counts bytes; every fourth
-    has no prediction, others differ a little."""
-    docs = table(s, d, "documents").select(F.col("source").alias("page"), F.regexp_replace("text", "[^\\x00-\\x7F]", "?").alias("text"))
+def edit(s, d, ascii=False):
+    """Sentences of all documents as samples; every fourth has no prediction, others differ a
+    little. In ASCII for the SQL twin, whose engine counts bytes."""
+    text = F.regexp_replace("text", "[^\\x00-\\x7F]", "?") if ascii else F.col("text")
+    docs = table(s, d, "documents").select(F.col("source").alias("page"), text.alias("text"))
     lines = docs.select("page", F.explode(F.split("text", r"\n|\. ", -1)).alias("gt"))
     return lines.withColumn("pred", F.when(F.length("gt") % 4 == 0, None).when(F.length("gt") % 4 == 1, F.concat("gt", F.lit("x"))).otherwise(F.regexp_replace("gt", "a", "")))
 
 
-def edit_distance(s, d):
-    return P.edit_scores(edit(s, d)).select(*[F.round(c, 9).alias(c) for c in ("page_avg", "whole", "sample_avg")])
+def edit_distance(s, d, ascii=False):
+    return P.edit_scores(edit(s, d, ascii)).select(*[F.round(c, 9).alias(c) for c in ("page_avg", "whole", "sample_avg")])
 
 
 def slices(s, d):
@@ -138,8 +139,17 @@ e AS (SELECT 'page' AS kind, page, NULL AS block_index, side, NULL AS boundary F
 
 
 def evidence_digest(s, d):
-    rows = evidence(s, d).select(F.concat_ws("|", "kind", "page", "block_index").alias("name"), F.sha2(F.concat_ws("|", "kind", "page", "block_index", "side", "boundary"), 256).alias("h"), F.col("kind"))
-    return ordered_digest(rows, "name", "h", "kind")
+    """Of all evidence, by kind: hashed in buckets, as a kind has any number of rows."""
+    return ordered_digest(_hashed_evidence(s, d), "name", "h", "kind")
+
+
+def _hashed_evidence(s, d):
+    return evidence(s, d).select(F.concat_ws("|", "kind", "page", "block_index").alias("name"), F.sha2(F.concat_ws("|", "kind", "page", "block_index", "side", "boundary"), 256).alias("h"), F.col("kind"), "page")
+
+
+def page_evidence_digest(s, d):
+    """Of each page's evidence: one SHA-256 over its lines in name order."""
+    return listed_digest(_hashed_evidence(s, d), "name", "h", "page")
 
 
 def consistency(s, d):
@@ -267,7 +277,9 @@ QUERIES = {
     "a14_projection": lambda s, d: projections(s, d).withColumn("projected", F.round("projected", 6)),
     "a19_slice_metrics": slices,
     "a20_edit_scores": edit_distance,
+    "a20_ascii_edit_scores": lambda s, d: edit_distance(s, d, True),
     "a21_evidence_digest": evidence_digest,
+    "a21_page_evidence_digest": page_evidence_digest,
     "f37_first_divergence": divergences,
     "t1_loss_ranking": lambda s, d: P.loss_ranking(pairs(s, d), 100).select(*_SHOWN),
     "t2_worst_per_category": worst_per_category,
@@ -331,13 +343,14 @@ SELECT a.page, a.pos, a.block_index AS ref_block_index, a.label AS ref_label, a.
     "a13_metric_validity": oracle("WITH t AS (SELECT img_id, count(*) FILTER (score < 0.91) AS t, count(*) FILTER (gt_idx = 7) AS e, max(score) AS v FROM {v_samples_ref} GROUP BY img_id) SELECT img_id, t = 0 AND e = 0 AS valid, CASE WHEN t = 0 AND e = 0 THEN v END AS value FROM t"),
     "a14_projection": oracle(f"SELECT component, round(95 + CASE WHEN component = 'table' THEN 1 ELSE -1 END * sum(score - ref_score) / 100000 * 100, 6) AS projected FROM ({PAIRS}) GROUP BY component"),
     "a19_slice_metrics": "SELECT slice, count(*) AS n, round(avg(n_chars), 6) AS mean FROM (SELECT 'ALL' AS slice, n_chars FROM documents UNION ALL SELECT 'lang: ' || lang, n_chars FROM documents UNION ALL SELECT 'source: ' || source, n_chars FROM documents) GROUP BY slice",
-    "a20_edit_scores": """
+    "a20_ascii_edit_scores": """
 WITH l AS (SELECT source AS page, unnest(string_split_regex(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), '\\n|\\. ')) AS gt FROM documents),
 x AS (SELECT page, gt, coalesce(CASE length(gt) % 4 WHEN 0 THEN NULL WHEN 1 THEN gt || 'x' ELSE replace(gt, 'a', '') END, '') AS pred FROM l),
 d AS (SELECT page, levenshtein(gt, pred) AS d, greatest(length(gt), length(pred), 1) AS n FROM x),
 p AS (SELECT page, sum(d) AS d, sum(n) AS n, sum(d / n) AS s, count(*) AS k FROM d GROUP BY page)
 SELECT round(avg(d / n), 9) AS page_avg, round(sum(d) / sum(n), 9) AS whole, round(sum(s) / sum(k), 9) AS sample_avg FROM p""",
     "a21_evidence_digest": oracle(f"{_EVIDENCE}, n AS (SELECT kind, concat_ws('|', kind, page, block_index) AS name, sha256(concat_ws('|', kind, page, block_index, side, boundary)) AS h FROM e), parts AS (SELECT kind, CAST('0x' || sha256(name)[1:4] AS INT) % 4096 AS part, sha256(string_agg(name || chr(9) || h, chr(10) ORDER BY name)) AS d FROM n GROUP BY ALL) SELECT kind, sha256(string_agg(d, chr(10) ORDER BY part)) AS digest FROM parts GROUP BY kind"),
+    "a21_page_evidence_digest": oracle(f"{_EVIDENCE}, n AS (SELECT page, concat_ws('|', kind, page, block_index) AS name, sha256(concat_ws('|', kind, page, block_index, side, boundary)) AS h FROM e) SELECT page, sha256(string_agg(name || chr(9) || h, chr(10) ORDER BY name)) AS digest FROM n GROUP BY page"),
     "f37_first_divergence": oracle(f"WITH {_TRACE} SELECT * FROM v WHERE boundary IS NOT NULL"),
     "t1_loss_ranking": oracle(f"WITH {_FULL} SELECT {', '.join(_SHOWN)} FROM f WHERE side = 'both' ORDER BY delta DESC, img_id, ref_gt_idx, component, gt_position LIMIT 100"),
     "t2_worst_per_category": oracle(f"WITH {_CATS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY loss DESC, img_id, gt_position, component) AS rank FROM k) WHERE rank <= 5"),

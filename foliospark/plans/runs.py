@@ -99,7 +99,7 @@ QUERIES = {
     "a16_whole_digest": whole_digest,
     "a18_throughput": lambda s, d: page_runs(s, d).groupBy("run_id").agg(F.round(R.pages_per_minute(F.count(F.lit(1)), F.sum("seconds")), 6).alias("ppm")),
     "a22_scored_tally": lambda s, d: R.scored_tally(table(s, d, "v_samples_cand").withColumn("score", F.when(F.col("img_id") % 13 != 0, F.col("score"))), "score", "component").withColumn("nonzero_mean", F.round("nonzero_mean", 9)),
-    "t5_failure_sample": lambda s, d: R.failure_sample(page_runs(s, d), ("image", "status", "stage"), 20, 8),
+    "t5_failure_sample": lambda s, d: R.failure_sample(page_runs(s, d), ("image", "run_id", "stage", "status", "seconds"), 20),
     "w4_stratified_sample": lambda s, d: R.stratified_sample(table(s, d, "v_manifest"), 3),
     "j12_repair_upsert": lambda s, d: R.repaired(*repairs(s, d), "e3"),
     "j12_unapplied_repairs": lambda s, d: R.unapplied_repairs(*repairs(s, d), "e3"),
@@ -137,7 +137,7 @@ q AS (SELECT part, sha256(string_agg(l, chr(10) ORDER BY image)) AS d FROM p GRO
 SELECT sha256(string_agg(d, chr(10) ORDER BY part)) AS digest FROM q"""),
     "a18_throughput": oracle("SELECT run_id, round(coalesce(count(*) * 60.0 / nullif(sum(seconds), 0), 0), 6) AS ppm FROM {v_page_runs} GROUP BY run_id"),
     "a22_scored_tally": oracle("WITH x AS (SELECT component, CASE WHEN img_id % 13 <> 0 THEN score END AS s FROM {v_samples_cand}) SELECT component, round(avg(CASE WHEN s > 0 THEN s END), 9) AS nonzero_mean, count(*) FILTER (s = 0) AS zeros, count(*) FILTER (s IS NULL) AS missing FROM x GROUP BY component"),
-    "t5_failure_sample": oracle("SELECT substr(image, 1, 8) AS image, substr(status, 1, 8) AS status, substr(stage, 1, 8) AS stage FROM (SELECT * FROM {v_page_runs} WHERE status <> 'ok' ORDER BY image, status, stage LIMIT 20)"),
+    "t5_failure_sample": oracle("SELECT substr(image, 1, 200) AS image, run_id, substr(stage, 1, 200) AS stage, substr(status, 1, 200) AS status, seconds FROM {v_page_runs} WHERE status <> 'ok' ORDER BY image, run_id, stage, status, seconds LIMIT 20"),
     "w4_stratified_sample": oracle("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256(image), image) AS rank FROM {v_manifest}) WHERE rank <= 3"),
     "j12_repair_upsert": oracle(f"WITH {_FIX} SELECT r.image, CASE WHEN f.image IS NOT NULL THEN 'ok' ELSE r.status END AS status, coalesce(f.seconds, r.seconds) AS seconds, f.image IS NOT NULL AS repaired FROM r LEFT JOIN f ON f.image = r.image"),
     "j12_unapplied_repairs": oracle(f"WITH {_FIX} SELECT image, 'base' AS side FROM r ANTI JOIN f USING (image) WHERE contains(status, 'e3')"),

@@ -100,10 +100,10 @@ PAIRS = """
 SELECT r.component, r.img_id, r.gt_position, r.gt, r.score AS ref_score, c.score,
   CASE WHEN r.img_id % 7 = 3 THEN 'The ' || c.pred WHEN r.img_id % 11 = 5 THEN substr(c.pred, 1, 3) ELSE c.pred END AS pred
 FROM {v_samples_ref} r JOIN {v_samples_cand} c ON r.component = c.component AND r.img_id = c.img_id AND r.gt_position = c.gt_position"""
-CATEGORY = """CASE WHEN trim(pred) = '' THEN 'EMPTY_PRED' WHEN length(pred) < 0.3 * length(gt) THEN 'MISSING_CONTENT'
-  WHEN (contains(pred, 'Ignore') AND NOT contains(gt, 'Ignore')) OR (contains(pred, 'ignore') AND NOT contains(gt, 'ignore')) OR (contains(pred, 'The') AND NOT contains(gt, 'The')) OR (contains(pred, 'This') AND NOT contains(gt, 'This')) THEN 'EXTRA_TEXT'
+CATEGORY = f"""CASE WHEN trim(pred) = '' THEN 'EMPTY_PRED' WHEN length(pred) < {X.LEAST_LENGTH} * length(gt) THEN 'MISSING_CONTENT'
+  WHEN {" OR ".join(f"(contains(pred, '{w}') AND NOT contains(gt, '{w}'))" for w in X.EXTRA_WORDS)} THEN 'EXTRA_TEXT'
   WHEN score = 0 AND ref_score > 0 THEN 'ZERO_TOKENS'
-  WHEN levenshtein(gt, pred) / greatest(length(gt), length(pred), 1) > 0.1 THEN 'CONTENT_DIFF' ELSE 'NOTATION_STYLE' END"""
+  WHEN levenshtein(gt, pred) / greatest(length(gt), length(pred), 1) > {X.MOST_EDIT} THEN 'CONTENT_DIFF' ELSE 'NOTATION_STYLE' END"""
 
 
 def otsl_cells(s, d):

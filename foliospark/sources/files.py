@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Image extensions that runs accept.
+# Image extensions that runs accept, and those that evaluation accepts.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
+EVALUATION_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".gif")
 CSV = {"header": "true", "escape": '"', "nullValue": "\\N", "emptyValue": ""}
 
 
@@ -50,26 +52,71 @@ def repeated_stems(files: DataFrame) -> DataFrame:
     return names.join(names.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "stem").select("stem", "name", "n")
 
 
-def prediction_texts(spark: SparkSession, folder: str, excluded: str | None = None) -> DataFrame:
-    """(stem, text) of the Markdown files in a folder, whole, without one excluded stem."""
-    rows = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True).select(stem(file_name()).alias("stem"), F.col("value").alias("text"))
-    return rows if excluded is None else rows.where(F.col("stem") != excluded)
+def listed(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """(name, stem) of the files in a folder and below. A scan leaves empty files out, so the names
+    come from the listing that Spark's driver makes of any folder it reads."""
+    paths = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").format("binaryFile").load(folder).inputFiles()
+    names = spark.createDataFrame([(p,) for p in paths], "name string")
+    return names.withColumn("stem", stem(F.url_decode(file_name(F.col("name")))))
+
 
+def require_unique_stems(files: DataFrame) -> None:
+    """A ValueError with an example where a stem has several files."""
+    if found := repeated_stems(files).select("stem", "n").first():
+        raise ValueError(f"{found.n} files have the stem {found.stem!r}")
 
-def trace_events(spark: SparkSession, folder: str) -> DataFrame:
+
+def prediction_texts(spark: SparkSession, folder: str, excluded: str | None = None) -> DataFrame:
+    """(stem, text) of the Markdown files in a folder and below, whole, without one excluded stem.
+    A stem of several files is an error; for that, and for empty files, names are listed."""
+    keep = F.lit(True) if excluded is None else F.col("stem") != excluded
+    names = listed(spark, folder, "*.md").where(keep)
+    require_unique_stems(names)
+    texts = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    texts = texts.select(stem(file_name()).alias("stem"), F.col("value").alias("text")).where(keep)
+    full = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").format("binaryFile").load(folder).select(stem(file_name(F.col("path"))).alias("stem"))
+    return texts.union(names.select("stem").join(full, "stem", "left_anti").select("stem", F.lit("").alias("text")))
+
+
+def write_named_texts(rows: DataFrame, folder: str, name: str, text: str) -> DataFrame:
+    """Writes each row's text to the file that `name` says, in `folder` of any file system that
+    pyarrow opens; returns (name, bytes). A repeated task writes the same files again."""
+    at = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(at)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            sizes = []
+            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = (t or "").encode("utf-8", "surrogatepass")
+                with system.open_output_stream(f"{base}/{n}", compression=None) as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return rows.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInArrow(run, "name string, bytes long")
+
+
+def trace_events(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
     """(page, line, event, problem) of JSON-lines traces, a file a page: blank lines are left
-    out; problem says what is wrong with a line: no strict JSON object, or another page's."""
+    out; problem says what is wrong with a line: no strict JSON object, or another page's.
+    With strict such a line is an error when it is read."""
     rows = spark.read.option("pathGlobFilter", "*.jsonl").text(folder).select(stem(file_name()).alias("page"), F.col("value").alias("line")).where(F.trim("line") != "")
     event = F.try_parse_json("line")
     is_object = F.coalesce(F.schema_of_variant(event).startswith("OBJECT"), F.lit(False))
     own = F.try_variant_get(event, "$.page", "string")
     problem = F.when(~is_object, "not a JSON object").when(~own.eqNullSafe(F.col("page")), "another page")
+    if strict:
+        problem = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("trace of page "), "page", F.lit(": "), problem)).cast("string"))
     return rows.withColumn("event", event).withColumn("problem", problem)
 
 
 def empty_traces(spark: SparkSession, folder: str) -> DataFrame:
-    """(page) of trace files without a line."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder).select(stem(file_name(F.col("path"))).alias("page"))
+    """(page) of trace files without a line, those without a byte too."""
+    files = listed(spark, folder, "*.jsonl").select(F.col("stem").alias("page"))
     return files.join(trace_events(spark, folder).select("page"), "page", "left_anti")
 
 

@@ -47,30 +47,67 @@ def test_nms(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_greedy_overlap(spark):
-    rows, want = pages(5, 40), []
-    for page in by_page(rows):
-        page, gone = [r for r in page if r[3] != "reference"], set()
-        for i, a in enumerate(page):
-            if a[7] - a[5] < 6 or a[8] - a[6] < 6:
-                gone.add(i)
-            for j in range(i + 1, len(page)):
-                if i in gone or j in gone:
-                    continue
-                b = page[j]
-                least = min(area(a), area(b))
-                ratio = shared(a, b) / least if least else 0
-                labels = {a[3], b[3]}
-                if "inline_formula" in labels and ratio > 0.5:
-                    gone |= {k for k, r in ((i, a), (j, b)) if r[3] == "inline_formula"}
-                elif ratio > 0.7:
-                    visual = set(L.VISUAL)
-                    if len(labels) > 1 and labels & visual and ("table" not in labels or labels <= visual):
-                        continue
-                    gone.add(j if area(a) >= area(b) else i)
-        want += [r[:2] for i, r in enumerate(page) if i not in gone]
-    got = L.greedy_overlap_filter(spark.createDataFrame(rows, SCHEMA)).select("page_id", "box_idx").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+BIG, SAME, HALF, IN, APART, THIN = (0, 0, 100, 100), (0, 0, 100, 100), (0, 0, 100, 60), (10, 10, 50, 50), (200, 0, 300, 100), (20, 20, 24, 90)
+
+
+@pytest.mark.parametrize(
+    "boxes,stay",
+    [
+        ([("text", BIG), ("text", APART)], [0, 1]),
+        ([("text", BIG), ("text", SAME)], [0]),  # the later of equals goes
+        ([("text", IN), ("text", BIG)], [1]),  # the smaller goes
+        ([("text", BIG), ("reference", IN), ("text", THIN)], [0]),
+        ([("text", THIN), ("text", BIG)], [1]),  # tiny: gone before it is compared
+        ([("text", IN), ("text", THIN), ("text", (10, 10, 50, 51))], [2]),
+        ([("image", BIG), ("text", IN)], [0, 1]),  # a visual one among different labels
+        ([("image", BIG), ("image", IN)], [0]),
+        ([("table", BIG), ("text", IN)], [0]),  # a table and one that isn't visual
+        ([("table", BIG), ("chart", IN)], [0, 1]),
+        ([("inline_formula", BIG), ("text", (0, 0, 100, 60))], [1]),
+        ([("inline_formula", IN), ("inline_formula", IN)], []),
+        ([("text", HALF), ("inline_formula", (0, 50, 100, 70))], [0, 1]),  # just half
+        ([("text", BIG), ("text", (0, 0, 100, 140))], [1]),
+        ([("text", BIG), ("text", (0, 30, 100, 130))], [0, 1]),  # seven tenths are not beyond it
+    ],
+)
+def test_greedy_overlap(spark, boxes, stay):
+    rows = [(1, i, 0, label, 0.5, *box, i) for i, (label, box) in enumerate(boxes)]
+    got = L.greedy_overlap_filter(spark.createDataFrame(rows, SCHEMA)).select("box_idx").collect()
+    assert sorted(r[0] for r in got) == stay
+
+
+def square(x, y, n):
+    return [[x, y], [x + n, y], [x + n, y + n], [x, y + n]]
+
+
+NOTCHED = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [2.0, 1.0], [0.0, 4.0]]  # of area 10
+
+
+@pytest.mark.parametrize(
+    "a,b,want",
+    [
+        (square(0, 0, 4), square(0, 0, 4), 1.0),
+        (square(0, 0, 4), square(2, 2, 4), 0.25),
+        (square(0, 0, 4)[::-1], square(1, 1, 2), 1.0),
+        (square(0, 0, 4), square(9, 9, 1), 0.0),
+        (square(0, 0, 4), [[2, 0], [4, 2], [2, 4], [0, 2]], 1.0),
+        (NOTCHED, square(0, 0, 4), 1.0),
+        (NOTCHED, [[1.0, 1.0], [3.0, 1.0], [3.0, 4.0], [1.0, 4.0]], 0.25),
+        (square(0, 0, 4), [[0, 0], [1, 1]], 0.0),
+        (square(0, 0, 4), [], 0.0),
+    ],
+)
+def test_polygon_overlap(a, b, want):
+    assert L.polygon_overlap(a, b) == pytest.approx(want) and L.polygon_overlap(b, a) == pytest.approx(want)
+
+
+def test_polygons_keep_boxes(spark):
+    """Two triangles of one square overlap as boxes only; without a polygon the box counts."""
+    up, down = [[0.0, 0.0], [90.0, 0.0], [0.0, 90.0]], [[90.0, 90.0], [0.0, 90.0], [90.0, 0.0]]
+    rows = [(p, i, "text", 0, 0, 100, 100, shape) for p, shapes in enumerate([(up, down), (up, up), (up, None)]) for i, shape in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "page_id long, box_idx int, label string, x1 int, y1 int, x2 int, y2 int, polygon array<array<double>>")
+    got = L.greedy_overlap_filter(df, "polygon").select("page_id", "box_idx").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (0, 1), (1, 0), (2, 0)]
 
 
 def test_overlap_modes(spark):
