@@ -204,6 +204,18 @@ def projected_overall(projected: DataFrame) -> DataFrame:
     return projected.agg(F.round(F.avg("projected"), 2).alias("overall"))
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """One less the edit distance over the longer length; equal texts, empty ones too, have 1."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def replayed_scores(rows: DataFrame, score=similarity, gt: str = "gt", before: str = "output_before", after: str = "output_after") -> DataFrame:
+    """Adds before and after, what `score`, a function of columns, gives for the outputs at each
+    boundary as they were and as a change makes them; `boundary_attribution` goes on from there.
+    An output that wasn't recorded has no score."""
+    return rows.withColumn("before", score(F.col(gt), F.col(before))).withColumn("after", score(F.col(gt), F.col(after)))
+
+
 def boundary_attribution(rows: DataFrame, case: str = "case_id", order: str = "ord", name: str = "boundary") -> DataFrame:
     """(case_id, boundary): the first boundary with a gain (after - before > 0) such that it and
     all before it were observed; unproven where there is none."""

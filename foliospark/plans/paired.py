@@ -121,6 +121,14 @@ def attribution(s, d):
     return P.boundary_attribution(t)
 
 
+def replay(s, d):
+    """Scores of the outputs at each boundary before and after a change, then the attribution."""
+    t = table(s, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("ord")).distinct()
+    named = lambda word, n: F.concat(F.lit(word), (F.col("ord") % n).cast("string"))
+    t = t.select("case_id", "ord", named("boundary ", 100).alias("boundary"), named("line ", 9).alias("gt"), F.when(F.col("case_id") % 6 != F.col("ord"), named("lime ", 3)).alias("output_before"), named("line ", 4).alias("output_after"))
+    return P.boundary_attribution(P.replayed_scores(t.withColumn("output_after", F.when(F.col("case_id") % 5 == 0, F.col("output_before")).otherwise(F.col("output_after")))))
+
+
 def projections(s, d):
     pages = pair_rows(s, d).select("component", F.col("ref_score").alias("reference"), F.col("score").alias("candidate"))
     accepted = pages.select("component").distinct().select("component", F.lit(95.0).alias("accepted"), F.lit(100000.0).alias("denominator"), F.when(F.col("component") == "table", 1.0).otherwise(-1.0).alias("sign"))
@@ -290,6 +298,7 @@ QUERIES = {
     "u3_set_equality": lambda s, d: P.sets_equal(*[t.select("stem") for t in preds(s, d)]),
     "u4_evidence_rows": evidence,
     "w5_boundary_attribution": attribution,
+    "x3_score_replay": replay,
     "w6_page_consistency": consistency,
     "g1_schema_gate": schema,
     "g2_manifest_gate": manifest_gate,
@@ -364,6 +373,13 @@ SELECT round(avg(d / n), 9) AS page_avg, round(sum(d) / sum(n), 9) AS whole, rou
 WITH t AS (SELECT l_orderkey AS case_id, l_linenumber AS ord, CASE WHEN l_orderkey % 6 <> l_linenumber THEN min(l_discount) END AS b, min(l_tax) AS a FROM lineitem GROUP BY l_orderkey, l_linenumber),
 k AS (SELECT *, bool_and(b IS NOT NULL) OVER (PARTITION BY case_id ORDER BY ord) AS seen FROM t)
 SELECT case_id, coalesce('b' || min(CASE WHEN seen AND a - b > 0 THEN ord END), 'unproven') AS boundary FROM k GROUP BY case_id""",
+    "x3_score_replay": """
+WITH t AS (SELECT DISTINCT l_orderkey AS case_id, l_linenumber AS ord FROM lineitem),
+o AS (SELECT *, 'line ' || ord % 9 AS gt, CASE WHEN case_id % 6 <> ord THEN 'lime ' || ord % 3 END AS b, 'line ' || ord % 4 AS a FROM t),
+c AS (SELECT case_id, ord, gt, b, CASE WHEN case_id % 5 = 0 THEN b ELSE a END AS a FROM o),
+v AS (SELECT case_id, ord, 1 - levenshtein(gt, b) / greatest(length(gt), length(b)) AS b, 1 - levenshtein(gt, a) / greatest(length(gt), length(a)) AS a FROM c),
+k AS (SELECT *, bool_and(b IS NOT NULL AND a IS NOT NULL) OVER (PARTITION BY case_id ORDER BY ord) AS seen FROM v)
+SELECT case_id, coalesce('boundary ' || min(CASE WHEN seen AND a - b > 0 THEN ord END), 'unproven') AS boundary FROM k GROUP BY case_id""",
     "w6_page_consistency": oracle("SELECT page, count(DISTINCT label) AS n_values FROM {v_trace_ref} GROUP BY page HAVING count(DISTINCT label) > 1"),
     "g1_schema_gate": oracle("WITH n AS (SELECT count(*) FILTER (category = 'src3') AS n FROM {v_manifest}), c AS (SELECT 'column category' AS \"check\", true AS passed, 'string' AS observed, 'string' AS \"limit\" UNION ALL SELECT 'column image', true, 'string', 'string' UNION ALL SELECT 'column sha256', true, 'string', 'string' UNION ALL SELECT 'no other columns', true, '', '' UNION ALL SELECT 'digest sha256', n = 0, CAST(n AS VARCHAR), '0' FROM n) " + _VERDICT),
     "g2_manifest_gate": oracle(f"WITH {_G2} {_VERDICT}"),
