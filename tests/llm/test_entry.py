@@ -1,4 +1,4 @@
-"""The registered queries of the subpackage: names, SQL twins, recall on a whole table."""
+"""The registered queries of the subpackage: their names, and their rows against SQL twins."""
 
 import sys
 

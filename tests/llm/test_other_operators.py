@@ -343,3 +343,54 @@ def test_pipeline(spark, docs, corpus, tmp_path):
     assert sorted(str(r.doc_id) for r in good.collect()) == sorted(str(r.doc_id) for i, r in enumerate(rows) if not bad[i][4])
     out = stages["packed"](spark, good, str(tmp_path)).toPandas()
     assert set(out.doc_id) == {r.doc_id for r in good.collect()} and out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+CLASHING = {"key": "key", "id": "7", "node": "n", "lang_pred": "x", "__text": "t", "piece": "p", "rep": "r", "group": "g", "rejected": "no"}
+
+
+def test_run_on_odd_rows(spark, docs, corpus, tmp_path):
+    """The whole pipeline over nulls, empty and long texts, repeated rows and columns of any name."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from foliospark.llm import packing
+
+    odd = docs.union(docs.where("doc_id = 11")).union(docs.where("doc_id = 17"))
+    for name, value in CLASHING.items():
+        odd = odd.withColumn(name, F.lit(value))
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no document has these words " * 4), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stored(stage(spark, now, str(tmp_path)))
+        assert now.columns == odd.columns, name
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    want = sorted(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in now.collect())
+    ids = got.assign(doc=got.doc_id.fillna(-1))
+    assert sorted(ids.groupby("doc").length.sum()) == want  # one row of each id is left
+    assert set(ids.doc) == {-1 if r.doc_id is None else r.doc_id for r in now.collect()} and not {0, 1, 2, 3} & set(ids.doc)
+    assert got.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_run_on_empty_tables(spark, no_docs, tmp_path):
+    import corpus_pipeline
+
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, no_docs, str(tmp_path))
+        assert got.count() == 0 and (name == "packed" or got.columns == no_docs.columns)
+
+
+def test_odd_archives(spark, tmp_path):
+    """A payload of many megabytes, and none at all."""
+    long = "<p>" + "".join(random.Random(1).choices("abcdefgh <>", k=3_000_000)) + "é" * 1_000_000
+    rows = [(1, "http://a/", long), (2, None, long), (3, "http://a/", None), (4, "http://a/", ""), (4, "http://a/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = stored(warc.write_warc(df, f"file://{tmp_path}/w", archive_bytes=1000))
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(archives).collect())
+    n = len(long.encode())
+    assert got == [(1, n, "response", None), (2, n, "revisit", 1), (3, 0, "response", None), (4, 0, "response", None), (4, 0, "response", None)]
