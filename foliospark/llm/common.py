@@ -38,21 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-#: Spark drops the shuffle files of a write when it is done, not at some later garbage collection.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark drops the write's shuffle files when it is done, not at some
+#: later garbage collection, and texts come to Python in batches of a bounded size.
+_MEANWHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends here. Shuffle files
-    of the write go with its end; the session's setting for that is put back."""
+    """df written as a table in the shared folder and read again: lineage ends here. The session's
+    settings that hold during the write are put back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _MEANWHILE}
     try:
+        for k, v in _MEANWHILE.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     got = spark.read.schema(df.schema).parquet(path)
     got._stored_at = path
     return got
@@ -130,6 +133,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     tally = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
     before = tally(cur)
     while before[0]:
+        last = cur
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # stored, so that the join has two plain exchanges and Spark can split a hub's rows
         least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
@@ -146,6 +150,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         )
         cur = stored(small, name)
         after = tally(cur)
+        release(edges.sparkSession, last, least)
         if after == before:
             break
         before = after

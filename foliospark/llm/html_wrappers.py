@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stored, table
+from foliospark.llm.common import release, stored, table
 from foliospark.llm.url_rules import host_of
 
 #: Wrappers of all hosts together are sent to the tasks up to so many bytes; beyond, they are joined.
@@ -337,8 +337,9 @@ def _merged(shapes: DataFrame) -> DataFrame:
         most = sizes.agg(F.max("m")).first()[0] or 0
         if most <= 1:
             return shapes
-        dealt = shapes.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("what"), F.ceil(F.col("m") / FAN)))
+        last, dealt = shapes, shapes.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("what"), F.ceil(F.col("m") / FAN)))
         shapes = stored(dealt.select("host", "part", "what").groupBy("host", "part").applyInPandas(_partly, "host string, what string").distinct(), "wrappers")
+        release(shapes.sparkSession, last)
 
 
 class _Wrappers:

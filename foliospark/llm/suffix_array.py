@@ -273,8 +273,9 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, words: int = 0) -> Da
     found = told.where("NOT edge").select("key", "s").union(across.select("key", "s")).select("key", F.struct("s", F.lit(size).alias("n")).alias("span"))
     if words:
         found = found.union(repeated_words(docs, words, size))
-    spans = alone.union(wholly).union(found).groupBy("key").agg(F.collect_list("span").alias("spans"))
-    return stored(spans, "spans")
+    spans = stored(alone.union(wholly).union(found).groupBy("key").agg(F.collect_list("span").alias("spans")), "spans")
+    release(spark, alone, wholly, told)
+    return spans
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
