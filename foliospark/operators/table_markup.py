@@ -42,30 +42,35 @@ def cells(tables: DataFrame, text: str = "text", key: str = "table_id") -> DataF
     return rows.select(key, "r", "c", tag.alias("tag"), F.when(tag == "fcel", strip(F.substring("cell", 7, 1 << 30))).otherwise("").alias("text"))
 
 
-def spanned(cell_rows: DataFrame, key: str = "table_id") -> DataFrame:
-    """Full and empty cells with col_span and row_span: up to the next cell of the row that doesn't
-    span left, and the next of the column that doesn't span up."""
+def _with_spans(cell_rows: DataFrame, key: str) -> DataFrame:
     right = Window.partitionBy(key, "r").orderBy("c").rowsBetween(1, Window.unboundedFollowing)
     down = Window.partitionBy(key, "c").orderBy("r").rowsBetween(1, Window.unboundedFollowing)
     stop_c = F.min(F.when(~F.col("tag").isin("lcel", "xcel"), F.col("c"))).over(right)
     stop_r = F.min(F.when(~F.col("tag").isin("ucel", "xcel"), F.col("r"))).over(down)
     end_c, end_r = F.coalesce(stop_c, F.max("c").over(right) + 1, F.col("c") + 1), F.coalesce(stop_r, F.max("r").over(down) + 1, F.col("r") + 1)
-    rows = cell_rows.withColumn("col_span", end_c - F.col("c")).withColumn("row_span", end_r - F.col("r"))
-    return rows.where(F.col("tag").isin("fcel", "ecel"))
+    return cell_rows.withColumn("col_span", end_c - F.col("c")).withColumn("row_span", end_r - F.col("r"))
+
+
+def spanned(cell_rows: DataFrame, key: str = "table_id") -> DataFrame:
+    """Full and empty cells with col_span and row_span: up to the next cell of the row that doesn't
+    span left, and the next of the column that doesn't span up."""
+    return _with_spans(cell_rows, key).where(F.col("tag").isin("fcel", "ecel"))
 
 
 def html_tables(cell_rows: DataFrame, key: str = "table_id") -> DataFrame:
     """(key, html): each place of the grid belongs to the last cell that covers it; a cell is
-    written where it begins, places that no cell covers as empty ones."""
-    owners = spanned(cell_rows, key)
-    covered = owners.select(key, F.struct("r", "c", "col_span", "row_span", "text").alias("o"), F.explode(F.sequence(F.col("r"), F.col("r") + F.col("row_span") - 1)).alias("gr"))
-    covered = covered.select(key, "o", "gr", F.explode(F.sequence(F.col("o.c"), F.col("o.c") + F.col("o.col_span") - 1)).alias("gc"))
-    last = covered.groupBy(key, F.col("gr").alias("r"), F.col("gc").alias("c")).agg(F.max("o").alias("o"))
-    grid = cell_rows.select(key, "r", "c").join(last, [key, "r", "c"], "left")
-    shown = grid.where("o IS NULL OR (o.r = r AND o.c = c)")
+    written where it begins, places that no cell covers as empty ones. Cells are dealt by table
+    once, as a table's text comes from one task anyway; windows and groups then stay there."""
+    rows = _with_spans(cell_rows.repartition(key), key)
+    owner = F.struct("r", "c", "col_span", "row_span", "text")
+    along = lambda a, n: F.sequence(F.col(a), F.col(a) + F.col(n) - 1)
+    covers = F.flatten(F.transform(along("r", "row_span"), lambda r: F.transform(along("c", "col_span"), lambda c: F.struct(r.alias("r"), c.alias("c"), owner.alias("o"), F.lit(False).alias("own")))))
+    own = F.array(F.struct("r", "c", F.when(F.lit(False), owner).alias("o"), F.lit(True).alias("own")))
+    places = rows.select(key, F.explode(F.when(F.col("tag").isin("fcel", "ecel"), F.concat(own, covers)).otherwise(own)).alias("at")).select(key, "at.*")
+    grid = places.groupBy(key, "r", "c").agg(F.max("o").alias("o"), F.max("own").alias("own")).where("own")
     span = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
     td = F.concat(F.lit("<td"), span("rowspan", F.coalesce("o.row_span", F.lit(1))), span("colspan", F.coalesce("o.col_span", F.lit(1))), F.lit(">"), escape(F.coalesce("o.text", F.lit(""))), F.lit("</td>"))
-    tr = shown.groupBy(key, "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", td.alias("td")))), lambda x: x["td"]), "").alias("tr"))
-    every = cell_rows.select(key, "r").distinct().join(tr, [key, "r"], "left")
-    body = F.transform(F.array_sort(F.collect_list(F.struct("r", F.coalesce("tr", F.lit("")).alias("tr")))), lambda x: F.concat(F.lit("<tr>"), x["tr"], F.lit("</tr>")))
-    return every.groupBy(key).agg(F.concat(F.lit("<table>"), F.array_join(body, ""), F.lit("</table>")).alias("html"))
+    shown = F.when(F.col("o").isNull() | ((F.col("o.r") == F.col("r")) & (F.col("o.c") == F.col("c"))), F.struct("c", td.alias("td")))
+    tr = grid.groupBy(key, "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["td"]), "").alias("tr"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("r", "tr"))), lambda x: F.concat(F.lit("<tr>"), x["tr"], F.lit("</tr>")))
+    return tr.groupBy(key).agg(F.concat(F.lit("<table>"), F.array_join(body, ""), F.lit("</table>")).alias("html"))
