@@ -126,8 +126,12 @@ def ordered_digest(rows: DataFrame, name: str, digest: str, *by: str, separator:
     return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
 
 
-def listed_digest(rows: DataFrame, name: str, digest: str, *by: str, separator: str = "\t") -> DataFrame:
-    """SHA-256 of `name<separator>digest` lines in name order, for each group of bounded size."""
+def listed_digest(rows: DataFrame, name: str, digest: str, *by: str, separator: str = "\t", most: int = 1_000_000) -> DataFrame:
+    """SHA-256 of `name<separator>digest` lines in name order, for each group of up to `most` rows;
+    a larger one, which `ordered_digest` is for, is an error. One task holds a group's lines."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    if sizes.where(F.col("n") > most).limit(1).count():
+        raise ValueError(f"a group has more than {most} rows")
     line = F.struct(F.col(name).alias("n"), F.concat(F.col(name), F.lit(separator), F.col(digest)).alias("l"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n")
     return rows.groupBy(*by).agg(F.sha2(joined, 256).alias("digest"))
