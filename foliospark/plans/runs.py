@@ -52,11 +52,6 @@ def digests(s, d):
     return R.listed_digest(m, "image", "h", "category", "lot")
 
 
-def category_digests(s, d):
-    """A digest of all images of a category, as stored digests have it: up to a million names."""
-    return R.listed_digest(table(s, d, "v_manifest").withColumn("h", F.sha2("image", 256)), "image", "h", "category")
-
-
 def whole_digest(s, d):
     return R.ordered_digest(table(s, d, "v_manifest").withColumn("h", F.sha2("category", 256)), "image", "h")
 
@@ -101,7 +96,6 @@ QUERIES = {
     "a4_covered_time": lambda s, d: R.covered_time(table(s, d, "v_intervals")),
     "a11_majority_vote": answers,
     "a16_ordered_digest": digests,
-    "a16_category_digest": category_digests,
     "a16_whole_digest": whole_digest,
     "a18_throughput": lambda s, d: page_runs(s, d).groupBy("run_id").agg(F.round(R.pages_per_minute(F.count(F.lit(1)), F.sum("seconds")), 6).alias("ppm")),
     "a22_scored_tally": lambda s, d: R.scored_tally(table(s, d, "v_samples_cand").withColumn("score", F.when(F.col("img_id") % 13 != 0, F.col("score"))), "score", "component").withColumn("nonzero_mean", F.round("nonzero_mean", 9)),
@@ -137,7 +131,6 @@ n AS (SELECT page_id, island, max(finish_s) - min(start_s) AS n FROM i GROUP BY
 SELECT page_id, sum(n) AS covered FROM n GROUP BY page_id"""),
     "a11_majority_vote": "WITH v AS (SELECT user_id, event_type AS answer, count(*) AS votes, min(event_id) AS first FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, first) AS k FROM v) SELECT user_id, answer, votes FROM k WHERE k = 1",
     "a16_ordered_digest": oracle("SELECT category, CAST(regexp_extract(image, '(\\d+)', 1) AS BIGINT) // 1000 AS lot, sha256(string_agg(image || chr(9) || sha256(image), chr(10) ORDER BY image)) AS digest FROM {v_manifest} GROUP BY ALL"),
-    "a16_category_digest": oracle("SELECT category, sha256(string_agg(image || chr(9) || sha256(image), chr(10) ORDER BY image)) AS digest FROM {v_manifest} GROUP BY category"),
     "a16_whole_digest": oracle("""
 WITH p AS (SELECT CAST('0x' || sha256(image)[1:4] AS INT) % 4096 AS part, image, image || chr(9) || sha256(category) AS l FROM {v_manifest}),
 q AS (SELECT part, sha256(string_agg(l, chr(10) ORDER BY image)) AS d FROM p GROUP BY part)
