@@ -18,6 +18,8 @@ RECALL = 0.99999
 #: Members of a block's chunk: of a trie node, and when n-grams are compared.
 NODE_CHUNK, BLOCK_CHUNK, BLOCK_SHINGLES = 256, 192, 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Rows without an id are known by a hash of their text from here on; ids are smaller.
+NAMELESS = 1 << 62
 
 
 def prefix_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -226,7 +228,8 @@ def near_duplicates(
     with the same set of n-grams, the number of other documents linked directly, the least id
     that links reach, and whether that is the row itself. Texts without words (null, empty)
     link with nothing and are kept. Rows without an id take part and get their group's id, or
-    null where no member has one; a null component is kept. Rows of one id are one document.
+    null where no member has one; a null component is kept. Rows of one id are one document;
+    ids are below 2^62.
 
     Copies are folded into one set first, so they cost a row each. In each tree signatures are
     sorted into a trie; matched prefixes are shortened from the tries' depth until the recall
@@ -239,10 +242,11 @@ def near_duplicates(
     spark, k = docs.sparkSession, trees * depth
     d = prefix_depth(similarity, trees, depth, recall)
     least = similarity - 5 * math.sqrt(similarity * (1 - similarity) / k)
-    mine = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    nameless = F.xxhash64(text).bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS)
+    mine = docs.select(F.coalesce(F.col(id).cast("long"), nameless).alias("id"), F.col(text).alias("text"))
     base = stored(mine.mapInArrow(_digests(k, words), "id long, f1 long, f2 long, n int, sig binary"), "signatures")
     sets = stored(base.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
-    nodes = base.join(sets.where("rep IS NOT NULL").select("rep", "copies", "f1", "f2"), (base.id == F.col("rep")) & (base.f1 == sets.f1) & (base.f2 == sets.f2))
+    nodes = base.join(sets.select("rep", "copies", "f1", "f2"), (base.id == F.col("rep")) & (base.f1 == sets.f1) & (base.f2 == sets.f2))
     nodes = stored(nodes.select("id", "copies", "n", "sig").dropDuplicates(["id"]), "nodes")
     tries = nodes.select("id", "sig").mapInArrow(_tries(trees, depth, d), "node long, rest binary, id long")
     crowd = tries.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")).where("m > 1")
@@ -257,7 +261,7 @@ def near_duplicates(
     crowd = weighed.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     parts = F.greatest(F.ceil(F.col("m") / BLOCK_CHUNK), F.ceil(F.col("total") / BLOCK_SHINGLES))
     members = in_blocks(weighed.join(crowd, "group"), "group", "id", parts).select("group", "x", "y", "chunk", "id", "copies")
-    packed = mine.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(compressed, "id long, text binary")
+    packed = mine.where("text IS NOT NULL").mapInArrow(compressed, "id long, text binary")
     sets_of = packed.join(near.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(words), "id long, grams binary")
     blocks = members.join(sets_of, "id").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "id")
     told = stored(blocks.mapInArrow(_verify(similarity), "a long, b long, links long"), "links")
@@ -270,7 +274,9 @@ def near_duplicates(
     linked = base.select("id", "f1", "f2").join(known, ["f1", "f2"]).select("id", "set_id", "n_links", "component_id")
     bare = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")) == 0
     rest = mine.where(bare).select("id", F.col("id").alias("set_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.union(rest).select(F.col("id").alias("doc_id"), "set_id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    rows = linked.union(rest).select(named("id"), named("set_id"), "n_links", named("component_id"))
+    return rows.select(F.col("id").alias("doc_id"), "set_id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def _low_bytes(batches):

@@ -316,6 +316,14 @@ def test_prefixes_shorten_with_the_similarity():
     assert jaccard.prefix_depth(0.8) == 4
 
 
+def test_texts_of_nameless_rows_meet_near_copies(spark):
+    """A text that only rows without an id have is linked as any other."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (9, long + " more"), (None, long + " else"), (None, "q r s t u v"), (None, "q r s t u v")]
+    got = sorted(((r.doc_id, r.n_links, r.component_id, r.kept) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 2, 9, False), (9, 2, 9, True), (None, 2, 9, False), (None, 1, None, True), (None, 1, None, True)], key=str)
+
+
 def test_near_duplicates_of_a_whole_table(spark):
     """All links of the documents of sf0.001, by their sets of n-grams."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
