@@ -16,6 +16,8 @@ from foliospark.llm.common import compressed, mix, release, small, stored, table
 MIN_BYTES = 400
 #: Suffixes of a bucket, which one task sorts in memory (24 bytes each).
 BUCKET = 1 << 20
+#: Words of an anchor of a window of words, and words that are worked on at once.
+BLOCK, STRETCH = 5, 4000
 #: Bytes that are worked on at once, whatever the length of a text.
 SEGMENT = 1 << 20
 
@@ -30,6 +32,7 @@ class Roller:
 
     def __init__(self, block: int, longest: int = SEGMENT):
         self.block = block
+        self.longest = longest
         n = longest + 2 * block + 2
         inverse = pow(_BASE, -1, 1 << 64)
         self.power, self.inverse = (np.cumprod(np.full(n, b, np.uint64)) * np.uint64(pow(b, -1, 1 << 64)) for b in (_BASE, inverse))
@@ -202,38 +205,99 @@ def _sort_and_compare(batches):
     yield rows(np.flatnonzero(inner), n, False)
 
 
-def word_windows(text: str, words: int, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The text's bytes, and where its windows of `words` words begin and end that are shorter
-    than `size` bytes. White space, as Python knows it, stands between words."""
+def word_places(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text's bytes, and where its words begin and end. White space, as Python knows it, stands
+    between words."""
     data = text.encode("utf-8", "surrogatepass")
     marks = data if text.isascii() else _WIDE.sub(lambda m: " " * len(m[0].encode()), text).encode("utf-8", "surrogatepass")
     space = np.concatenate([[True], _SPACE[np.frombuffer(marks, np.uint8)], [True]])
     turn = np.flatnonzero(space[1:] != space[:-1])
-    s, e = turn[::2], turn[1::2]
-    s, e = s[: max(0, len(s) - words + 1)], e[words - 1 :]
-    short = e - s < size
-    return data, s[short], e[short]
+    return data, turn[::2], turn[1::2]
+
+
+def word_runs(data: bytes, s: np.ndarray, e: np.ndarray, words: int, size: int, roll: Roller):
+    """Runs of windows of `words` words and under `size` bytes with one anchor, as `anchored_runs`
+    has them for bytes: (key, context, first window, number of windows). The anchor is the least
+    fingerprint of BLOCK words in the window."""
+    n = len(s) - words + 1
+    short = e[words - 1 :] - s[: max(0, n)] < size
+    if n <= 0 or not short.any():
+        return
+    # no such window reaches over a word that stands `size` bytes before the next one, and
+    # STRETCH words between two of these have at most so many times `size` bytes
+    cuts = [0, *(np.flatnonzero(np.diff(s) >= size) + 1).tolist(), len(s)]
+    for a, b in zip(cuts, cuts[1:]):
+        for lo in range(a, b - words + 1, STRETCH - words + 1):
+            hi = min(b, lo + STRETCH)
+            at = np.flatnonzero(short[lo : hi - words + 1])
+            if not len(at):
+                continue
+            # (a longer last word is in no such window)
+            begin, end = s[lo:hi] - s[lo], np.minimum(e[lo:hi] - s[lo], roll.longest)
+            letters = np.frombuffer(data, np.uint8)[s[lo] : s[lo] + end[-1]]
+            total = np.zeros(len(letters) + 1, np.uint64)
+            np.cumsum(roll.letter[letters] * roll.power[: len(letters)], out=total[1:])
+            stretch = lambda x, y: mix((total[y] - total[x]) * roll.inverse[x] + (y - x).astype(np.uint64))
+            block = stretch(begin[: 1 - BLOCK], end[BLOCK - 1 :])
+            least = window_minima((block & ~_LOW) | np.arange(len(block), dtype=np.uint64), words - BLOCK + 1)
+            anchor = (least[at] & _LOW).astype(np.int64)
+            head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(at) > 1)]))
+            count = np.diff(np.concatenate([head, [len(at)]]))
+            first, anchor = at[head], anchor[head]
+            with np.errstate(over="ignore"):
+                place = mix((anchor - first).astype(np.uint64) * np.uint64(0x100000001B3) + count.astype(np.uint64))
+                context = mix(stretch(begin[first], end[first + count + words - 2]) + place)
+            yield block[anchor], context, first + lo, count
 
 
 def repeated_words(docs: DataFrame, words: int, size: int) -> DataFrame:
     """(key, span) of the windows of `words` words that occur anywhere else too and are shorter
-    than `size` bytes; `repeated_spans` finds the longer ones. Windows are known by 128 bits."""
+    than `size` bytes; `repeated_spans` finds the longer ones. As there, a run whose whole context
+    occurs again is repeated as it is; only where an anchor has different contexts are windows
+    compared, one run of each context, known by 128 bits."""
 
-    def run(batches):
+    def find(batches):
+        roll = Roller(1, STRETCH * size)
         for batch in small(batches):
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(6)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data, s, e = word_windows(text.as_py() or "", words, size)
-                out[0] += [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(s.tolist(), e.tolist())]
-                out[1] += [key] * len(s)
-                out[2] += s.tolist()
-                out[3] += (e - s).tolist()
+                data, s, e = word_places(text.as_py() or "")
+                for k, c, first, n in word_runs(data, s, e, words, size, roll):
+                    row = np.full(len(k), key), k.view(np.int64), c.view(np.int64), s[first], n, e[first + n + words - 2] - s[first]
+                    for held, v in zip(out, row):
+                        held.append(v)
+            if out[0]:
+                cols = [pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "k", "c", "s", "n", "bytes"])
+
+    def windows(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for key, packed, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                data, s, e = word_places(unpacked(packed).decode("utf-8", "surrogatepass"))
+                for r in asked:
+                    i = int(np.searchsorted(s, r["s"]))
+                    a, b = s[i : i + r["n"]], e[i + words - 1 : i + r["n"] + words - 1]
+                    out[0] += [hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist())]
+                    out[1] += [key] * len(a)
+                    out[2] += a.tolist()
+                    out[3] += (b - a).tolist()
             cols = [pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["h", "key", "s", "n"])
 
-    windows = stored(docs.select("key", "text").mapInArrow(run, "h binary, key long, s int, n int"), "windows")
-    again = stored(windows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "again")
-    return windows.join(again, "h", "left_semi").select("key", F.struct("s", "n").alias("span"))
+    runs = stored(docs.select("key", "text").mapInArrow(find, "key long, k long, c long, s int, n int, bytes int"), "runs")
+    again = runs.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k")
+    cand = stored(runs.join(again, "k", "left_semi"), "candidates")
+    ctx = stored(cand.groupBy("k", "c").agg(F.count(F.lit(1)).alias("reps"), F.min(F.struct("key", "s", "n")).alias("r")), "contexts")
+    wholly = stored(cand.join(ctx.where("reps > 1").select("k", "c"), ["k", "c"], "left_semi").select("key", F.struct("s", F.col("bytes").alias("n")).alias("span")), "spans")
+    contested = stored(ctx.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "contested")
+    asked = ctx.join(contested, "k", "left_semi").groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("r.s", "r.n")).alias("asked"))
+    texts = docs.select("key", "text").mapInArrow(compressed, "key long, text binary").join(asked, "key")
+    found = stored(texts.mapInArrow(windows, "h binary, key long, s int, n int"), "windows")
+    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    spans = stored(wholly.union(found.join(twice, "h", "left_semi").select("key", F.struct("s", "n").alias("span"))), "spans")
+    release(docs.sparkSession, runs, cand, ctx, wholly, contested, found)
+    return spans
 
 
 def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, words: int = 0) -> DataFrame:

@@ -394,6 +394,32 @@ def test_repeats_odd_tables(spark, no_docs):
     assert got == [("1", 0), ("1", 0), ("2", 402), ("None", 400), ("None", 400)]
 
 
+@pytest.mark.parametrize("stretch", [40, 4000])
+def test_repeated_words(spark, monkeypatch, stretch):
+    """Windows of short words in all their places, against counting them, in many contexts."""
+    monkeypatch.setattr(suffix_array, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    pool = ["a", "bé", "c d", "e", "ff", "g\u00a0h", "i"]
+    passage = [rng.choice("abcdefgh") for _ in range(60)]
+    texts = []
+    for i in range(30):
+        w = [rng.choice(pool) for _ in range(rng.randint(0, 50))]
+        k, n = rng.randrange(40), rng.randrange(5, 60)
+        w[len(w) // 2 : len(w) // 2] = passage[k : k + n]
+        texts.append(rng.choice([" ", "\t"]).join(w) + rng.choice(["", " " * 90 + "x" * 70 + " y"]))
+    texts += [" ".join(passage), " ".join(passage), None, "", "z " * 45, " ".join(passage) + "  " + " ".join(passage), " ".join(passage) + " " + "q" * 300_000, "q" * 300_000 + " " + " ".join(passage)]
+    words_, size = 12, 60
+    places = [suffix_array.word_places(t or "") for t in texts]
+    wanted = lambda i: [(int(a), int(b)) for a, b in zip(places[i][1], places[i][2][words_ - 1 :]) if b - a < size]
+    seen = Counter(places[i][0][a:b] for i in range(len(texts)) for a, b in wanted(i))
+    want = {i: suffix_array.merged([{"s": a, "n": b - a} for a, b in wanted(i) if seen[places[i][0][a:b]] > 1]) for i in range(len(texts))}
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3)
+    got = {}
+    for r in suffix_array.repeated_words(df, words_, size).collect():
+        got.setdefault(r.key, []).append(r.span.asDict())
+    assert {i: suffix_array.merged(got.get(i, [])) for i in want} == want and any(want.values())
+
+
 @pytest.mark.parametrize("small", [1, 8, 5000])
 def test_multikey_quicksort(small):
     rng = np.random.default_rng(small)
