@@ -38,24 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-#: While a table is written: Spark drops the write's shuffle files when it is done, not at some
-#: later garbage collection, and texts come to Python in batches of a bounded size.
-_MEANWHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: While a table is written Spark drops the write's shuffle files when it is done, not at some later
+#: garbage collection.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends here. The session's
-    settings that hold during the write are put back."""
+    """df written as a table in the shared folder and read again: lineage ends here. Shuffle files
+    of the write go with its end; the session's setting for that is put back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in _MEANWHILE}
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
     try:
-        for k, v in _MEANWHILE.items():
-            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(_CLEAN, before)
     got = spark.read.schema(df.schema).parquet(path)
     got._stored_at = path
     return got
