@@ -292,7 +292,7 @@ def repeated_words(docs: DataFrame, words: int, size: int) -> DataFrame:
     wholly = stored(cand.join(ctx.where("reps > 1").select("k", "c"), ["k", "c"], "left_semi").select("key", F.struct("s", F.col("bytes").alias("n")).alias("span")), "spans")
     contested = stored(ctx.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "contested")
     asked = ctx.join(contested, "k", "left_semi").groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("r.s", "r.n")).alias("asked"))
-    texts = docs.select("key", "text").mapInArrow(compressed, "key long, text binary").join(asked, "key")
+    texts = docs.select("key", "text").mapInArrow(compressed, "key long, text binary").join(asked.hint("merge"), "key")
     found = stored(texts.mapInArrow(windows, "h binary, key long, s int, n int"), "windows")
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
     spans = stored(wholly.union(found.join(twice, "h", "left_semi").select("key", F.struct("s", "n").alias("span"))), "spans")
@@ -325,7 +325,9 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, words: int = 0) -> Da
     contested = stored(ctx.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "contested")
     asked = stored(ctx.join(contested, "k", "left_semi").groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("r.s", "r.n")).alias("asked")), "asked")
     wholly = stored(cand.join(ctx.where("reps > 1").select("k", "c"), ["k", "c"], "left_semi").select("key", F.struct("s", (F.col("n") + size - 1).alias("n")).alias("span")), "spans")
-    texts = docs.select("key", "text").mapInArrow(compressed, "key long, text binary").join(asked, "key")
+    # joins of texts are merges: two maps in Python, one of them behind a broadcast join, would run in
+    # one task, each in a worker of its own
+    texts = docs.select("key", "text").mapInArrow(compressed, "key long, text binary").join(asked.hint("merge"), "key")
     suffixes = texts.mapInArrow(_emit_suffixes(size, block), "t1 long, t2s long, key long")
     total = asked.agg(F.sum(F.aggregate("asked", F.lit(0).cast("long"), lambda n, r: n + r["n"]))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
@@ -386,7 +388,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, k
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=schema.names)
 
     packed = T.StructType([*mine.schema.fields[:-1], T.StructField("__text", T.BinaryType())])
-    joined = mine.mapInArrow(compressed, packed).join(spans, "__key", "left").select(*[F.col(c) for c in keep], "__text", "__spans")
+    joined = mine.mapInArrow(compressed, packed).join(spans.hint("merge"), "__key", "left").select(*[F.col(c) for c in keep], "__text", "__spans")
     return joined.mapInArrow(run, schema)
 
 
