@@ -14,25 +14,32 @@ from foliospark.llm.common import release, stored, table
 
 #: Terms are kept that so many documents of a language have, and so many are listed a group.
 SUPPORT, RANKS = 10, 10
-#: Letters: ASCII ones and all beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is no letter: terms are runs of ASCII letters and of all beyond ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Text that a task counts at once, unless one text is longer.
-UNIT = 12_000_000
+UNIT = 16_000_000
 #: Terms and sources of a block of the comparison, about.
 TERMS, SOURCES = 2048, 256
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = bytes(0x20 if c < 0x20 else c for c in range(256))
 
 
-def _coded(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    coded = column.cast(pa.string()).fill_null("").dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+COLUMNS = "key string, lang string, source array<long>, n array<long>, docs array<long>"
+
+
+def _lists(values: np.ndarray, size: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int64)), mask=None if null is None else pa.array(null))
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
 
 
 def counted(text: pa.Array, lang: pa.Array, source: pa.Array, first: int, support: int) -> pa.RecordBatch | None:
-    """(chunk, lang, source, n, d, docs): occurrences, documents and, where fewer than `support`
-    documents of the language have the chunk here, their numbers from `first`. Chunks are what
-    ASCII blanks and control characters part. Rows of one chunk stand together."""
+    """(key, lang, source, n, docs) for each chunk and language of some texts: occurrences by source
+    and the numbers from `first` of the documents that have it, null for `support` of them or
+    more. Chunks are what ASCII blanks and control characters part."""
     text = text.cast(pa.string()).fill_null("")
     at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
     held = text.buffers()[2]
@@ -41,36 +48,33 @@ def counted(text: pa.Array, lang: pa.Array, source: pa.Array, first: int, suppor
     split = pc.split_pattern(plain, " ")
     flat = split.flatten().dictionary_encode()
     size = np.diff(split.offsets.to_numpy())
-    (langs, of_lang), (sources, of_source) = _coded(lang), _coded(source)
-    docs, groups = len(text), len(sources)
-    of_doc = of_lang * groups + of_source
-    code = flat.indices.to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(docs), size)
+    coded = lang.dictionary_encode()
+    langs, of_lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    sources, of_source = np.unique(source.to_numpy(), return_inverse=True)
+    docs = len(text)
+    code, doc = flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(docs), size)
     full = code != pc.index(flat.dictionary, "").as_py()
-    key = (code * (len(langs) * groups) + of_doc[doc]) * docs + doc
+    key = (((code * len(langs) + of_lang[doc]) * len(sources)) + of_source[doc]) * docs + doc
     key = np.sort(key[full])
     if not len(key):
         return None
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # one chunk in one document
+    head = _heads(key)  # a chunk in a document
     n, key = np.diff(np.concatenate([head, [len(key)]])), key[head]
-    group, doc = key // docs, key % docs
-    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    d, group = np.diff(np.concatenate([start, [len(key)]])), group[start]
-    in_lang = np.unique(group // groups, return_inverse=True)[1]
-    few = np.bincount(in_lang, d)[in_lang] < support
-    kept = np.repeat(few, d)
-    ends = np.concatenate([[0], np.cumsum(np.where(few, d, 0))]).astype(np.int32)
-    own = pa.ListArray.from_arrays(pa.array(ends), pa.array(first + doc[kept]), mask=pa.array(~few))
-    names = group % (len(langs) * groups)
+    doc, key = key % docs, key // docs
+    by_source = _heads(key)
+    own, key = key[by_source] % len(sources), key // len(sources)
+    row = _heads(key)  # a chunk in a language
+    d, width = np.diff(np.concatenate([row, [len(key)]])), np.diff(np.concatenate([_heads(key[by_source]), [len(by_source)]]))
+    many = d >= support
+    key = key[row]
     cols = [
-        flat.dictionary.take(pa.array(group // (len(langs) * groups))),
-        langs.take(pa.array(names // groups)),
-        sources.take(pa.array(names % groups)),
-        pa.array(np.add.reduceat(n, start).astype(np.int64)),
-        pa.array(d.astype(np.int64)),
-        own,
+        flat.dictionary.take(pa.array(key // len(langs))),
+        langs.take(pa.array(key % len(langs))),
+        _lists(sources[own], width),
+        _lists(np.add.reduceat(n, by_source), width),
+        _lists(first + doc[np.repeat(~many, d)], np.where(many, 0, d), many),
     ]
-    return pa.RecordBatch.from_arrays(cols, names=["chunk", "lang", "source", "n", "d", "docs"])
+    return pa.RecordBatch.from_arrays(cols, names=["key", "lang", "source", "n", "docs"])
 
 
 def _postings(support: int):
@@ -82,17 +86,76 @@ def _postings(support: int):
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + UNIT, "right")))
-                part = batch.slice(lo, hi - lo)
-                got = counted(*part.columns, first, support)
+                got = counted(*batch.slice(lo, hi - lo).columns, first, support)
                 if got is not None:
-                    for k in range(0, got.num_rows, 50_000):
-                        yield got.slice(k, 50_000)
+                    for k in range(0, got.num_rows, 20_000):
+                        yield got.slice(k, 20_000)
                 first += hi - lo
                 lo = hi
 
     return run
 
 
+def summed(t: pa.Table, support: int) -> pa.Table:
+    """One row for each (key, lang) of sorted rows: counts added by source, documents united, null
+    as soon as there are `support` of them."""
+    t = t.combine_chunks()
+    key, lang, source, n, docs = (t.column(c).chunk(0) for c in ("key", "lang", "source", "n", "docs"))
+    same = pc.and_(pc.equal(key[1:], key[:-1]), pc.equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False).astype(bool)
+    row = np.concatenate([[True], ~same])
+    of, head = np.cumsum(row) - 1, np.flatnonzero(row)
+    size = source.value_lengths().to_numpy()
+    names, code = np.unique(source.flatten().to_numpy(), return_inverse=True)
+    cell, back = np.unique(np.repeat(of, size) * len(names) + code, return_inverse=True)
+    total = np.zeros(len(cell), np.int64)
+    np.add.at(total, back, n.flatten().to_numpy())
+    width = np.bincount(cell // max(1, len(names)), minlength=len(head))
+    none = docs.is_null().to_numpy(zero_copy_only=False)
+    held, has = docs.flatten().to_numpy(), docs.value_lengths().fill_null(0).to_numpy()
+    ids, code = np.unique(held, return_inverse=True)
+    pair = np.unique(np.repeat(of, has) * max(1, len(ids)) + code)
+    at, ids = pair // max(1, len(ids)), ids[pair % max(1, len(ids))]
+    many = (np.bincount(of[none], minlength=len(head)) > 0) | (np.bincount(at, minlength=len(head)) >= support)
+    few = np.bincount(at, minlength=len(head)) * ~many
+    where = pa.array(head)
+    return pa.table([key.take(where), lang.take(where), _lists(names[cell % max(1, len(names))], width), _lists(total, width), _lists(ids[~many[at]], few, many)], names=["key", "lang", "source", "n", "docs"])
+
+
+def _reduced(support: int, finish):
+    """Rows sorted by key and language in batches, added up and finished; of a key that goes on in
+    the next batch only the sums are held."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = summed(t if held is None else pa.concat_tables([held, t]), support)
+            key = t.column("key").chunk(0)
+            cut = pc.index(key, key[-1]).as_py()
+            if cut:
+                yield from finish(t.slice(0, cut)).combine_chunks().to_batches()
+            held = t.slice(cut).combine_chunks()
+        if held is not None:
+            yield from finish(held).combine_chunks().to_batches()
+
+    return run
+
+
+def _as_terms(t: pa.Table) -> pa.Table:
+    """The rows of chunks as rows of their terms, one as often as it stands in the chunk; each
+    different chunk is split once."""
+    coded = t.column("key").combine_chunks().dictionary_encode()
+    split = pc.split_pattern_regex(pc.ascii_lower(coded.dictionary), BETWEEN)
+    size = split.value_lengths().to_numpy()
+    at = coded.indices.to_numpy()
+    start, n = (np.cumsum(size) - size)[at], size[at]
+    term = split.flatten().take(pa.array(np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))))
+    out = t.take(pa.array(np.repeat(np.arange(len(at)), n))).set_column(0, "key", term)
+    return out.filter(pc.not_equal(term, ""))
+
+
 def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
@@ -116,12 +179,6 @@ def shares(count: np.ndarray, total: np.ndarray, kinds: int) -> np.ndarray:
     return out + 1
 
 
-def terms_of(chunks: DataFrame) -> DataFrame:
-    """(chunk, term): the terms of each chunk, one as often as it stands there."""
-    lowered = F.translate("chunk", _UPPER, _LOWER)
-    return chunks.select("chunk", F.explode(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))).alias("term"))
-
-
 def _compared(g: pd.DataFrame) -> pd.DataFrame:
     """(lang, a, b, value) of a block: sums over its terms for each pair of its two source chunks.
     A row is a source with the places and counts of those of the block's terms that it has."""
@@ -147,32 +204,23 @@ def _compared(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": np.full(len(a), lang, object), "a": a, "b": b, "value": value})
 
 
-def vocabulary(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(counts, terms), stored: (lang, source, term, n) of terms kept, and (lang, term, n) of them.
+def vocabulary(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(lang, term, source, n), arrays of sources and counts, of the terms kept from (text, lang,
+    source) with sources as numbers.
 
-    Chunks between blanks are counted a document, a language and a source where the text is read;
-    each different chunk of the corpus is split into terms once, and joined back to its counts.
-    A term is kept for sure where one chunk alone has it in `support` documents, and out where
-    all its chunks together are in fewer; between the two the documents, which are known for
-    every such chunk, are counted as different ones. The result is exact.
+    Chunks between blanks are counted a document where the text is read, and added up there by
+    language and source. Each different chunk of the corpus goes to one task, which splits it
+    into terms once and gives its counts to them; terms are added up in their turn. The numbers
+    of the documents go along for as long as there are fewer than `support`, so that a document
+    with two chunks of one term counts once.
     """
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(F.col(text).cast("string").alias("text"), name(lang).alias("lang"), name(source).alias("source"))
-    held = stored(rows.mapInArrow(_postings(support), "chunk string, lang string, source string, n long, d long, docs array<long>"), "postings")
-    split = stored(terms_of(held.select("chunk").distinct()), "terms")
-    of_chunk = held.select("chunk", "lang", "source", "n", "d").repartition("chunk").groupBy("chunk", "lang", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    of_chunk = of_chunk.withColumn("df", F.sum("d").over(Window.partitionBy("chunk", "lang")))
-    counts = of_chunk.join(split, "chunk").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("most"), F.max("df").alias("least"))
-    counts = stored(counts, "counts")
-    of_term = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("most").alias("most"), F.max("least").alias("least")).where(F.col("most") >= support)
-    open_ = of_term.where(F.col("least") < support).select("lang", "term").join(split, "term").distinct()
-    told = held.where("docs IS NOT NULL").select("chunk", "lang", "docs").join(open_, ["chunk", "lang"]).select("lang", "term", F.explode("docs").alias("doc")).distinct()
-    more = told.groupBy("lang", "term").count().where(F.col("count") >= support).select("lang", "term", F.lit(True).alias("more"))
-    kept = of_term.join(more, ["lang", "term"], "left").where((F.col("least") >= support) | F.col("more")).select("lang", "term", "n")
-    kept = stored(kept, "kept")
-    own = stored(counts.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n"), "own")
-    release(docs.sparkSession, held, split, counts)
-    return own, kept
+
+    def by(df: DataFrame, finish) -> DataFrame:
+        return df.repartition("key").sortWithinPartitions("key", "lang").mapInArrow(_reduced(support, finish), COLUMNS)
+
+    chunks = docs.select("text", "lang", "source").mapInArrow(_postings(support), COLUMNS)
+    terms = by(by(chunks, _as_terms), lambda t: t.filter(t.column("docs").is_null()))
+    return stored(terms.select("lang", F.col("key").alias("term"), "source", "n"), "kept")
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", support: int = SUPPORT, ranks: int = RANKS) -> DataFrame:
@@ -196,10 +244,19 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     sources, in which every source stands with the few terms it has.
     """
     spark = docs.sparkSession
-    own, kept = vocabulary(docs, text, lang, source, support)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(F.col(text).cast("string").alias("text"), name(lang).alias("lang"), name(source).alias("name"))
+    names = stored(rows.select("lang", "name").distinct(), "names")
+    seed = 0
+    while names.select(F.count_distinct("name") - F.count_distinct(F.xxhash64("name", F.lit(seed)))).first()[0]:
+        seed += 1  # no two sources with one number
+    number = F.xxhash64("name", F.lit(seed)).alias("source")
+    table_ = vocabulary(rows.select("text", "lang", number), support)
+    kept = table_.select("lang", "term", F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y).alias("n"))
+    own = table_.select("lang", "term", F.explode(F.arrays_zip("source", "n")).alias("e")).select("lang", "term", F.col("e.source").alias("number"), F.col("e.n").alias("n"))
+    own = own.join(names.select("lang", F.col("name").alias("source"), number.alias("number")), ["lang", "number"]).select("lang", "source", "term", "n")
     of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
-    groups = docs.select(name(lang).alias("lang"), name(source).alias("source")).distinct()
+    groups = names.select("lang", F.col("name").alias("source"))
     groups = groups.join(own.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["total", "kinds", "all"])
     groups = stored(groups, "groups")
 
