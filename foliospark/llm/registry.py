@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontamination, divergence, embedding_dedup, html_wrappers, jaccard, language_id, packing, suffix_array, token_counts, url_rules, warc, whitening
+from foliospark.llm import decontamination, divergence, embedding_dedup, html_wrappers, jaccard, language_id, packing, suffix_array, token_counts, toxicity, url_rules, warc, whitening
 
-MODULES = [embedding_dedup, url_rules, html_wrappers, language_id, jaccard, decontamination, packing, warc, suffix_array, token_counts, whitening, divergence]
+MODULES = [embedding_dedup, url_rules, html_wrappers, language_id, jaccard, decontamination, packing, warc, suffix_array, token_counts, whitening, toxicity, divergence]
 
 
 def queries() -> dict:
