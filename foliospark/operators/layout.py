@@ -7,10 +7,12 @@ width and height. Everything is partitioned by page_id.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.grid import BOX, Neighbours, meeting
+from foliospark.operators.groupwise import chosen_rows
+
 # Class names in the order of their ids.
 LABELS = (
     "abstract algorithm aside_text chart content display_formula doc_title figure_title footer footer_image footnote formula_number header "
@@ -25,8 +27,6 @@ NON_MERGE = [*IMAGES, "chart", "seal", "table"]
 LARGE_CLASSES = (3, 5, 6, 15, 17)
 VISUAL = ("image", "table", "seal", "chart")
 
-BOX = ("x1", "y1", "x2", "y2")
-
 
 def label_dimension(spark: SparkSession) -> DataFrame:
     """The 25 classes with the flags that operators ask for (a fixed-size dimension)."""
@@ -136,10 +136,18 @@ def _side(boxes: DataFrame, prefix: str) -> DataFrame:
 
 
 def box_pairs(boxes: DataFrame) -> DataFrame:
-    """All pairs a before b of a page's boxes (a page has some tens of boxes, hundreds at most)."""
+    """All pairs a before b of a page's boxes, also of such that are apart: a result as large as the
+    square of a page. `overlapping_pairs` gives those that meet."""
     return _side(boxes, "a_").join(_side(boxes, "b_"), "page_id").where("a_box_idx < b_box_idx")
 
 
+def overlapping_pairs(boxes: DataFrame) -> DataFrame:
+    """Pairs a before b of a page's boxes with an area in common, with their corners and classes, by
+    the cells of nested grids instead of the square of a page."""
+    met = meeting(boxes, None, ("box_idx", "cls_id"))
+    return met.select("page_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("box_idx", "cls_id", *BOX)])
+
+
 def suppress_contained(boxes: DataFrame, modes: dict[int, str] | None = None, share: float = 0.9) -> DataFrame:
     """Class-wise containment: a box is contained where the intersection is `share` of its area.
 
@@ -148,7 +156,9 @@ def suppress_contained(boxes: DataFrame, modes: dict[int, str] | None = None, sh
     """
     modes = {c: "large" for c in LARGE_CLASSES} if modes is None else modes
     large, small = ([c for c, m in modes.items() if m == kind] for kind in ("large", "small"))
-    pairs = _side(boxes, "a_").join(_side(boxes, "b_"), "page_id").where("a_box_idx <> b_box_idx")
+    met = meeting(boxes, None, ("box_idx", "cls_id"))
+    both = met.select("page_id", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+    pairs = both.select("page_id", *[F.col(f"p.{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("box_idx", "cls_id", *BOX)])
     held = pairs.where((area("a_") > 0) & (inter() / area("a_") >= share))
     gone = held.where(F.col("b_cls_id").isin(large)).select("page_id", F.col("a_box_idx").alias("box_idx"))
     if small:
@@ -159,58 +169,45 @@ def suppress_contained(boxes: DataFrame, modes: dict[int, str] | None = None, sh
     return boxes.join(gone.distinct(), ["page_id", "box_idx"], "left_anti")
 
 
-def _page_by_page(boxes: DataFrame, order: list, columns: tuple[str, ...], pick, rank: str | None = None) -> DataFrame:
-    """Rows of each page that `pick` chooses, in its order; pick gets the page's columns as arrays,
-    in `order`. Pages are dealt by a hash and sorted in their partitions, and a task goes through
-    them batch by batch: a page's rows stand together, many pages share a batch."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema) + (f", {rank} int" if rank else "")
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch] if held is None else [*held, batch]).combine_chunks()
-            page = t.column("page_id").to_numpy()
-            cuts = [0, *(np.flatnonzero(page[1:] != page[:-1]) + 1).tolist()] if len(page) else [0]
-            yield from chosen(t, cuts)
-            held = t.slice(cuts[-1]).to_batches() or None
-        if held:
-            t = pa.Table.from_batches(held)
-            yield from chosen(t, [0, t.num_rows])
-
-    def chosen(t, cuts):
-        arrays = [t.column(c).to_numpy() for c in columns]
-        picked = [lo + pick(*(a[lo:hi] for a in arrays)) for lo, hi in zip(cuts, cuts[1:])]
-        if picked:
-            out = t.take(pa.array(np.concatenate(picked)))
-            if rank:
-                out = out.append_column(rank, pa.array(np.concatenate([np.arange(1, len(p) + 1, dtype=np.int32) for p in picked])))
-            yield from out.combine_chunks().to_batches()
-
-    return boxes.repartition("page_id").sortWithinPartitions("page_id", *order).mapInArrow(run, schema)
+#: A page of so few boxes is worked on as a matrix of all pairs, a fuller one box by box.
+MATRIX = 256
 
 
 def nms(boxes: DataFrame, same: float = 0.6, different: float = 0.98) -> DataFrame:
     """Greedy suppression by score within each page: a box stays if its pixel IoU with every
     better box that stayed is below the limit for equal or different classes. Ties go to the
-    later box. nms_rank counts the survivors in score order."""
+    later box. nms_rank counts the survivors in score order. On full pages each survivor looks
+    for what it suppresses among the boxes that touch it, so memory is linear in the boxes."""
 
-    def pick(cls, x1, y1, x2, y2):
+    def pick(cls, *corners):
         n = len(cls)
-        if n == 1:
-            return np.zeros(1, np.int64)
-        x1, y1, x2, y2 = (v.astype(float) for v in (x1, y1, x2, y2))
+        x1, y1, x2, y2 = (v.astype(float) for v in corners)
         size = (x2 - x1 + 1) * (y2 - y1 + 1)
-        w = np.minimum(x2[:, None], x2) - np.maximum(x1[:, None], x1) + 1
-        h = np.minimum(y2[:, None], y2) - np.maximum(y1[:, None], y1) + 1
-        both = np.maximum(w, 0) * np.maximum(h, 0)
-        beats = both / (size[:, None] + size - both) >= np.where(cls[:, None] == cls, same, different)
-        alive = np.ones(n, bool)
-        for i in range(n - 1):
-            if alive[i]:
-                alive[i + 1 :] &= ~beats[i, i + 1 :]
-        return np.flatnonzero(alive)
 
-    return _page_by_page(boxes, [F.desc("score"), F.desc("box_idx")], ("cls_id", *BOX), pick, "nms_rank")
+        def beaten(i, j):
+            w = np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j]) + 1
+            h = np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j]) + 1
+            both = np.maximum(w, 0) * np.maximum(h, 0)
+            return both / (size[i] + size[j] - both) >= np.where(cls[i] == cls[j], same, different)
+
+        alive = np.ones(n, bool)
+        if n > MATRIX:
+            near = Neighbours(x1, y1, x2 + 1, y2 + 1)
+            for i in range(n):
+                if alive[i]:
+                    j = near.after(i)
+                    j = j[alive[j]]
+                    alive[j[beaten(i, j)]] = False
+        elif n > 1:
+            every = np.arange(n)
+            beats = beaten(every[:, None], every)
+            for i in range(n - 1):
+                if alive[i]:
+                    alive[i + 1 :] &= ~beats[i, i + 1 :]
+        left = np.flatnonzero(alive)
+        return left, np.arange(1, len(left) + 1, dtype=np.int32)
+
+    return chosen_rows(boxes, "page_id", [F.desc("score"), F.desc("box_idx")], ("cls_id", *BOX), pick, {"nms_rank": "int"})
 
 
 def _clipped(shape: np.ndarray, triangle: np.ndarray) -> np.ndarray:
@@ -254,42 +251,62 @@ def polygon_overlap(a, b) -> float:
     return abs(both) / least
 
 
+#: Boxes of different labels that both stay however much they overlap, by what they show.
+_SHOWS = {"table": "table"} | {label: "picture" for label in VISUAL if label != "table"}
+_BOTH_STAY = {("picture", "picture"), ("picture", "table"), ("picture", "text")}
+
+
 def greedy_overlap_filter(boxes: DataFrame, polygon: str | None = None) -> DataFrame:
     """Overlaps resolved in order of box_idx; needs label. References and boxes with a side under
     6 pixels go. Of two live boxes an inline formula goes beyond half the smaller area; beyond
     0.7 the smaller goes (the later of equals), but different labels with a visual one among
     them both stay, unless one is a table and the other isn't visual. With a polygon column,
     corners as pairs, two boxes that both have one and whose polygons overlap by less than 0.7
-    of the smaller both stay as well."""
-
-    def pick(labels, x1, y1, x2, y2, shapes=None):
-        x1, y1, x2, y2 = (v.astype(float) for v in (x1, y1, x2, y2))
-        size = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
-        w = np.minimum(x2[:, None], x2) - np.maximum(x1[:, None], x1)
-        h = np.minimum(y2[:, None], y2) - np.maximum(y1[:, None], y1)
-        least = np.minimum(size[:, None], size)
-        ratio = np.maximum(w, 0) * np.maximum(h, 0) / np.where(least > 0, least, 1)
-        alive = np.ones(len(labels), bool)
-        for i in range(len(labels)):
+    of the smaller both stay as well. On full pages a box is compared with those that touch it."""
+
+    def pick(labels, *given):
+        x1, y1, x2, y2 = (v.astype(float) for v in given[:4])
+        shapes = given[4] if polygon else None
+        n, size = len(labels), np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+
+        def ratio(i, j):
+            w, h = np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j]), np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j])
+            least = np.minimum(size[i], size[j])
+            return np.maximum(w, 0) * np.maximum(h, 0) / np.where(least > 0, least, 1)
+
+        if n > MATRIX:
+            near = Neighbours(x1, y1, np.maximum(x1, x2), np.maximum(y1, y2))
+        else:
+            every = np.arange(n)
+            matrix = ratio(every[:, None], every)
+        alive = np.ones(n, bool)
+        for i in range(n):
             # a tiny box goes when its turn comes
             alive[i] &= bool(x2[i] - x1[i] >= 6 and y2[i] - y1[i] >= 6)
-            for j in i + 1 + np.flatnonzero(ratio[i, i + 1 :] > 0.5):
-                if not (alive[i] and alive[j]):
+            if not alive[i]:
+                continue
+            later = near.after(i) if n > MATRIX else np.arange(i + 1, n)
+            shares = ratio(i, later) if n > MATRIX else matrix[i, i + 1 :]
+            hits = (shares > 0.5) & alive[later]
+            for j, share in zip(later[hits], shares[hits]):
+                if not alive[i]:
+                    break
+                if not alive[j]:
                     continue
-                kinds = {labels[i], labels[j]}
-                if "inline_formula" in kinds:
+                if "inline_formula" in (labels[i], labels[j]):
                     alive[i] &= labels[i] != "inline_formula"
                     alive[j] &= labels[j] != "inline_formula"
-                elif ratio[i, j] > 0.7:
-                    both_stay = len(kinds) > 1 and kinds & set(VISUAL) and ("table" not in kinds or kinds <= set(VISUAL))
-                    if not both_stay and shapes is not None and shapes[i] is not None and shapes[j] is not None:
-                        both_stay = polygon_overlap(shapes[i], shapes[j]) < 0.7
-                    if not both_stay:
+                elif share > 0.7:
+                    shown = tuple(sorted(_SHOWS.get(x, "text") for x in (labels[i], labels[j])))
+                    stay = labels[i] != labels[j] and shown in _BOTH_STAY
+                    if not stay and shapes is not None and shapes[i] is not None and shapes[j] is not None:
+                        stay = polygon_overlap(shapes[i], shapes[j]) < 0.7
+                    if not stay:
                         alive[j if size[i] >= size[j] else i] = False
         return np.flatnonzero(alive)
 
     columns = ("label", *BOX, polygon) if polygon else ("label", *BOX)
-    return _page_by_page(boxes.where(F.coalesce(F.col("label") != "reference", F.lit(True))), ["box_idx"], columns, pick)
+    return chosen_rows(boxes.where(F.coalesce(F.col("label") != "reference", F.lit(True))), "page_id", ["box_idx"], columns, pick)
 
 
 def numbered(rows: DataFrame, skip: Column, order: str, name: str = "order") -> DataFrame:

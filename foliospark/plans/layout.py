@@ -35,6 +35,11 @@ def pair_overlaps(s, d):
     return p.select("page_id", "a_box_idx", "b_box_idx", *[L.overlap(m).alias(f"overlap_{m}") for m in ("union", "small", "large")])
 
 
+def meeting_overlaps(s, d):
+    p = L.overlapping_pairs(boxes(s, d))
+    return p.select("page_id", "a_box_idx", "b_box_idx", *[L.overlap(m).alias(f"overlap_{m}") for m in ("union", "small", "large")])
+
+
 def projection_overlaps(s, d):
     p = L.box_pairs(boxes(s, d))
     return p.select("page_id", "a_box_idx", "b_box_idx", *[L.projection_overlap(x, m).alias(f"{x}_{m}") for x in ("horizontal", "vertical") for m in ("union", "small", "large")])
@@ -91,6 +96,7 @@ QUERIES = {
     "p7_prompt_routing": lambda s, d: L.with_labels(boxes(s, d)).select(*KEY, "label", L.prompt_for(F.col("label")).alias("prompt"), L.prompt_for(F.col("label"), True, True).alias("prompt_all")),
     "p11_figure_assets": lambda s, d: L.figures_of(L.with_labels(boxes(s, d))).select(*KEY, "label", "path"),
     "j1_overlap_pairs": pair_overlaps,
+    "j1_overlapping_pairs": meeting_overlaps,
     "j1b_pixel_iou": lambda s, d: L.box_pairs(boxes(s, d)).select("page_id", "a_box_idx", "b_box_idx", L.pixel_iou().alias("iou")),
     "j1c_projection_overlap": projection_overlaps,
     "j2_containment_large": lambda s, d: L.suppress_contained(boxes(s, d)).select(*KEY),
@@ -131,6 +137,7 @@ SELECT * FROM c WHERE x2 > x1 AND y2 > y1"""),
     "p7_prompt_routing": oracle(f"SELECT page_id, box_idx, label, {_PROMPT(chr(10) + ' WHEN label IN (' + chr(39) + 'chart' + chr(39) + ', ' + chr(39) + 'seal' + chr(39) + ') THEN NULL')} AS prompt, {_PROMPT('')} AS prompt_all FROM (SELECT *, {_TO_LABEL} AS label FROM {{v_boxes}})"),
     "p11_figure_assets": oracle(f"WITH {_FIG.strip()} SELECT page_id, box_idx, label, path FROM f"),
     "j1_overlap_pairs": oracle(f"SELECT a.page_id, a.box_idx AS a_box_idx, b.box_idx AS b_box_idx, {', '.join(f'{_ratio(m)} AS overlap_{m}' for m in ('union', 'small', 'large'))} {_PAIRS}"),
+    "j1_overlapping_pairs": oracle(f"SELECT a.page_id, a.box_idx AS a_box_idx, b.box_idx AS b_box_idx, {', '.join(f'{_ratio(m)} AS overlap_{m}' for m in ('union', 'small', 'large'))} {_PAIRS} WHERE {_INTER} > 0"),
     "j1b_pixel_iou": oracle(f"""
 WITH p AS (SELECT a.page_id, a.box_idx AS a_box_idx, b.box_idx AS b_box_idx,
   CAST(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1, 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1, 0) AS DOUBLE) AS i,

@@ -141,3 +141,64 @@ def test_empty_tables(spark):
     for df in (L.nms(none), L.greedy_overlap_filter(none), L.suppress_contained(none), L.box_pairs(none), L.reading_order(none)):
         assert df.count() == 0
     assert L.numbered(none, F.lit(False), "box_idx").count() == 0
+
+
+def crowded(n=400, seed=5, side=900):
+    """A page of many boxes of all sizes, most small, and a few with odd corners."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        w, h = (int(2 ** rng.uniform(0, 9)) for _ in "wh")
+        x, y = rng.randrange(-50, side), rng.randrange(-50, side)
+        c = rng.choice([5, 14, 15, 21, 22])
+        out.append((90, i, c, L.LABELS[c], rng.choice([0.2, 0.5, 0.9]), x, y, x + w, y + h, i))
+    near = [(90, n + i, *out[i][2:5], out[i][5] + 1, out[i][6], out[i][7] + 1, out[i][8], i) for i in range(0, n, 5)]
+    return out + near + [(90, 2 * n, 5, "formula", 0.5, 10, 10, 10, 40, 0), (90, 2 * n + 1, 5, "formula", 0.5, 40, 40, 10, 60, 0), (80, 0, 5, "formula", 0.5, 0, 0, 9, 9, 0), (80, 1, 5, "formula", 0.5, 9, 0, 18, 9, 0), (80, 2, 5, "formula", 0.5, 0, 0, 9, 9, 0)]
+
+
+@pytest.mark.parametrize("few", [64, 2, 10_000])
+def test_meeting(spark, monkeypatch, few):
+    """Pairs of the grids against all pairs: self-join and two sets, at every limit."""
+    from foliospark.operators import grid
+
+    monkeypatch.setattr(grid, "FEW", few)
+    rows = crowded() + pages()
+    want = sorted((a[0], a[1], b[1]) for p in by_page(rows) for a in p for b in p if a[1] < b[1] and a[7] > a[5] and b[7] > b[5] and shared(a, b))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = L.overlapping_pairs(df).select("page_id", "a_box_idx", "b_box_idx").collect()
+    assert sorted(map(tuple, got)) == want
+    left, right = df.where("box_idx % 3 = 0"), df.where("box_idx % 3 > 0")
+    got = grid.meeting(left, right, ("box_idx",)).select("page_id", "a.box_idx", F.col("b.box_idx").alias("other")).collect()
+    pairs = {(p, *sorted((a, b), key=lambda k: k % 3 > 0)) for p, a, b in want if (a % 3 > 0) != (b % 3 > 0)}
+    assert len(got) == len(pairs) and set(map(tuple, got)) == pairs
+
+
+def test_contained_on_a_full_page(spark):
+    rows = crowded()
+    big = lambda a, b: area(a) > 0 and shared(a, b) / area(a) >= 0.9
+    want = sorted(a[1] for a in rows if a[0] == 90 and not any(b[0] == 90 and b[1] != a[1] and b[2] in L.LARGE_CLASSES and big(a, b) for b in rows))
+    got = L.suppress_contained(spark.createDataFrame(rows, SCHEMA)).where("page_id = 90").select("box_idx").collect()
+    assert sorted(r[0] for r in got) == want
+
+
+def test_full_pages_as_small_ones(spark, monkeypatch):
+    """Box by box as with the matrix of all pairs, for both greedy filters."""
+    df = spark.createDataFrame(crowded() + pages(), SCHEMA)
+    runs = {}
+    for limit in (0, 256, 1 << 20):
+        monkeypatch.setattr(L, "MATRIX", limit)
+        runs[limit] = [sorted(map(tuple, f(df).collect())) for f in (L.nms, L.greedy_overlap_filter)]
+    assert runs[0] == runs[256] == runs[1 << 20] and all(len(r) > 100 for r in runs[0])
+
+
+def test_page_of_20000_boxes(spark):
+    import time
+
+    rng = random.Random(1)
+    rows = [(1, i, i % 25, "text", rng.random(), x := rng.randrange(6000), y := rng.randrange(6000), x + 40, y + rng.randrange(8, 30), i) for i in range(20_000)]
+    rows.append((1, 20_000, 3, "text", 0.1, 0, 0, 6100, 6100, 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    for f in (L.overlapping_pairs, L.suppress_contained, L.nms, L.greedy_overlap_filter):
+        began = time.time()
+        assert f(df).count() > 0
+        assert time.time() - began < 60, f.__name__
