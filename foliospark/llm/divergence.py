@@ -223,6 +223,14 @@ def vocabulary(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     return stored(terms.select("lang", F.col("key").alias("term"), "source", "n"), "kept")
 
 
+#: A table of so few rows, counted before, is broadcast; a larger one is joined by a shuffle.
+LOOKUP = 100_000
+
+
+def _lookup(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(LOOKUP + 1).count() <= LOOKUP else df
+
+
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", support: int = SUPPORT, ranks: int = RANKS) -> DataFrame:
     """How the sources of each language differ from each other, and in which terms from the whole.
 
@@ -254,14 +262,17 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     table_ = vocabulary(rows.select("text", "lang", number), support)
     kept = table_.select("lang", "term", F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y).alias("n"))
     own = table_.select("lang", "term", F.explode(F.arrays_zip("source", "n")).alias("e")).select("lang", "term", F.col("e.source").alias("number"), F.col("e.n").alias("n"))
-    own = own.join(names.select("lang", F.col("name").alias("source"), number.alias("number")), ["lang", "number"]).select("lang", "source", "term", "n")
-    of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
-    groups = names.select("lang", F.col("name").alias("source"))
-    groups = groups.join(own.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["total", "kinds", "all"])
+    own = own.join(_lookup(names).select("lang", F.col("name").alias("source"), number.alias("number")), ["lang", "number"]).select("lang", "source", "term", "n")
+    sums = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
+    of_lang = names.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).join(sums, "lang", "left").fillna(0, ["kinds", "all"])
+    of_lang = stored(of_lang, "languages")
+    each_lang = _lookup(of_lang)
+    totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    groups = names.select("lang", F.col("name").alias("source")).join(totals, ["lang", "source"], "left").join(each_lang, "lang").fillna(0, ["total"])
     groups = stored(groups, "groups")
 
     p, q = share(F.col("n"), F.col("total"), F.col("kinds")), share(F.col("of_all"), F.col("all"), F.col("kinds"))
-    above = own.join(kept.withColumnRenamed("n", "of_all"), ["lang", "term"]).join(groups, ["lang", "source"]).withColumn("p", p).withColumn("q", q).where("p > q")
+    above = own.join(kept.withColumnRenamed("n", "of_all"), ["lang", "term"]).join(_lookup(groups), ["lang", "source"]).withColumn("p", p).withColumn("q", q).where("p > q")
     above = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _div((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("p") + F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     above = above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks)
@@ -269,15 +280,15 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     blocks = F.greatest(F.ceil(F.col("kinds") / TERMS), F.lit(1))
     block = F.pmod(F.xxhash64("term"), blocks).cast("int").alias("block")
     place = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1
-    places = kept.join(of_lang, "lang").select("lang", "term", block).withColumn("at", place)
+    places = kept.join(each_lang, "lang").select("lang", "term", block).withColumn("at", place)
     places = stored(places, "places")
     sparse = own.join(places, ["lang", "term"]).groupBy("lang", "source", "block").agg(F.collect_list(F.struct("at", "n")).alias("e"))
     sparse = sparse.select("lang", "source", "block", F.col("e.at").alias("at"), F.col("e.n").alias("n"))
     widths = places.groupBy("lang", "block").agg(F.count(F.lit(1)).alias("width"))
-    every = groups.select("lang", "source", "total", "kinds", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("block"))
+    chunks = F.ceil(F.col("sources") / SOURCES).cast("int").alias("chunks")
+    every = groups.select("lang", "source", "total", "kinds", chunks, F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("block"))
     every = every.join(sparse, ["lang", "source", "block"], "left").join(widths, ["lang", "block"], "left").fillna(0, ["width"])
-    chunks = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / SOURCES).cast("int").alias("chunks"))
-    dealt = every.join(chunks, "lang").withColumn("chunk", F.pmod(F.xxhash64("source"), F.col("chunks")).cast("int"))
+    dealt = every.withColumn("chunk", F.pmod(F.xxhash64("source"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("x", F.least("chunk", "o")).withColumn("y", F.greatest("chunk", "o"))
     part = dealt.groupBy("lang", "block", "x", "y").applyInPandas(_compared, "lang string, a string, b string, value long")
     half = stored(part.groupBy("lang", "a", "b").agg(F.sum("value").alias("value")), "pairs")
