@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -179,29 +178,28 @@ def shares(count: np.ndarray, total: np.ndarray, kinds: int) -> np.ndarray:
     return out + 1
 
 
-def _compared(g: pd.DataFrame) -> pd.DataFrame:
+def _compared(t: pa.Table) -> pa.Table:
     """(lang, a, b, value) of a block: sums over its terms for each pair of its two source chunks.
     A row is a source with the places and counts of those of the block's terms that it has."""
-    lang, within = g["lang"].iloc[0], g["x"].iloc[0] == g["y"].iloc[0]
-    g = g.sort_values("source")
-    width, kinds = int(g["width"].iloc[0]), int(g["kinds"].iloc[0])
-    count = np.zeros((len(g), width), np.int64)
-    for i, (at, n) in enumerate(zip(g["at"], g["n"])):
-        if at is not None:
-            count[i, np.asarray(at, np.int64)] = n
-    p = shares(count, g["total"].to_numpy(np.int64)[:, None], kinds) if kinds else count
-    name, chunk = g["source"].to_numpy(), g["chunk"].to_numpy()
+    t = t.sort_by("source").combine_chunks()
+    names = t.column("source").to_pylist()
+    chunk, total = (t.column(c).to_numpy() for c in ("chunk", "total"))
+    x, y, width, kinds = (t.column(c)[0].as_py() for c in ("x", "y", "width", "kinds"))
+    count = np.zeros((len(names), width), np.int64)
+    for i, (at, n) in enumerate(zip(t.column("at").to_pylist(), t.column("n").to_pylist())):
+        if at:
+            count[i, at] = n
+    p = shares(count, total[:, None], kinds) if kinds else count
     a, b, value = [], [], []
-    for i in range(len(g) - 1):
-        q = p[i + 1 :] if within else p[i + 1 :][chunk[i + 1 :] != chunk[i]]
-        other = name[i + 1 :] if within else name[i + 1 :][chunk[i + 1 :] != chunk[i]]
-        value.append(((q - p[i]) ** 2 // np.maximum(q + p[i], 1)).sum(1))
-        a.append(np.full(len(other), name[i], object))
+    for i in range(len(names) - 1):
+        other = np.arange(i + 1, len(names))
+        other = other if x == y else other[chunk[other] != chunk[i]]
+        value.append(((p[other] - p[i]) ** 2 // np.maximum(p[other] + p[i], 1)).sum(1))
+        a.append(np.full(len(other), i))
         b.append(other)
-    if not a:
-        return pd.DataFrame({"lang": [], "a": [], "b": [], "value": []})
-    a, b, value = np.concatenate(a), np.concatenate(b), np.concatenate(value)
-    return pd.DataFrame({"lang": np.full(len(a), lang, object), "a": a, "b": b, "value": value})
+    named = lambda at: pa.array(names, pa.string()).take(pa.array(np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)))
+    value = pa.array(np.concatenate([*value, np.zeros(0, np.int64)]).astype(np.int64))
+    return pa.table([pa.array([t.column("lang")[0].as_py()] * len(value), pa.string()), named(a), named(b), value], names=["lang", "a", "b", "value"])
 
 
 def vocabulary(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -290,7 +288,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     every = every.join(sparse, ["lang", "source", "block"], "left").join(widths, ["lang", "block"], "left").fillna(0, ["width"])
     dealt = every.withColumn("chunk", F.pmod(F.xxhash64("source"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("x", F.least("chunk", "o")).withColumn("y", F.greatest("chunk", "o"))
-    part = dealt.groupBy("lang", "block", "x", "y").applyInPandas(_compared, "lang string, a string, b string, value long")
+    part = dealt.groupBy("lang", "block", "x", "y").applyInArrow(_compared, "lang string, a string, b string, value long")
     half = stored(part.groupBy("lang", "a", "b").agg(F.sum("value").alias("value")), "pairs")
     both = half.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").union(half.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))
     both = both.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))

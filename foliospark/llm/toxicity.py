@@ -71,7 +71,10 @@ def _tokens(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     split = pc.utf8_split_whitespace(text.cast(pa.string()).fill_null(""))
     flat = split.flatten().dictionary_encode()
     at = split.offsets.to_numpy().astype(np.int64)
-    return flat.dictionary, flat.indices.to_numpy().astype(np.int64), at - at[0]
+    code, empty = flat.indices.to_numpy().astype(np.int64), pc.index(flat.dictionary, "").as_py()
+    full = code != empty
+    before = np.concatenate([[0], np.cumsum(full)])
+    return flat.dictionary, code[full], before[at - at[0]]
 
 
 def _disguised(word: str, lexicon: frozenset, by_size: dict) -> bool:
@@ -124,7 +127,7 @@ class Lexicon:
         mixed, drawn = mixed & ~hidden & ~hit, drawn & ~hidden
         signs = np.where(hidden, 0, number(pc.utf8_length(others)))
         return {
-            "hit": hit, "hidden": hidden, "second": among(self.second), "capital": same & (letters > 1), "chars": chars, "punct": signs,
+            "hit": hit, "hidden": hidden, "second": among(self.second) & ~hidden, "capital": same & (letters > 1), "chars": chars, "punct": signs,
             "loud": number(pc.count_substring_regex(words, "[!?]")), "mixed": mixed & (letters > 0), "drawn": drawn, "single": (chars == 1) & (letters == 1),
         }
 

@@ -12,7 +12,7 @@ from foliospark.llm import registry  # noqa: E402
 
 def test_one_query_for_each_operator():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in names
 
 
