@@ -16,7 +16,7 @@ SUPPORT, RANKS = 10, 10
 #: What is no letter: terms are runs of ASCII letters and of all beyond ASCII.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Text that a task counts at once, unless one text is longer.
-UNIT = 16_000_000
+UNIT = 32_000_000
 #: Terms and sources of a block of the comparison, about.
 TERMS, SOURCES = 2048, 256
 _BLANKS = bytes(0x20 if c < 0x20 else c for c in range(256))
@@ -51,12 +51,19 @@ def counted(text: pa.Array, lang: pa.Array, source: pa.Array, first: int, suppor
     langs, of_lang = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     sources, of_source = np.unique(source.to_numpy(), return_inverse=True)
     docs = len(text)
-    code, doc = flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(docs), size)
-    full = code != pc.index(flat.dictionary, "").as_py()
-    key = (((code * len(langs) + of_lang[doc]) * len(sources)) + of_source[doc]) * docs + doc
-    key = np.sort(key[full])
+    chunks, code = flat.dictionary, flat.indices.to_numpy()
+    full = code != pc.index(chunks, "").as_py()
+    del body, plain, split, flat  # the words of a unit are its largest part
+    doc = np.repeat(np.arange(docs, dtype=np.int32), size)[full]
+    key = code[full].astype(np.int64)
+    del code, full
     if not len(key):
         return None
+    for of, n in ((of_lang, len(langs)), (of_source, len(sources)), (np.arange(docs), docs)):
+        key *= n
+        key += of[doc]
+    del doc
+    key.sort()
     head = _heads(key)  # a chunk in a document
     n, key = np.diff(np.concatenate([head, [len(key)]])), key[head]
     doc, key = key % docs, key // docs
@@ -67,7 +74,7 @@ def counted(text: pa.Array, lang: pa.Array, source: pa.Array, first: int, suppor
     many = d >= support
     key = key[row]
     cols = [
-        flat.dictionary.take(pa.array(key // len(langs))),
+        chunks.take(pa.array(key // len(langs))),
         langs.take(pa.array(key % len(langs))),
         _lists(sources[own], width),
         _lists(np.add.reduceat(n, by_source), width),
@@ -82,9 +89,10 @@ def _postings(support: int):
         for batch in batches:
             size = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(size)
+            unit = -(-int(size.sum()) // max(1, -(-int(size.sum()) // UNIT)))  # equal parts of at most UNIT
             lo = 0
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + UNIT, "right")))
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + unit, "right")))
                 got = counted(*batch.slice(lo, hi - lo).columns, first, support)
                 if got is not None:
                     for k in range(0, got.num_rows, 20_000):
