@@ -292,7 +292,7 @@ def repeated_words(docs: DataFrame, words: int, size: int) -> DataFrame:
     wholly = stored(cand.join(ctx.where("reps > 1").select("k", "c"), ["k", "c"], "left_semi").select("key", F.struct("s", F.col("bytes").alias("n")).alias("span")), "spans")
     contested = stored(ctx.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "contested")
     asked = ctx.join(contested, "k", "left_semi").groupBy(F.col("r.key").alias("key")).agg(F.collect_list(F.struct("r.s", "r.n")).alias("asked"))
-    texts = docs.select("key", "text").mapInArrow(compressed, "key long, text binary").join(asked.hint("merge"), "key")
+    texts = docs.select("key", "text").mapInArrow(compressed, "key long, text binary").join(asked.hint("merge"), "key").dropDuplicates(["key"])
     found = stored(texts.mapInArrow(windows, "h binary, key long, s int, n int"), "windows")
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
     spans = stored(wholly.union(found.join(twice, "h", "left_semi").select("key", F.struct("s", "n").alias("span"))), "spans")
@@ -327,7 +327,8 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, words: int = 0) -> Da
     wholly = stored(cand.join(ctx.where("reps > 1").select("k", "c"), ["k", "c"], "left_semi").select("key", F.struct("s", (F.col("n") + size - 1).alias("n")).alias("span")), "spans")
     # joins of texts are merges: two maps in Python, one of them behind a broadcast join, would run in
     # one task, each in a worker of its own
-    texts = docs.select("key", "text").mapInArrow(compressed, "key long, text binary").join(asked.hint("merge"), "key")
+    # of rows repeated in full, whose contexts all occur again, one is asked
+    texts = docs.select("key", "text").mapInArrow(compressed, "key long, text binary").join(asked.hint("merge"), "key").dropDuplicates(["key"])
     suffixes = texts.mapInArrow(_emit_suffixes(size, block), "t1 long, t2s long, key long")
     total = asked.agg(F.sum(F.aggregate("asked", F.lit(0).cast("long"), lambda n, r: n + r["n"]))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
@@ -339,7 +340,7 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, words: int = 0) -> Da
     found = told.where("NOT edge").select("key", "s").union(across.select("key", "s")).select("key", F.struct("s", F.lit(size).alias("n")).alias("span"))
     if words:
         found = found.union(repeated_words(docs, words, size))
-    spans = stored(alone.union(wholly).union(found).groupBy("key").agg(F.collect_list("span").alias("spans")), "spans")
+    spans = stored(alone.union(wholly).union(found).groupBy("key").agg(F.collect_set("span").alias("spans")), "spans")
     release(spark, alone, wholly, told)
     return spans
 
@@ -364,7 +365,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, k
     Every row is a document of its own: rows repeated in full are copies of each other, and
     texts of `size` bytes or more that occur twice are removed wholly. Null and shorter texts
     have no such string and stay whole. Rows are told apart by a 64-bit hash of all kept
-    columns and the text; rows with equal hashes are equal and so are their results.
+    columns and the text; rows with equal hashes are equal and so are their results. The ranges
+    of such rows are gathered as a set, where they are found first, so any number of them has
+    the ranges of one.
     """
     key = F.xxhash64(*[F.col(c) for c in keep], F.col(text)).alias("__key")
     mine = docs.select(*[F.col(c) for c in keep], key, F.col(text).alias("__text"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from conftest import prose
+from pyspark.sql import functions as F
 
 from foliospark.llm import common, decontamination, jaccard, language_id, packing, suffix_array, token_counts
 
@@ -394,6 +397,30 @@ def test_repeats_odd_tables(spark, no_docs):
     assert got == [("1", 0), ("1", 0), ("2", 402), ("None", 400), ("None", 400)]
 
 
+@pytest.mark.parametrize("copies,words", [(50, 0), (50, 12)])
+def test_rows_repeated_in_full(spark, copies, words):
+    """Any number of equal rows beside rows that share parts with them, against counting."""
+    rng = random.Random(6)
+    body = lambda n: "".join(rng.choices("abcdefgh    ", k=n))
+    one, two = body(1500), body(900)
+    texts = [one] * copies + [two] * 2 + [one[200:700] + body(300) + two[:450], body(700), one[:399], "short"] + ["same " * 3] * 5
+    df = spark.createDataFrame([(7 if t in (one, two) else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.remove_repeats(df, size=400, keep=("doc_id",), words=words).collect())
+    if not words:
+        assert got == sorted(removed(texts, 400))
+    else:
+        assert len(got) == len(texts) and sum(r[:2] == (1500, 1500) for r in got) == copies
+
+
+def test_thousands_of_equal_rows(spark):
+    text = prose(random.Random(1), 1100)
+    assert len(text) > 5000
+    df = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    began = time.time()
+    (got,) = suffix_array.remove_repeats(df, keep=("doc_id",)).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert tuple(got) == (len(text), len(text), 1, 5000) and time.time() - began < 120
+
+
 @pytest.mark.parametrize("stretch", [40, 4000])
 def test_repeated_words(spark, monkeypatch, stretch):
     """Windows of short words in all their places, against counting them, in many contexts."""
