@@ -169,23 +169,34 @@ class Reader:
 
 
 def fold(shape: list) -> list:
-    """Repeats of up to eight nodes as one repeated group, innermost first."""
-    letter: dict[str, str] = {}
-    nodes: dict[str, object] = {}
-
-    def code(node) -> str:
-        key = json.dumps(node)
-        if key not in letter:
-            letter[key] = chr(0xE000 + len(letter)) if len(letter) < 0x1900 else chr(0xF0000 + len(letter))
-            nodes[letter[key]] = node
-        return letter[key]
-
-    text = "".join(map(code, shape))
+    """Repeats of up to eight nodes as one repeated group, innermost first. Nodes are numbered, so
+    any number of different ones is; each width is one pass over the shape."""
+    number: dict[str, int] = {}
+    nodes: list = []
+
+    def code(node) -> int:
+        key = node if isinstance(node, str) else json.dumps(node)
+        if key not in number:
+            number[key] = len(nodes)
+            nodes.append(node)
+        return number[key]
+
+    now = [code(n) for n in shape]
     for width in range(1, 9):
-        text = re.sub(rf"(.{{{width}}})\1+", lambda m: code(["+", [nodes[c] for c in m[1]]]), text)
-        # a group and one more of what it repeats
-        text = re.sub(r"(.)\1+", r"\1", text)
-    return [nodes[c] for c in text]
+        same = [0] * (len(now) + 1)  # how far each place goes on as it does `width` later
+        for i in range(len(now) - width - 1, -1, -1):
+            same[i] = same[i + 1] + 1 if now[i] == now[i + width] else 0
+        out: list[int] = []
+        i = 0
+        while i < len(now):
+            times = same[i] // width
+            got = code(["+", [nodes[c] for c in now[i : i + width]]]) if times else now[i]
+            # a group and one more of what it repeats are one
+            if not out or out[-1] != got:
+                out.append(got)
+            i += width * (times + 1) if times else 1
+        now = out
+    return [nodes[c] for c in now]
 
 
 def _label(node) -> str:
@@ -442,11 +453,13 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 def text_of(r: Reader, places: list[int], template: dict[int, set[int]], links: set[int]) -> str:
     """What stands at the wrapper's text slots and is no template, two line breaks between blocks.
     Slots labelled boilerplate are no article; slots in article or main are, and on pages where
-    these show nothing all others that don't hold mostly links."""
+    these show nothing all others that don't hold mostly links. What stands in article or main is
+    template by its own slot only."""
     main, rest = [], []
     anywhere = template.get(ANY, set())
     for place, (around, text, _) in zip(places, r.blocks):
-        if around.boilerplate or (fixed := template.get(place, set()) | anywhere) and _digest(text) in fixed:
+        fixed = template.get(place, set())
+        if around.boilerplate or fixed and _digest(text) in fixed or anywhere and not around.main and _digest(text) in anywhere:
             continue
         if around.main:
             main.append(text)

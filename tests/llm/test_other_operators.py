@@ -4,6 +4,7 @@ import io
 import itertools
 import json
 import random
+import re
 import time
 
 import numpy as np
@@ -178,14 +179,15 @@ def test_passages_of_short_words(spark, tmp_path):
 
 
 def test_template_strings_of_an_article(spark):
-    """Strings that different pages share at a slot go, in an article too; copies are no proof."""
+    """Strings that different pages share at a slot go, in an article too; copies are no proof, and
+    what moves between slots of an article (the last line, for page 4's list) stays."""
     page = "<html><body><article><h1>%s</h1><p>Read this on our site</p><p>%s</p>%s<p>Thanks for reading</p></article></body></html>"
     rows = [(i, f"http://a.net/{i}", page % (f"Head {i}", f"Body of page {i} " * 3, "<ul><li>x</li></ul>" if i == 4 else "")) for i in range(6)]
     rows += [(10 + i, f"http://b.net/{i}", page % ("Head", "One body ", "")) for i in range(6)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = {r.page_id: r.text for r in html_wrappers.extract(df, stored(html_wrappers.infer_wrappers(df))).collect()}
     for i in range(6):
-        assert got[i] == "\n\n".join([f"Head {i}", " ".join([f"Body of page {i}"] * 3), *["x"] * (i == 4)])
+        assert got[i] == "\n\n".join([f"Head {i}", " ".join([f"Body of page {i}"] * 3), *["x"] * (i == 4), "Thanks for reading"])
         assert got[10 + i] == "Head\n\nRead this on our site\n\nOne body\n\nThanks for reading"
 
 
@@ -202,6 +204,43 @@ def test_long_and_deep_pages(spark):
     assert got[2][1].count("\n\n") == 19_999 and time.time() - began < 60
 
 
+def test_more_tokens_than_characters(spark):
+    """A page of very many different tokens."""
+    page = "<body><article>" + "".join(f"<div class={'abcdefghij'[i % 10]}{''.join('klmnopqrst'[int(d)] for d in str(i))}>x</div>" for i in range(140_000)) + "</article></body>"
+    df = spark.createDataFrame([(1, "http://a/1", page)], "page_id long, url string, html string")
+    began = time.time()
+    (got,) = html_wrappers.extract(df, stored(html_wrappers.infer_wrappers(df))).collect()
+    assert got.text.count("x") == 140_000 and time.time() - began < 90
+
+
+def test_heading_of_an_article_stays(spark):
+    """Two of a host's three pages share their article's heading, which the third has in an advert."""
+    page = lambda head, ad, body: f"<body><nav>menu</nav><article><h1>{head}</h1><p>{body}</p></article><div class=promo><p>{ad}</p></div><div><p>tail</p></div></body>"
+    rows = [(1, page("Same head", "Buy", "first")), (2, page("Same head", "Buy this", "second")), (3, page("Own head", "Same head", "third"))]
+    df = spark.createDataFrame([(i, "http://a/" + str(i), p) for i, p in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrappers.extract(df, stored(html_wrappers.infer_wrappers(df))).collect()}
+    assert got == {1: "Same head\n\nfirst", 2: "Same head\n\nsecond", 3: "Own head\n\nthird"}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fold_against_patterns(seed):
+    """Folding by numbers as by regular expressions over characters."""
+    rng = random.Random(seed)
+    shape = [rng.choice("abc") for _ in range(rng.randrange(200))] + list("abcabcabab") * 3
+    names, nodes = {}, {}
+
+    def char(node):
+        c = names.setdefault(json.dumps(node), chr(0x4E00 + len(names)))
+        nodes[c] = node
+        return c
+
+    text = "".join(map(char, shape))
+    for width in range(1, 9):
+        text = re.sub(rf"(.{{{width}}})\1+", lambda m: char(["+", [nodes[c] for c in m[1]]]), text)
+        text = re.sub(r"(.)\1+", r"\1", text)
+    assert html_wrappers.fold(shape) == [nodes[c] for c in text]
+
+
 def expansions(wrapper, most=2):
     """All shapes of a small wrapper with at most `most` repeats, each as [(token, its leaf)]."""
     out = [[]]
