@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions.edit import edit_distance
 from foliospark.functions.json_values import relation
 from foliospark.functions.text import for_comparison
 
@@ -175,11 +176,10 @@ def edit_scores(pairs: DataFrame, gt: str = "gt", pred: str = "pred", page: str
     length, the whole sum over the whole length, and the mean over samples. A missing prediction
     is an empty one."""
     p = F.coalesce(F.col(pred), F.lit(""))
-    # equal pairs of a page are compared once; the banded distance goes first, as most are near
+    # equal pairs of a page are compared once
     rows = pairs.groupBy(page, F.col(gt).alias("g"), p.alias("p")).agg(F.count(F.lit(1)).alias("k"))
     g, p = F.col("g"), F.col("p")
-    near = [F.nullif(F.levenshtein(g, p, most), F.lit(-1)) for most in (8, 64)]
-    d = F.when(g == p, 0).when(p == "", F.length(g)).when(g == "", F.length(p)).otherwise(F.coalesce(*near, F.levenshtein(g, p)))
+    d = edit_distance(g, p)
     rows = rows.select(page, "k", d.alias("d"), F.greatest(F.length(g), F.length(p), F.lit(1)).alias("n"))
     k = F.col("k")
     pages = rows.groupBy(page).agg(F.sum(k * F.col("d")).alias("d"), F.sum(k * F.col("n")).alias("n"), F.sum(k * F.col("d") / F.col("n")).alias("s"), F.sum("k").alias("k"))
