@@ -5,10 +5,12 @@ Tokens: fcel full, ecel empty, lcel spans left, ucel spans up, xcel both, nl row
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import escape, strip
+from foliospark.operators.groupwise import chosen_rows
 
 _TAG = "<(?:fcel|ecel|lcel|ucel|xcel)>"
 _CELL = rf"(?s)({_TAG}.*?)(?={_TAG}|$)"
@@ -20,19 +22,30 @@ def _lines(text: Column) -> Column:
     return F.filter(cut, lambda cells: F.size(cells) > 0)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body, or a loop in it, names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squared(tables: DataFrame, text: str = "text", key: str = "table_id") -> DataFrame:
     """(key, rows): rows of raw cells at one width, of the widths from the last full cell to the
     longest row the smallest with the least sum of differences; longer rows are cut, shorter
     ones filled with empty cells. Text without a row end is one row; without a cell, none."""
-    cut = tables.select(key, F.col(text).contains("<nl>").alias("ends"), _lines(F.col(text)).alias("rows")).where(F.size("rows") > 0)
     # place of the last full cell, counted from 1; 0 where there is none
     full = lambda cells: F.array_max(F.transform(cells, lambda x, i: F.when(x.startswith("<fcel>"), i + 1).otherwise(0)))
-    sized = cut.withColumns({"sizes": F.transform("rows", F.size), "low": F.array_max(F.transform("rows", full))})
-    cost = lambda w: F.aggregate("sizes", F.lit(0), lambda n, size: n + F.abs(size - w))
-    widths = F.sequence("low", F.greatest("low", F.array_max("sizes")))
-    wide = sized.withColumn("width", F.array_min(F.transform(widths, lambda w: F.struct(cost(w).alias("cost"), w.alias("w"))))["w"])
-    even = F.transform("rows", lambda cells: F.slice(F.concat(cells, F.array_repeat(F.lit("<ecel>"), F.col("width"))), F.lit(1), F.col("width")))
-    return wide.select(key, F.when(F.col("ends"), even).otherwise(F.col("rows")).alias("rows"))
+    cost = lambda sizes, w: F.aggregate(sizes, F.lit(0), lambda n, size: n + F.abs(size - w))
+
+    def width(sizes: Column, low: Column) -> Column:
+        widths = F.sequence(low, F.greatest(low, F.array_max(sizes)))
+        return F.array_min(F.transform(widths, lambda w: F.struct(cost(sizes, w).alias("cost"), w.alias("w"))))["w"]
+
+    def even(rows: Column) -> Column:
+        sizes, low = F.transform(rows, F.size), F.array_max(F.transform(rows, full))
+        wide = _let(sizes, lambda s: _let(low, lambda n: width(s, n)))
+        return _let(wide, lambda w: F.transform(rows, lambda cells: F.slice(F.concat(cells, F.array_repeat(F.lit("<ecel>"), w)), F.lit(1), w)))
+
+    squares = _let(_lines(F.col(text)), lambda rows: F.when(F.col(text).contains("<nl>") & (F.size(rows) > 0), even(rows)).otherwise(rows))
+    return tables.select(key, squares.alias("rows")).where(F.size("rows") > 0)
 
 
 def cells(tables: DataFrame, text: str = "text", key: str = "table_id") -> DataFrame:
@@ -60,17 +73,24 @@ def spanned(cell_rows: DataFrame, key: str = "table_id") -> DataFrame:
 def html_tables(cell_rows: DataFrame, key: str = "table_id") -> DataFrame:
     """(key, html): each place of the grid belongs to the last cell that covers it; a cell is
     written where it begins, places that no cell covers as empty ones. Cells are dealt by table
-    once, as a table's text comes from one task anyway; windows and groups then stay there."""
-    rows = _with_spans(cell_rows.repartition(key), key)
-    owner = F.struct("r", "c", "col_span", "row_span", "text")
-    along = lambda a, n: F.sequence(F.col(a), F.col(a) + F.col(n) - 1)
-    covers = F.flatten(F.transform(along("r", "row_span"), lambda r: F.transform(along("c", "col_span"), lambda c: F.struct(r.alias("r"), c.alias("c"), owner.alias("o"), F.lit(False).alias("own")))))
-    own = F.array(F.struct("r", "c", F.when(F.lit(False), owner).alias("o"), F.lit(True).alias("own")))
-    places = rows.select(key, F.explode(F.when(F.col("tag").isin("fcel", "ecel"), F.concat(own, covers)).otherwise(own)).alias("at")).select(key, "at.*")
-    grid = places.groupBy(key, "r", "c").agg(F.max("o").alias("o"), F.max("own").alias("own")).where("own")
-    span = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
-    td = F.concat(F.lit("<td"), span("rowspan", F.coalesce("o.row_span", F.lit(1))), span("colspan", F.coalesce("o.col_span", F.lit(1))), F.lit(">"), escape(F.coalesce("o.text", F.lit(""))), F.lit("</td>"))
-    shown = F.when(F.col("o").isNull() | ((F.col("o.r") == F.col("r")) & (F.col("o.c") == F.col("c"))), F.struct("c", td.alias("td")))
-    tr = grid.groupBy(key, "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["td"]), "").alias("tr"))
+    once. Who owns a place is painted on a grid of cell numbers, a table at a time, four bytes
+    a place; a cell's text stays with its one row."""
+
+    def painted(r, c, tag, rows, columns):
+        owner = np.full((int(r.max()) + 1, int(c.max()) + 1), -1, np.int32)
+        full = np.isin(tag, ("fcel", "ecel"))
+        for k in np.flatnonzero(full).tolist():
+            owner[r[k] : r[k] + rows[k], c[k] : c[k] + columns[k]] = k
+        own = owner[r, c]
+        shown = np.flatnonzero((own < 0) | (own == np.arange(len(r))))
+        return shown, own[shown] >= 0
+
+    rows = _with_spans(cell_rows.repartition(key), key).select(key, "r", "c", "tag", "text", F.col("row_span").cast("int").alias("row_span"), F.col("col_span").cast("int").alias("col_span"))
+    shown = chosen_rows(rows, key, ["r", "c"], ("r", "c", "tag", "row_span", "col_span"), painted, {"own": "boolean"})
+    span = lambda name, n: F.when(F.col("own") & (F.col(n) > 1), F.concat(F.lit(f' {name}="'), F.col(n).cast("string"), F.lit('"'))).otherwise("")
+    td = F.concat(F.lit("<td"), span("rowspan", "row_span"), span("colspan", "col_span"), F.lit(">"), escape(F.when(F.col("own"), F.col("text")).otherwise("")), F.lit("</td>"))
+    # rows of the table that begin no cell stay as empty ones
+    lines = shown.select(key, "r", "c", td.alias("td")).union(cell_rows.select(key, "r", F.lit(-1), F.lit("")).distinct())
+    tr = lines.groupBy(key, "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "td"))), lambda x: x["td"]), "").alias("tr"))
     body = F.transform(F.array_sort(F.collect_list(F.struct("r", "tr"))), lambda x: F.concat(F.lit("<tr>"), x["tr"], F.lit("</tr>")))
     return tr.groupBy(key).agg(F.concat(F.lit("<table>"), F.array_join(body, ""), F.lit("</table>")).alias("html"))
