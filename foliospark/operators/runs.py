@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,26 +118,68 @@ def majority(answers: DataFrame, key: str, answer: str, repeat: str) -> DataFram
     return votes.groupBy(key).agg(F.max_by(F.struct(answer, "votes"), F.struct("votes", -F.col("first"))).alias("best")).select(key, "best.*")
 
 
-def ordered_digest(rows: DataFrame, name: str, digest: str, *by: str, separator: str = "\t", buckets: int = 4096) -> DataFrame:
-    """One SHA-256 over all rows (of each group) that doesn't depend on their order: lines
-    `name<separator>digest` are hashed in name order within buckets of the name's own hash
-    first, and the buckets' digests in order after that, so no task gathers more than a bucket
-    however many rows a group has."""
-    line = F.concat(F.col(name), F.lit(separator), F.col(digest))
-    part = F.conv(F.substring(F.sha2(name, 256), 1, 4), 16, 10).cast("int") % buckets
-    parts = rows.groupBy(*by, part.alias("part")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("d"))
-    return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
-
-
-def listed_digest(rows: DataFrame, name: str, digest: str, *by: str, separator: str = "\t", most: int = 1_000_000) -> DataFrame:
-    """SHA-256 of `name<separator>digest` lines in name order, for each group of up to `most` rows;
-    a larger one, which `ordered_digest` is for, is an error. One task holds a group's lines."""
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.where(F.col("n") > most).limit(1).count():
-        raise ValueError(f"a group has more than {most} rows")
-    line = F.struct(F.col(name).alias("n"), F.concat(F.col(name), F.lit(separator), F.col(digest)).alias("l"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n")
-    return rows.groupBy(*by).agg(F.sha2(joined, 256).alias("digest"))
+#: Lines of a group that are hashed as one row.
+PIECE = 1 << 20
+
+
+def listed_digest(rows: DataFrame, name: str, digest: str, *by: str, separator: str = "\t") -> DataFrame:
+    """SHA-256 of the lines `name<separator>digest` in order of name, joined by line feeds, of all
+    rows or of each group: the digest of the sorted listing, whatever the size of a group.
+
+    Rows are range-partitioned and sorted by group and name, and those that stand together are
+    joined into pieces of about PIECE bytes; a hash goes through a group's pieces in order, in
+    the memory of a batch of them. So all but the hash itself, which is one sequence by
+    definition, is spread over tasks. Rows without a name or digest have no line; a group of
+    such rows, and no rows at all where there are no groups, have the digest of an empty text.
+    """
+    kinds = "".join(f"`{rows.schema[c].name}` {rows.schema[c].dataType.simpleString()}, " for c in by)
+    n = len(by)
+    lines = rows.select(*by, F.col(name).cast("string").alias("__n"), F.concat(F.col(name).cast("string"), F.lit(separator), F.col(digest).cast("string")).alias("__l"))
+    if not by:  # a row without a line, so that there is one to hash
+        lines = lines.union(rows.sparkSession.range(1).select(F.lit(None).cast("string"), F.lit(None).cast("string")))
+    lines = lines.repartitionByRange(*by, "__n").sortWithinPartitions(*by, "__n", "__l")
+
+    def pieces(batches):
+        part, place, group, held, size, any_ = TaskContext.get().partitionId(), 0, None, [], 0, False
+
+        def piece():
+            arrays = [pa.array([v], t) for v, t in zip(group or (), types)]
+            body = "\n".join(held).encode("utf-8", "surrogatepass") if held else None
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([part], pa.int32()), pa.array([place], pa.int64()), pa.array([body], pa.binary())], names=[*by, "part", "place", "body"])
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(n)]
+            groups = list(zip(*(batch.column(i).to_pylist() for i in range(n)))) if n else [()] * batch.num_rows
+            for own, line in zip(groups, batch.column(n + 1).to_pylist()):
+                if any_ and (own != group or size >= PIECE):
+                    yield piece()
+                    place, held, size = place + 1, [], 0
+                group, any_ = own, True
+                if line is not None:
+                    held.append(line)
+                    size += len(line)
+        if any_:
+            yield piece()
+
+    def hashed(batches):
+        group, state, begun = None, None, False
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(n)]
+            groups = list(zip(*(batch.column(i).to_pylist() for i in range(n)))) if n else [()] * batch.num_rows
+            for own, body in zip(groups, batch.column(n + 2).to_pylist()):
+                if state is None or own != group:
+                    if state is not None:
+                        yield pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(group, types)], pa.array([state.hexdigest()])], names=[*by, "digest"])
+                    group, state, begun = own, hashlib.sha256(), False
+                if body is not None:
+                    state.update((b"\n" if begun else b"") + body)
+                    begun = True
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(group, types)], pa.array([state.hexdigest()])], names=[*by, "digest"])
+
+    joined = lines.mapInArrow(pieces, f"{kinds}part int, place long, body binary")
+    joined = joined.repartition(*by) if by else joined.repartition(1)
+    return joined.sortWithinPartitions(*by, "part", "place").mapInArrow(hashed, f"{kinds}digest string")
 
 
 def scored_tally(scores: DataFrame, score: str, *by: str) -> DataFrame:

@@ -8,7 +8,7 @@ from foliospark.functions import json_values as J
 from foliospark.functions import text as X
 from foliospark.operators import gates as G
 from foliospark.operators import paired as P
-from foliospark.operators.runs import listed_digest, ordered_digest
+from foliospark.operators.runs import listed_digest
 from foliospark.plans.texts import CATEGORY, PAIRS, pair_rows
 from foliospark.plans.views import oracle, table
 
@@ -148,7 +148,7 @@ e AS (SELECT 'page' AS kind, page, NULL AS block_index, side, NULL AS boundary F
 
 def evidence_digest(s, d):
     """Of all evidence, by kind: hashed in buckets, as a kind has any number of rows."""
-    return ordered_digest(_hashed_evidence(s, d), "name", "h", "kind")
+    return listed_digest(_hashed_evidence(s, d), "name", "h", "kind")
 
 
 def _hashed_evidence(s, d):
@@ -358,7 +358,7 @@ x AS (SELECT page, gt, coalesce(CASE length(gt) % 4 WHEN 0 THEN NULL WHEN 1 THEN
 d AS (SELECT page, levenshtein(gt, pred) AS d, greatest(length(gt), length(pred), 1) AS n FROM x),
 p AS (SELECT page, sum(d) AS d, sum(n) AS n, sum(d / n) AS s, count(*) AS k FROM d GROUP BY page)
 SELECT round(avg(d / n), 9) AS page_avg, round(sum(d) / sum(n), 9) AS whole, round(sum(s) / sum(k), 9) AS sample_avg FROM p""",
-    "a21_evidence_digest": oracle(f"{_EVIDENCE}, n AS (SELECT kind, concat_ws('|', kind, page, block_index) AS name, sha256(concat_ws('|', kind, page, block_index, side, boundary)) AS h FROM e), parts AS (SELECT kind, CAST('0x' || sha256(name)[1:4] AS INT) % 4096 AS part, sha256(string_agg(name || chr(9) || h, chr(10) ORDER BY name)) AS d FROM n GROUP BY ALL) SELECT kind, sha256(string_agg(d, chr(10) ORDER BY part)) AS digest FROM parts GROUP BY kind"),
+    "a21_evidence_digest": oracle(f"{_EVIDENCE}, n AS (SELECT kind, concat_ws('|', kind, page, block_index) AS name, sha256(concat_ws('|', kind, page, block_index, side, boundary)) AS h FROM e) SELECT kind, sha256(string_agg(name || chr(9) || h, chr(10) ORDER BY name)) AS digest FROM n GROUP BY kind"),
     "a21_page_evidence_digest": oracle(f"{_EVIDENCE}, n AS (SELECT page, concat_ws('|', kind, page, block_index) AS name, sha256(concat_ws('|', kind, page, block_index, side, boundary)) AS h FROM e) SELECT page, sha256(string_agg(name || chr(9) || h, chr(10) ORDER BY name)) AS digest FROM n GROUP BY page"),
     "f37_first_divergence": oracle(f"WITH {_TRACE} SELECT * FROM v WHERE boundary IS NOT NULL"),
     "t1_loss_ranking": oracle(f"WITH {_FULL} SELECT {', '.join(_SHOWN)} FROM f WHERE side = 'both' ORDER BY delta DESC, img_id, ref_gt_idx, component, gt_position LIMIT 100"),

@@ -53,7 +53,7 @@ def digests(s, d):
 
 
 def whole_digest(s, d):
-    return R.ordered_digest(table(s, d, "v_manifest").withColumn("h", F.sha2("category", 256)), "image", "h")
+    return R.listed_digest(table(s, d, "v_manifest").withColumn("h", F.sha2("category", 256)), "image", "h")
 
 
 def _first_word(text):
@@ -131,10 +131,7 @@ n AS (SELECT page_id, island, max(finish_s) - min(start_s) AS n FROM i GROUP BY
 SELECT page_id, sum(n) AS covered FROM n GROUP BY page_id"""),
     "a11_majority_vote": "WITH v AS (SELECT user_id, event_type AS answer, count(*) AS votes, min(event_id) AS first FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, first) AS k FROM v) SELECT user_id, answer, votes FROM k WHERE k = 1",
     "a16_ordered_digest": oracle("SELECT category, CAST(regexp_extract(image, '(\\d+)', 1) AS BIGINT) // 1000 AS lot, sha256(string_agg(image || chr(9) || sha256(image), chr(10) ORDER BY image)) AS digest FROM {v_manifest} GROUP BY ALL"),
-    "a16_whole_digest": oracle("""
-WITH p AS (SELECT CAST('0x' || sha256(image)[1:4] AS INT) % 4096 AS part, image, image || chr(9) || sha256(category) AS l FROM {v_manifest}),
-q AS (SELECT part, sha256(string_agg(l, chr(10) ORDER BY image)) AS d FROM p GROUP BY part)
-SELECT sha256(string_agg(d, chr(10) ORDER BY part)) AS digest FROM q"""),
+    "a16_whole_digest": oracle("SELECT sha256(string_agg(image || chr(9) || sha256(category), chr(10) ORDER BY image)) AS digest FROM {v_manifest}"),
     "a18_throughput": oracle("SELECT run_id, round(coalesce(count(*) * 60.0 / nullif(sum(seconds), 0), 0), 6) AS ppm FROM {v_page_runs} GROUP BY run_id"),
     "a22_scored_tally": oracle("WITH x AS (SELECT component, CASE WHEN img_id % 13 <> 0 THEN score END AS s FROM {v_samples_cand}) SELECT component, round(avg(CASE WHEN s > 0 THEN s END), 9) AS nonzero_mean, count(*) FILTER (s = 0) AS zeros, count(*) FILTER (s IS NULL) AS missing FROM x GROUP BY component"),
     "t5_failure_sample": oracle("SELECT substr(image, 1, 200) AS image, run_id, substr(stage, 1, 200) AS stage, substr(status, 1, 200) AS status, seconds FROM {v_page_runs} WHERE status <> 'ok' ORDER BY image, run_id, stage, status, seconds LIMIT 20"),
