@@ -133,14 +133,14 @@ def sample_scores(texts: DataFrame, metric: str = "CDM") -> DataFrame:
     """(page, id, score) of score files, a JSON text a row in column value, in any accepted shape:
     a list of samples, page -> list of samples, page -> sample, or `page_[id]` -> number. Rows
     without a number are left out; true and false are no numbers."""
-    root = texts.select(F.try_parse_json("value").alias("v"))
-    root.createOrReplaceTempView(view := f"scores_{uuid.uuid4().hex}")
-    spark = texts.sparkSession
-    top = spark.sql(f"SELECT key, value FROM {view}, LATERAL variant_explode(v) WHERE schema_of_variant(v) LIKE 'OBJECT%' UNION ALL SELECT try_variant_get(value, '$.img_id', 'string'), value FROM {view}, LATERAL variant_explode(v) WHERE schema_of_variant(v) LIKE 'ARRAY%'")
-    top.createOrReplaceTempView(view2 := f"scores_{uuid.uuid4().hex}")
-    listed = spark.sql(f"SELECT t.key AS key, e.value AS value FROM {view2} t, LATERAL variant_explode(t.value) e WHERE schema_of_variant(t.value) LIKE 'ARRAY%'")
-    rest = spark.table(view2).where("schema_of_variant(value) NOT LIKE 'ARRAY%'")
-    rows = listed.unionByName(rest)
+    each = texts.sparkSession.tvf.variant_explode
+    kind = lambda c: F.schema_of_variant(c)
+    root = texts.select(F.try_parse_json("value").alias("v")).where(kind("v").rlike("^(OBJECT|ARRAY)"))
+    top = root.lateralJoin(each(F.col("v").outer()))
+    top = top.select(F.when(kind("v").startswith("ARRAY"), F.try_variant_get("value", "$.img_id", "string")).otherwise(F.col("key")).alias("key"), "value", kind("v").startswith("OBJECT").alias("named"))
+    lists = F.col("named") & kind("value").startswith("ARRAY")
+    inner = top.where(lists).select("key", F.col("value").alias("list")).lateralJoin(each(F.col("list").outer()).select(F.col("value").alias("item")))
+    rows = inner.select("key", F.col("item").alias("value")).union(top.where(F.coalesce(~lists, F.lit(True))).select("key", "value"))
     number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|INT|FLOAT)"), v.cast("double"))
     found = F.coalesce(number(F.col("value")), *[number(F.try_variant_get("value", p, "variant")) for p in (f"$.metric.{metric}", f"$.{metric}", "$.score")])
     keyed = F.col("key").rlike(r"(?s)^.*_\[.*\]$")
@@ -161,8 +161,7 @@ def response_cache(texts: DataFrame, value: str = "value") -> DataFrame:
     isn't a text is an error."""
     v = F.try_parse_json(value)
     entries = F.coalesce(F.try_variant_get(v, "$.entries", "variant"), v)
-    texts.select(entries.alias("v")).createOrReplaceTempView(view := f"cache_{uuid.uuid4().hex}")
-    rows = texts.sparkSession.sql(f"SELECT e.key AS key, e.value AS value FROM {view}, LATERAL variant_explode(v) e")
+    rows = texts.select(entries.alias("v")).lateralJoin(texts.sparkSession.tvf.variant_explode(F.col("v").outer()))
     text = F.when(F.schema_of_variant("value") == "STRING", F.col("value").cast("string")).otherwise(F.raise_error(F.lit("cache entries must be texts")))
     return rows.select("key", text.alias("text"))
 
