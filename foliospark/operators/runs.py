@@ -10,8 +10,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.sources.files import new_folder
-
 
 def status_class(status: Column) -> Column:
     """ok, fail or fallback; any other status is an error."""
@@ -33,36 +31,51 @@ def run_counts(runs: DataFrame, *by: str) -> DataFrame:
     return got.withColumn("run_status", state)
 
 
+#: Equal parts into which the range of a sought value is cut, and how often before values are ranked.
+PARTS, ZOOMS = 4096, 2
+
+
 def latency_summary(runs: DataFrame, value: str, *by: str) -> DataFrame:
     """count, mean, nearest-rank p50, p95 and p99, and max.
 
-    Equal values are counted first. The counts are range-partitioned by group and value and
-    stored with their partition, whose totals say which rank each begins with; so a group of
-    any number of different values is spread over tasks, and no task gathers them.
+    Equal values are counted first. For each rank the range of a group's values is cut into
+    PARTS of equal width, whose totals say in which one the rank stands; that part's own range
+    is cut again, and only the values of the last part are ranked. So no window sees more than
+    PARTS rows of a group but where a single part of a part still holds more different values;
+    nothing is sampled or stored, and the result is exact.
     """
-    spark, shares = runs.sparkSession, {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     rows = runs.where(F.col(value).isNotNull())
-    at = f"{new_folder(spark, 'values')}"
-    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    counted.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id()).write.parquet(at)
-    held = spark.read.parquet(at)
-    group = [F.col(c) for c in by] or [F.lit(0)]
-    totals = held.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))  # a row a partition and group
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*group)
-    totals = totals.select(*by, "__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"), F.sum("__m").over(every).alias("__all"))
-    named = {c: f"__by{i}" for i, c in enumerate(by)}
-    totals = totals.withColumnsRenamed(named | {"__part": "__at"})
-    keys = held.join(totals, reduce(lambda x, c: x & held[c].eqNullSafe(F.col(named[c])), by, F.col("__part") == F.col("__at")))
-    within = Window.partitionBy(*group, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = keys.withColumn("__rank", F.col("__before") + F.sum("__n").over(within))
-    picked = [F.min(F.when(F.col("__rank") >= F.ceil(F.col("__all") * F.lit(p)), F.col(value))).alias(k) for k, p in shares.items()]
-    found = ranked.groupBy(*by).agg(*picked)
+    keys = [f"__by{i}" for i in range(len(by))]
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("v"), F.col("__n").alias("n"))
+    whole = counted.groupBy(*keys).agg(F.sum("n").alias("all"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("share"), F.ceil(F.col("all") * F.lit(p)).alias("rank")) for k, p in shares.items()])
+    sought = whole.select(*keys, F.explode(wanted).alias("w"), F.lit(0).cast("long").alias("before"), "lo", "hi").select(*keys, "w.*", "before", "lo", "hi")
+
+    def within(sought: DataFrame) -> DataFrame:
+        """Counted values in the range in which each rank is sought."""
+        named = sought.withColumnsRenamed({k: f"{k}s" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"{k}s")) for k in keys]
+        met = counted.join(named, reduce(lambda x, y: x & y, same)) if keys else counted.crossJoin(F.broadcast(named))  # three rows
+        return met.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).drop(*[f"{k}s" for k in keys])
+
+    for _ in range(ZOOMS):
+        lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+        place = F.floor((F.col("v").cast("double") - lo) / F.nullif(hi - lo, F.lit(0.0)) * PARTS)
+        # no number where the range has no width or no end: the values at its end are last
+        part = F.when(F.col("v") == F.col("lo"), 0).when(F.isnan(F.col("v").cast("double")) | (F.col("v").cast("double") == float("inf")), PARTS).otherwise(F.least(F.coalesce(place, F.lit(0)), F.lit(PARTS - 1)))
+        totals = within(sought).withColumn("part", part).groupBy(*keys, "share", "rank", "before", "part").agg(F.sum("n").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.col("before") + F.sum("m").over(Window.partitionBy(*keys, "share").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+        totals = totals.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("m") < F.col("rank")))
+        sought = totals.select(*keys, "share", "rank", (F.col("upto") - F.col("m")).alias("before"), "lo", "hi")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "share").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    reached = within(sought).withColumn("upto", upto).where(F.col("upto") >= F.col("rank"))
+    found = reached.groupBy(*keys).agg(*[F.min(F.when(F.col("share") == k, F.col("v"))).alias(k) for k in shares])
     sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"), F.max(value).alias("max"))
     if not by:
         return sums.crossJoin(found).select("count", "mean", *shares, "max")  # one row each
-    same = reduce(lambda x, y: x & y, [sums[c].eqNullSafe(found[c]) for c in by])
-    return sums.join(found, same).select(*[sums[c] for c in by], "count", "mean", *shares, "max")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)])
+    return sums.join(found, same).select(*by, "count", "mean", *shares, "max")
 
 
 def covered_time(intervals: DataFrame, key: str = "page_id", start: str = "start_s", finish: str = "finish_s") -> DataFrame:

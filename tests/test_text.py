@@ -183,6 +183,30 @@ def test_latencies(spark):
     assert latency_summary(df.limit(0), "v", "g").count() == 0
 
 
+@pytest.mark.parametrize("parts", [4096, 3])
+def test_latencies_of_odd_values(spark, monkeypatch, parts):
+    """Outliers, infinities, equal values and whole numbers; nothing is left in the shared folder."""
+    import os
+
+    from foliospark.operators import runs
+
+    monkeypatch.setattr(runs, "PARTS", parts)
+    rng = random.Random(parts)
+    inf = float("inf")
+    groups = {"tail": [10.0**k for k in range(-9, 12)] * 3, "inf": [1.0, 2.0, inf, -inf, inf, 5.0], "same": [0.1] * 7, "near": [1 + rng.random() * 1e-12 for _ in range(200)], "one": [3.0], "nan": [1.0, float("nan"), 2.0]}
+    df = spark.createDataFrame([(g, v) for g, own in groups.items() for v in own], "g string, v double").repartition(3)
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    for r in runs.latency_summary(df, "v", "g").collect():
+        own = sorted(groups[r.g], key=lambda x: (x != x, x))
+        rank = lambda p: own[max(0, -int(-p * len(own) // 1) - 1)]
+        assert (r.g, *(str(x) for x in (r.p50, r.p95, r.p99))) == (r.g, *(str(rank(p)) for p in (0.5, 0.95, 0.99)))
+    whole = spark.createDataFrame([(i * i % 1009,) for i in range(1000)], "v long")
+    own = sorted(i * i % 1009 for i in range(1000))
+    got = runs.latency_summary(whole, "v").first()
+    assert (got.p50, got.p95, got.p99, got.max) == (own[499], own[949], own[989], own[-1])
+    assert set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == before
+
+
 def test_readers(spark, tmp_path):
     """Prediction texts and traces: what is refused, and what isn't."""
     from foliospark.sources import files as S
