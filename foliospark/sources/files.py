@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from fnmatch import fnmatchcase
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +32,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def file_name(path: Column | None = None) -> Column:
-    return F.regexp_extract(path if path is not None else F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    """The last part of a path as it is; without one, of the row's file, whose path Spark gives as
+    a URI."""
+    if path is not None:
+        return F.regexp_extract(path, r"([^/]+)$", 1)
+    return _decoded(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
+
+
+def _decoded(name: Column) -> Column:
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def stem(name: Column) -> Column:
@@ -52,12 +62,60 @@ def repeated_stems(files: DataFrame) -> DataFrame:
     return names.join(names.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "stem").select("stem", "name", "n")
 
 
+def _uri(folder: str) -> str:
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
+def _entries(glob: str, recursive: bool):
+    """(name, folder) of what is in each folder, without hidden names; with `recursive` the files in
+    it and below."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            todo = batch.column(0).to_pylist()
+            while todo:
+                system, base = fs.FileSystem.from_uri(todo.pop())
+                scheme = batch.column(0)[0].as_py().partition(":")[0]
+                names, folders = [], []
+                for info in system.get_file_info(fs.FileSelector(base)):
+                    if info.base_name[:1] in "._":
+                        continue
+                    at = f"{scheme}://{quote(info.path)}"
+                    if info.type == fs.FileType.Directory:
+                        folders.append(at)
+                    elif fnmatchcase(info.base_name, glob):
+                        names.append(at)
+                if recursive:
+                    todo += folders
+                    folders = []
+                for k in range(0, len(names), 10_000):
+                    part = names[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([False] * len(part))], names=["name", "folder"])
+                if folders:
+                    yield pa.RecordBatch.from_arrays([pa.array(folders, pa.string()), pa.array([True] * len(folders))], names=["name", "folder"])
+
+    return run
+
+
 def listed(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """(name, stem) of the files in a folder and below. A scan leaves empty files out, so the names
-    come from the listing that Spark's driver makes of any folder it reads."""
-    paths = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").format("binaryFile").load(folder).inputFiles()
-    names = spark.createDataFrame([(p,) for p in paths], "name string")
-    return names.withColumn("stem", stem(F.url_decode(file_name(F.col("name")))))
+    """(name, stem) of the files in a folder and below. A scan leaves empty files out, so names are
+    listed: the folder by one task, what is below each of its sub-folders by tasks of their own,
+    and no name comes to the driver. Folders of a store that pyarrow can't open are listed by
+    Spark's driver, as it does for any scan."""
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(_uri(folder))
+    except (pa.ArrowInvalid, OSError, ValueError):
+        paths = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").format("binaryFile").load(folder).inputFiles()
+        names = spark.createDataFrame([(p,) for p in paths], "name string")
+    else:
+        top = spark.range(1).select(F.lit(_uri(folder)).alias("name")).mapInArrow(_entries(glob, False), "name string, folder boolean")
+        below = top.where("folder").select("name").repartition("name").mapInArrow(_entries(glob, True), "name string, folder boolean")
+        names = top.where("NOT folder").union(below).select("name")
+    return names.withColumn("stem", stem(_decoded(file_name(F.col("name")))))
 
 
 def require_unique_stems(files: DataFrame) -> None:
@@ -74,14 +132,14 @@ def prediction_texts(spark: SparkSession, folder: str, excluded: str | None = No
     require_unique_stems(names)
     texts = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(folder, wholetext=True)
     texts = texts.select(stem(file_name()).alias("stem"), F.col("value").alias("text")).where(keep)
-    full = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").format("binaryFile").load(folder).select(stem(file_name(F.col("path"))).alias("stem"))
+    full = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").format("binaryFile").load(folder).select(stem(file_name()).alias("stem"))
     return texts.union(names.select("stem").join(full, "stem", "left_anti").select("stem", F.lit("").alias("text")))
 
 
 def write_named_texts(rows: DataFrame, folder: str, name: str, text: str) -> DataFrame:
     """Writes each row's text to the file that `name` says, in `folder` of any file system that
     pyarrow opens; returns (name, bytes). A repeated task writes the same files again."""
-    at = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    at = _uri(folder)
 
     def run(batches):
         from pyarrow import fs

@@ -130,3 +130,15 @@ def test_readers_leave_no_views(spark):
     with pytest.raises(Exception, match="must be texts"):
         files.response_cache(spark.createDataFrame([('{"a": 1}',)], "value string")).collect()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_listing_in_tasks(spark, tmp_path):
+    """Empty files, nested folders, odd names; hidden ones and other kinds are left out."""
+    for name in ("a.md", "empty.md", "x y+z%20é.md", "b.txt", ".hidden.md", "_skip.md", "one/c.md", "one/two/d.md", "one/two/.e.md", "_temporary/f.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "empty" in name else "text")
+    got = sorted(r.stem for r in files.listed(spark, str(tmp_path), "*.md").collect())
+    assert got == sorted(["a", "empty", "x y+z%20é", "c", "d"])
+    assert files.listed(spark, f"file://{tmp_path}/one/two", "*.txt").count() == 0
+    texts = {r.stem: r.text for r in files.prediction_texts(spark, str(tmp_path), "a").collect()}
+    assert texts == {"empty": "", "x y+z%20é": "text", "c": "text", "d": "text"}
