@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,14 +32,16 @@ def meeting(left: DataFrame, right: DataFrame | None, fields: tuple[str, ...], p
     Every box stands in the cells of its own grid and looks for others there and in all coarser
     grids that its page uses; a pair is kept in the one cell that holds the common corner. So
     work grows with the boxes and the pairs found, not with the square of a page. Boxes without
-    an area, or with a null corner, meet nothing; equal boxes meet. A null page has no pairs.
+    an area, or with a corner that is no finite number, meet nothing; equal boxes meet. A null
+    page has no pairs.
     """
     told = lambda df, k: df.select(page, F.lit(k).alias("side"), F.struct(*fields).alias("id"), *[F.col(c).cast("double").alias(c) for c in BOX])
     rows = told(left, 0) if right is None else told(left, 0).unionByName(told(right, 1))
     whole = Window.partitionBy(page)
     extent = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     own = F.greatest(F.ceil(F.log2(extent)), F.lit(FINEST)).cast("int")
-    rows = rows.where("x2 > x1 AND y2 > y1").withColumn("own", F.when(F.count(F.lit(1)).over(whole) <= FEW, F.lit(WHOLE)).otherwise(F.least(own, F.lit(WHOLE - 1))))
+    finite = reduce(lambda x, y: x & y, [F.abs(F.col(c)) < float("inf") for c in BOX])
+    rows = rows.where(finite & F.expr("x2 > x1 AND y2 > y1")).withColumn("own", F.when(F.count(F.lit(1)).over(whole) <= FEW, F.lit(WHOLE)).otherwise(F.least(own, F.lit(WHOLE - 1))))
     rows = rows.withColumn("used", F.collect_set("own").over(whole))
     home = _cells(rows.select(page, "side", "own", F.col("own").alias("level"), "id", *BOX), F.col("level"))
     probe = _cells(rows.select(page, "side", "own", F.explode(F.filter("used", lambda g: g >= F.col("own"))).alias("level"), "id", *BOX), F.col("level"))
@@ -59,15 +63,17 @@ def meeting(left: DataFrame, right: DataFrame | None, fields: tuple[str, ...], p
 
 
 class Neighbours:
-    """Boxes of one page, as arrays, by the cells of nested grids; memory is linear in them."""
+    """Boxes of one page, as arrays, by the cells of nested grids; memory is linear in them. Boxes
+    with a corner that is no finite number touch nothing."""
 
     def __init__(self, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray):
         self.corners = x1, y1, x2, y2
+        self.finite = np.isfinite(np.stack(self.corners)).all(0)
         extent = np.maximum(np.maximum(x2 - x1, y2 - y1), 1)
-        level = np.maximum(np.ceil(np.log2(extent)), FINEST).astype(int)
+        level = np.where(self.finite, np.maximum(np.ceil(np.log2(np.where(self.finite, extent, 1))), FINEST), 0).astype(int)
         self.grids = []
-        for g in np.unique(level):
-            at, cells = np.flatnonzero(level == g), {}
+        for g in np.unique(level[self.finite]):
+            at, cells = np.flatnonzero(self.finite & (level == g)), {}
             for i, *box in zip(at.tolist(), *((v[at] // 2.0**g).astype(np.int64).tolist() for v in self.corners)):
                 for cx in range(box[0], box[2] + 1):
                     for cy in range(box[1], box[3] + 1):
@@ -76,6 +82,8 @@ class Neighbours:
 
     def after(self, i: int) -> np.ndarray:
         """Boxes behind i that touch it, in order."""
+        if not self.finite[i]:
+            return np.zeros(0, np.int64)
         x1, y1, x2, y2 = (v[i] for v in self.corners)
         found = []
         for side, at, cells in self.grids:

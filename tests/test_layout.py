@@ -191,6 +191,17 @@ def test_full_pages_as_small_ones(spark, monkeypatch):
     assert runs[0] == runs[256] == runs[1 << 20] and all(len(r) > 100 for r in runs[0])
 
 
+def test_boxes_without_a_place(spark, monkeypatch):
+    """Null, NaN and infinite corners meet nothing and stay, on small and full pages."""
+    inf, nan = float("inf"), float("nan")
+    corners = [(0.0, 0.0, 9.0, 9.0), (1.0, 1.0, 9.0, 9.0), (nan, 0.0, 9.0, 9.0), (0.0, 0.0, inf, 9.0), (None, 0.0, 9.0, 9.0), (0.0, 0.0, 9.0, nan)]
+    rows = [(1, i, 5, "text", 0.5, *c, i) for i, c in enumerate(corners)] + [(None, 0, 5, "text", 0.5, 0.0, 0.0, 9.0, 9.0, 0)] * 2
+    df = spark.createDataFrame(rows, SCHEMA.replace("x1 int, y1 int, x2 int, y2 int", "x1 double, y1 double, x2 double, y2 double"))
+    assert [(r.a_box_idx, r.b_box_idx) for r in L.overlapping_pairs(df).collect()] == [(0, 1)]
+    monkeypatch.setattr(L, "MATRIX", 0)
+    assert {2, 3, 4, 5} <= {r.box_idx for r in L.nms(df.where("page_id = 1")).collect()}
+
+
 def test_page_of_20000_boxes(spark):
     import time
 
