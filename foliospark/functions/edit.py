@@ -50,13 +50,16 @@ def _bits(places: list[int]) -> int:
 
 
 @F.arrow_udf(T.IntegerType())
-def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+def _distances(pairs: pa.Array) -> pa.Array:
+    """Distances that are known already, and those of the texts that came along."""
+    known, a, b = (pairs.field(i).to_pylist() for i in range(3))
+    return pa.array([k if x is None or y is None else distance(x, y) for k, x, y in zip(known, a, b)], pa.int32())
 
 
-def edit_distance(a: Column, b: Column, near: int = 8) -> Column:
-    """The edit distance of two texts, null where one is. Equal and empty texts and those at most
-    `near` apart are told by built-in functions; only the others go to Python, once."""
-    known = F.when(a == b, 0).when(a == "", F.length(b)).when(b == "", F.length(a)).otherwise(F.nullif(F.levenshtein(a, b, near), F.lit(-1)))
-    open_ = known.isNull()
-    return F.coalesce(known, _distances(F.when(open_, a), F.when(open_, b)))
+def edit_distance(a: Column, b: Column, bands: tuple[int, ...] = (8, 64)) -> Column:
+    """The edit distance of two texts, null where one is. Equal and empty texts and those within one
+    of the bands are told by built-in functions, once a pair; only the others go to Python."""
+    near = F.coalesce(*[F.nullif(F.levenshtein(a, b, most), F.lit(-1)) for most in bands])
+    known = F.when(a == b, 0).when(a == "", F.length(b)).when(b == "", F.length(a)).otherwise(near)
+    pair = lambda k: F.struct(k.alias("k"), F.when(k.isNull(), a).alias("a"), F.when(k.isNull(), b).alias("b"))
+    return _distances(F.transform(F.array(known), pair)[0])
