@@ -168,9 +168,14 @@ class Reader:
 # for one that may be missing; "#" is a text slot. It is a regular expression without unions.
 
 
+#: Nodes that characters of the private-use planes can stand for.
+LETTERS = 120_000
+
+
 def fold(shape: list) -> list:
-    """Repeats of up to eight nodes as one repeated group, innermost first. Nodes are numbered, so
-    any number of different ones is; each width is one pass over the shape."""
+    """Repeats of up to eight nodes as one repeated group, innermost first. A shape is a text of a
+    character a node, which patterns fold; one of more nodes than there are such characters is
+    a list of numbers, folded alike in Python."""
     number: dict[str, int] = {}
     nodes: list = []
 
@@ -182,6 +187,13 @@ def fold(shape: list) -> list:
         return number[key]
 
     now = [code(n) for n in shape]
+    if len(nodes) + len(shape) <= LETTERS:
+        text = "".join(map(_letter, now))
+        for width in range(1, 9):
+            text = _REPEATS[width].sub(lambda m: _letter(code(["+", [nodes[_place(c)] for c in m[1]]])), text)
+            # a group and one more of what it repeats are one
+            text = _TWICE.sub(r"\1", text)
+        return [nodes[_place(c)] for c in text]
     for width in range(1, 9):
         same = [0] * (len(now) + 1)  # how far each place goes on as it does `width` later
         for i in range(len(now) - width - 1, -1, -1):
@@ -191,7 +203,6 @@ def fold(shape: list) -> list:
         while i < len(now):
             times = same[i] // width
             got = code(["+", [nodes[c] for c in now[i : i + width]]]) if times else now[i]
-            # a group and one more of what it repeats are one
             if not out or out[-1] != got:
                 out.append(got)
             i += width * (times + 1) if times else 1
@@ -199,6 +210,18 @@ def fold(shape: list) -> list:
     return [nodes[c] for c in now]
 
 
+_REPEATS = {width: re.compile(rf"(.{{{width}}})\1+") for width in range(1, 9)}
+_TWICE = re.compile(r"(.)\1+")
+
+
+def _letter(k: int) -> str:
+    return chr(0xE000 + k) if k < 0x1900 else chr(0xF0000 + k - 0x1900)
+
+
+def _place(c: str) -> int:
+    return ord(c) - 0xE000 if ord(c) < 0xF0000 else ord(c) - 0xF0000 + 0x1900
+
+
 def _label(node) -> str:
     return node if isinstance(node, str) else node[0] + _label(node[1][0]) if node[1] else node[0]
 

@@ -223,8 +223,10 @@ def test_heading_of_an_article_stays(spark):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_fold_against_patterns(seed):
+@pytest.mark.parametrize("letters", [0, 120_000])
+def test_fold_against_patterns(monkeypatch, letters, seed):
     """Folding by numbers as by regular expressions over characters."""
+    monkeypatch.setattr(html_wrappers, "LETTERS", letters)
     rng = random.Random(seed)
     shape = [rng.choice("abc") for _ in range(rng.randrange(200))] + list("abcabcabab") * 3
     names, nodes = {}, {}
