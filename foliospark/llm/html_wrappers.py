@@ -5,8 +5,8 @@ from __future__ import annotations
 import html as _html
 import json
 import re
-from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 from typing import NamedTuple
 
@@ -47,6 +47,7 @@ _MAIN = ("article", "main")
 _OUT_MAIN = frozenset("comment comments reply ad advert promo related".split())
 
 
+@lru_cache(4096)
 def words_of(attributes: str) -> list[str]:
     """Words of an element's class, id and role."""
     return [w for m in _NAME.finditer(attributes) for w in re.split(r"[^a-z]+", next(x for x in m.groups() if x is not None).lower()) if w]
@@ -68,7 +69,7 @@ def tokens(page: str):
             if m[1]:
                 yield "close", name, ""
                 continue
-            yield "open", ".".join([name, *words_of(m[3])]), ""
+            yield "open", ".".join([name, *words_of(m[3])]) if m[3] else name, ""
             if name in _VOID or m[3].endswith("/") and name in _RAW:
                 continue
             if name in _RAW:
@@ -105,6 +106,12 @@ class Around(NamedTuple):
         return self.out or self.outer
 
 
+@lru_cache(4096)
+def _entered(around: Around, name: str) -> Around:
+    tag, *words = name.split(".")
+    return around.entered(tag, words)
+
+
 class Reader:
     """A page's blocks in order, with the labels of the elements that are open around each."""
 
@@ -112,14 +119,17 @@ class Reader:
         self.shape: list[str] = []
         self.blocks: list[tuple[Around, str, int]] = []  # labels, text, characters of it in links
         stack: list[tuple[str, Around]] = []
-        open_: Counter[str] = Counter()
+        open_: dict[str, int] = {}  # of each name
         held: list[str] = []
         linked = 0
         around = top = Around()
 
         def flush():
             nonlocal held, linked
-            text = " ".join(_html.unescape("".join(held)).split())
+            if not held:
+                return
+            text = "".join(held)
+            text = " ".join((_html.unescape(text) if "&" in text else text).split())
             if text:
                 self.blocks.append((around, text, linked))
                 self.shape.append("#")
@@ -127,11 +137,12 @@ class Reader:
 
         def shut(tag: str, scope=frozenset()):
             """Closes the innermost open element of this name and what is in it."""
-            if not open_[tag]:
+            if not open_.get(tag):
                 return
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    open_.subtract(t for t, _ in stack[k:])
+                    for t, _ in stack[k:]:
+                        open_[t] -= 1
                     del stack[k:]
                     return
                 if stack[k][0] in scope:
@@ -143,7 +154,7 @@ class Reader:
                 if not held:
                     around = stack[-1][1] if stack else top
                 held.append(text)
-                if open_["a"]:
+                if open_.get("a"):
                     linked += len(text.strip())
                 continue
             if tag in _BLOCK or tag in _OUT_TAGS:
@@ -155,8 +166,8 @@ class Reader:
                 for closed in _CLOSES.get(tag, ("p",) if tag in _BLOCK else ()):
                     shut(closed, _SCOPE - {closed})
                 if tag not in _VOID:
-                    stack.append((tag, (stack[-1][1] if stack else top).entered(tag, name.split(".")[1:])))
-                    open_[tag] += 1
+                    stack.append((tag, _entered(stack[-1][1] if stack else top, name)))
+                    open_[tag] = open_.get(tag, 0) + 1
                 self.shape.append(f"<{name}>")
             else:
                 shut(tag)
