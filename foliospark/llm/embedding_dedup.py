@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,28 +14,54 @@ from pyspark.sql import types as T
 from foliospark.llm.common import components, forest, in_blocks, mix, stored, table, whole_groups
 
 COSINE = 0.98
-#: Unit vectors at this cosine are 0.2 apart; a projection quantised in steps of 2 keeps such a
-#: pair together with probability 0.92, 16 of them with 0.26, and one of 36 tables with 0.99998.
-WIDTH, PROJECTIONS, TABLES = 2.0, 16, 36
+#: Projections are quantised in steps of WIDTH. Unit vectors at cosine 0.98 are 0.2 apart, which
+#: one projection keeps together with probability 0.92; 16 of them with 0.26, and one of 36 tables
+#: with 0.99998. MISS bounds the probability that no table has a pair at the threshold.
+WIDTH, PROJECTIONS, MISS = 2.0, 16, 2e-5
+#: A table has so many projections, PROJECTIONS at least, that no more than CROWD of a label's vectors
+#: share a bucket by chance where all are at cosine FAR of each other.
+FAR, CROWD = 0.7, 16
+#: Vectors and directions are rounded to these steps, so that their products add up exactly in
+#: doubles and a vector has the same buckets in whichever batch it stands.
+VECTOR_STEP, PLANE_STEP = 2.0**-20, 2.0**-16
+#: Quantised projections that are held at once.
+CELLS = 1 << 22
 #: Vectors of a crowded bucket's chunk; a block compares two chunks.
 CHUNK = 512
 #: Buckets of more vectors are compared as a matrix, smaller ones pair by pair over many buckets at once.
 FEW, PAIRS = 24, 16_384
 
 
-def planes(dim: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Gaussian (2-stable) directions and the offsets of their quantisation."""
+def meeting(cosine: float) -> float:
+    """The probability that one quantised projection keeps two unit vectors of this cosine together."""
+    steps = WIDTH / math.sqrt(max(2 - 2 * cosine, 1e-12))
+    return math.erf(steps / math.sqrt(2)) - math.sqrt(2 / math.pi) / steps * (1 - math.exp(-steps * steps / 2))
+
+
+def tables_for(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """Projections a table, and tables, for labels of up to n vectors. Below a threshold of FAR
+    more projections would ask for too many tables, so it stays at PROJECTIONS."""
+    projections = PROJECTIONS
+    if cosine > FAR and n > CROWD:
+        projections = max(PROJECTIONS, math.ceil(math.log(n / CROWD) / -math.log(meeting(FAR))))
+    return projections, math.ceil(math.log(MISS) / math.log1p(-(meeting(cosine) ** projections)))
+
+
+@lru_cache(2)
+def planes(dim: int, projections: int, tables: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Gaussian (2-stable) directions in steps of PLANE_STEP and the offsets of their quantisation."""
     rng = np.random.default_rng([seed, dim])
-    return rng.standard_normal((dim, TABLES * PROJECTIONS)), rng.uniform(0, WIDTH, TABLES * PROJECTIONS)
+    return np.rint(rng.standard_normal((dim, tables * projections)) / PLANE_STEP), rng.uniform(0, WIDTH, tables * projections)
 
 
-def buckets(unit: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def buckets(unit: np.ndarray, labels: np.ndarray, projections: int, tables: int) -> np.ndarray:
     """The bucket of each unit vector in each table, of its label's hash and dimension alone."""
-    a, b = planes(unit.shape[1])
-    step = np.floor((unit @ a + b) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(unit), TABLES, PROJECTIONS)
-    salt = labels[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(TABLES, dtype=np.uint64) + np.uint64(unit.shape[1] << 20)
+    a, b = planes(unit.shape[1], projections, tables)
+    whole = np.rint(unit / VECTOR_STEP) @ a  # exact: up to 2**39 a product, 2**14 of them
+    step = np.floor((whole * (VECTOR_STEP * PLANE_STEP) + b) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, projections)
+    salt = labels[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(tables, dtype=np.uint64) + np.uint64(unit.shape[1] << 20)
     key = mix(salt)
-    for k in range(PROJECTIONS):
+    for k in range(projections):
         key = mix(key ^ step[:, :, k])
     return key.view(np.int64)
 
@@ -81,17 +110,22 @@ def _digest(kind: str):
     return run
 
 
-def _tables(kind: str):
+def _tables(kind: str, projections: int, tables: int):
+    """(bucket, t, id) of vectors, CELLS projections at a time."""
+    lot = max(1, CELLS // (projections * tables))
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             labels = _hashes(batch.column(1))
             for rows, unit in _units(batch.column(2), kind).values():
-                key = buckets(unit, labels[rows])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel()), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(rows))), batch.column(0).take(pa.array(np.repeat(rows, TABLES)))], names=["bucket", "t", "id"]
-                )
+                for k in range(0, len(rows), lot):
+                    some = rows[k : k + lot]
+                    key = buckets(unit[k : k + lot], labels[some], projections, tables)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(some))), batch.column(0).take(pa.array(np.repeat(some, tables)))], names=["bucket", "t", "id"]
+                    )
 
     return run
 
@@ -115,9 +149,11 @@ def _pairs(unit: np.ndarray, group: np.ndarray, cosine: float):
             yield lo + i[k : k + PAIRS], lo + j[k : k + PAIRS]
 
 
-def _compare(cosine: float, kind: str):
+def _compare(cosine: float, kind: str, projections: int, tables: int):
     """Rows (a, b, links): a forest of the links found in a block, and each member's links. A pair
-    that meets in several tables counts in the first of them only; labels must be equal."""
+    that meets in several tables counts in the first of them only, for which the buckets of linked
+    vectors are worked out again; labels must be equal."""
+    lot = max(1, CELLS // (projections * tables))
 
     def run(batches):
         for t in whole_groups(batches, ("bucket", "x", "y")):
@@ -130,8 +166,14 @@ def _compare(cosine: float, kind: str):
             within = key[1] == key[2]  # a block of one chunk with itself
             links, left, right = np.zeros(len(ids), np.int64), [], []
             for rows, unit in _units(t.column("vector").chunk(0), kind).values():
-                codes = buckets(unit, hashed[rows])
+                codes, known = np.zeros((len(rows), tables), np.int64), np.zeros(len(rows), bool)
                 for i, j in _pairs(unit, group[rows], cosine):
+                    asked = np.unique(np.concatenate([i, j]))
+                    asked = asked[~known[asked]]
+                    for k in range(0, len(asked), lot):
+                        some = asked[k : k + lot]
+                        codes[some] = buckets(unit[some], hashed[rows[some]], projections, tables)
+                    known[asked] = True
                     a, b = rows[i], rows[j]
                     good = (label[a] == label[b]) & (ids[a] != ids[b]) & (within[a] | (chunk[a] != chunk[b]))
                     good &= (codes[i] == codes[j]).argmax(1) == at[a]
@@ -161,7 +203,8 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     full, and equal vectors of one label, are links of each other; they are folded into one
     before hashing. Rows of one id must be repeats of one row. Other columns are not read.
 
-    Buckets of several tables with the same members are one bucket. Crowded buckets are dealt
+    The number of projections and tables follows from the size of the largest label
+    (`tables_for`). Buckets of several tables with the same members are one bucket. Crowded buckets are dealt
     into blocks of bounded size, which give out counts and spanning forests, never pairs.
     """
     single = isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType)
@@ -174,14 +217,16 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     sets = stored(base.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
     nodes = base.join(sets.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep", "copies"), (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")))
     nodes = stored(nodes.select("id", "label", "copies", "vector").dropDuplicates(["id"]), "nodes")
-    dealt = nodes.select("id", "label", "vector").mapInArrow(_tables(kind), "bucket long, t int, id long")
+    size = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    form = tables_for(size, cosine)
+    dealt = nodes.select("id", "label", "vector").mapInArrow(_tables(kind, *form), "bucket long, t int, id long")
     crowd = dealt.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("m"), F.min("t").alias("t"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")
     ).where("m > 1")
     crowd = crowd.groupBy("m", "h1", "h2").agg(F.min_by("bucket", "t").alias("bucket")).select("bucket", "m")
     met = in_blocks(dealt.join(crowd, "bucket"), "bucket", "id", F.ceil(F.col("m") / CHUNK)).join(nodes, "id")
     met = met.select("bucket", "x", "y", "t", "chunk", "id", "label", "copies", "vector").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "id")
-    told = stored(met.mapInArrow(_compare(cosine, kind), "a long, b long, links long"), "links")
+    told = stored(met.mapInArrow(_compare(cosine, kind, *form), "a long, b long, links long"), "links")
     final = components(told.where("a <> b").select("a", "b"))
     links = told.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     known = sets.join(links, "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -42,6 +42,50 @@ def test_near_vectors(spark, monkeypatch, chunk):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_tables_for_any_size():
+    assert embedding_dedup.tables_for(0) == embedding_dedup.tables_for(2000) == (16, 36)
+    for n in (10**5, 10**6, 10**9):
+        projections, tables = embedding_dedup.tables_for(n)
+        assert n * embedding_dedup.meeting(0.7) ** projections <= embedding_dedup.CROWD
+        assert (1 - embedding_dedup.meeting(0.98) ** projections) ** tables <= embedding_dedup.MISS
+    assert embedding_dedup.tables_for(10**6, 0.6)[0] == 16
+
+
+def test_meeting_is_what_projections_do():
+    rng = np.random.default_rng(5)
+    for cosine in (0.98, 0.7):
+        x = rng.standard_normal((400, 32))
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        y = rng.standard_normal((400, 32))
+        y -= (x * y).sum(1)[:, None] * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.sqrt((y * y).sum(1))[:, None]
+        one = np.zeros(400, np.uint64)
+        met = embedding_dedup.buckets(x, one, 1, 200) == embedding_dedup.buckets(y, one, 1, 200)
+        assert abs(met.mean() - embedding_dedup.meeting(cosine)) < 0.01
+
+
+def test_buckets_of_any_batch():
+    x = np.random.default_rng(6).standard_normal((257, 48))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    labels = np.arange(257, dtype=np.uint64) % np.uint64(3)
+    whole = embedding_dedup.buckets(x, labels, 18, 40)
+    for some in ([5], [256, 0], range(100, 163)):
+        assert (embedding_dedup.buckets(x[list(some)], labels[list(some)], 18, 40) == whole[list(some)]).all()
+
+
+def test_links_with_more_projections(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CROWD", 0.01)  # as in a label some thousand times larger
+    monkeypatch.setattr(embedding_dedup, "CELLS", 10_000)
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((6, 24))
+    x = (centre[np.arange(90) % 6] + rng.standard_normal((90, 24)) * rng.choice([0.05, 0.2], (90, 1))).astype(np.float32)
+    assert embedding_dedup.tables_for(90)[0] > 16
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    assert got == dict(enumerate(((u @ u.T >= 0.98).sum(1) - 1).tolist()))
+
+
 @pytest.mark.parametrize("kind,labels", [("long", [5, 5 + (1 << 32), -1, (1 << 32) - 1]), ("string", ["a", "A", "", "é"]), ("double", [0.5, 0.25, -1.0, 1e300])])
 def test_labels_and_doubles(spark, kind, labels):
     """Labels are compared whole, in any type; vectors keep the precision and range of doubles."""
