@@ -119,6 +119,38 @@ _NUMBER = lambda skip: f"SELECT page_id, box_idx, label, CASE WHEN label NOT IN
 _EVEN = lambda c: f"CAST(CASE WHEN {c} % 2 = 0 THEN {c} ELSE {c} + 1 END AS INT) AS {c}"  # noqa: E731  c + 0.5, half to even
 _HELD = f"SELECT a.page_id, a.box_idx AS inner_idx, a.cls_id AS inner_cls, b.box_idx AS outer_idx, b.cls_id AS outer_cls FROM {{v_boxes}} a JOIN {{v_boxes}} b ON a.page_id = b.page_id AND a.box_idx <> b.box_idx WHERE {_AREA('a')} > 0 AND {_INTER} / {_AREA('a')} >= 0.9"
 
+_IOU1 = """(CAST(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1, 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1, 0) AS DOUBLE)
+  / ((a.x2 - a.x1 + 1) * (a.y2 - a.y1 + 1) + (b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1, 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1) + 1, 0)))"""
+# One step a box: it is kept unless one of those kept before beats it.
+_NMS = f"""
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, box_idx DESC) AS k FROM {{v_boxes}}),
+beats AS (SELECT a.page_id, b.k, list(a.k) AS winners FROM r a JOIN r b ON a.page_id = b.page_id AND a.k < b.k
+  WHERE {_IOU1} >= CASE WHEN a.cls_id = b.cls_id THEN 0.6 ELSE 0.98 END GROUP BY a.page_id, b.k),
+turn AS (SELECT r.page_id, r.k, coalesce(winners, []) AS winners FROM r LEFT JOIN beats USING (page_id, k)),
+s AS (SELECT page_id, k, [k] AS kept FROM turn WHERE k = 1
+  UNION ALL SELECT t.page_id, t.k, CASE WHEN list_has_any(s.kept, t.winners) THEN s.kept ELSE list_append(s.kept, t.k) END
+  FROM s JOIN turn t ON t.page_id = s.page_id AND t.k = s.k + 1),
+kept AS (SELECT page_id, unnest(arg_max(kept, k)) AS k FROM s GROUP BY page_id)
+SELECT page_id, box_idx, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INT) AS nms_rank FROM kept JOIN r USING (page_id, k)"""
+_SHARE = f"CASE WHEN least({_AREA('a')}, {_AREA('b')}) > 0 THEN {_INTER} / least({_AREA('a')}, {_AREA('b')}) ELSE 0e0 END"
+
+
+def _greedy_sql(boxes: str, out: str) -> str:
+    """One step a pair, in order of the earlier and the later box: where both are still there, `lost` go."""
+    seen = lambda p: f"{p}.label IN {_in(L.VISUAL)}"
+    return f"""
+WITH RECURSIVE v AS ({boxes}), b AS (SELECT * FROM v WHERE label <> 'reference'),
+p AS (SELECT a.page_id, a.box_idx AS i, b.box_idx AS j, a.label = 'inline_formula' AS ai, b.label = 'inline_formula' AS bi, {_SHARE} AS share, {_AREA('a')} >= {_AREA('b')} AS later,
+    a.label <> b.label AND ({seen('a')} OR {seen('b')}) AND ('table' NOT IN (a.label, b.label) OR {seen('a')} AND {seen('b')}) AS stay
+  FROM b a JOIN b ON a.page_id = b.page_id AND a.box_idx < b.box_idx WHERE a.x2 - a.x1 >= 6 AND a.y2 - a.y1 >= 6),
+l AS (SELECT page_id, i, j, CASE WHEN ai AND bi THEN [i, j] WHEN ai THEN [i] WHEN bi THEN [j] WHEN share <= 0.7 OR stay THEN [] WHEN later THEN [j] ELSE [i] END AS lost FROM p WHERE share > 0.5),
+e AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i, j) AS n FROM l),
+s AS (SELECT page_id, n, lost AS gone FROM e WHERE n = 1
+  UNION ALL SELECT e.page_id, e.n, CASE WHEN list_has_any(s.gone, [e.i, e.j]) THEN s.gone ELSE list_concat(s.gone, e.lost) END FROM s JOIN e ON e.page_id = s.page_id AND e.n = s.n + 1),
+gone AS (SELECT page_id, unnest(arg_max(gone, n)) AS box_idx FROM s GROUP BY page_id)
+{out} FROM b ANTI JOIN gone USING (page_id, box_idx) WHERE x2 - x1 >= 6 AND y2 - y1 >= 6"""
+
+
 ORACLES = {
     "p1_confidence_filter": oracle(f"SELECT page_id, box_idx, cls_id, score, {', '.join(map(_EVEN, L.BOX))} FROM {{v_boxes}} WHERE score > 0.3 AND cls_id > -1"),
     "p2_oversized_images": oracle("""
@@ -149,6 +181,9 @@ SELECT page_id, a_box_idx, b_box_idx, i / (sa + sb - i) AS iou FROM p"""),
 WITH h AS ({_HELD}), i AS (SELECT DISTINCT page_id, inner_cls AS c, inner_idx AS box_idx FROM h WHERE inner_cls IN (3, 7, 22)), o AS (SELECT DISTINCT page_id, inner_cls AS c, outer_idx AS box_idx FROM h WHERE inner_cls IN (3, 7, 22)),
 gone AS (SELECT page_id, box_idx FROM o ANTI JOIN i USING (page_id, c, box_idx))
 SELECT page_id, box_idx FROM {{v_boxes}} ANTI JOIN gone USING (page_id, box_idx)"""),
+    "j3_class_nms": oracle(_NMS),
+    "j4_greedy_overlap": oracle(_greedy_sql(f"SELECT *, {_TO_LABEL} AS label FROM {{v_boxes}}", "SELECT page_id, box_idx, label")),
+    "p8_reference_and_tiny": oracle(_greedy_sql(f"SELECT * REPLACE (x1 + (x2 - x1) % 40 AS x2), {_TO_LABEL} AS label FROM {{v_boxes}}", "SELECT label, count(*) AS n") + " GROUP BY label"),
     "j5_figures_in_tables": oracle(f"WITH {_FIG.strip()} SELECT * FROM held"),
     "j6_remaining_figures": oracle(f"WITH {_FIG.strip()} SELECT page_id, box_idx, label, path FROM f ANTI JOIN held USING (page_id, path)"),
     "w1_reading_order": oracle("SELECT page_id, box_idx, row_number() OVER (PARTITION BY page_id ORDER BY read_order, score DESC, box_idx) AS pos FROM {v_boxes}"),

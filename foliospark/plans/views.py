@@ -111,6 +111,7 @@ def oracle(body: str) -> str:
     # the one aggregate whose name differs
     ctes = {n: re.sub(r"listagg\((\w+), ''\) within group \(order by (\w+)\)", r"string_agg(\1, '' order by \2)", s) for n, s in ctes.items()}
     heads = ", ".join(f"{n} AS ({s.strip()})" for n, s in ctes.items())
-    if text[:5].upper() == "WITH ":
-        return f"WITH {heads}, {text[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(head):
+            return f"{head}{heads}, {text[len(head):]}"
     return f"WITH {heads} {text}"
