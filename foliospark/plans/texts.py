@@ -170,7 +170,23 @@ QUERIES = {
 }
 
 _D = "SELECT doc_id, "
+_DOMINANT = """
+WITH l AS (SELECT doc_id, trim(x) AS line, pos FROM (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE trim(x) <> ''),
+c AS (SELECT doc_id, line, count(*) AS n, min(pos) AS first FROM l GROUP BY ALL)
+SELECT doc_id, arg_max(line, n * 1000000 - first) AS top_line, max(n) AS n_top, CAST(sum(n) AS BIGINT) AS n_lines FROM c GROUP BY doc_id"""
+# A unit that ends a text five times over (the longest), how often it does, and the shortest one that makes up the
+# whole text, by trying each length.
+_REPEATS = f"""
+WITH top AS ({_DOMINANT}), d AS (SELECT doc_id, text, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents),
+flat AS (SELECT doc_id, t, length(t) AS n FROM d WHERE length(text) >= 50 AND t <> '' AND NOT contains(t, chr(10))),
+u AS (SELECT *, CASE WHEN n > 100 THEN list_max(list_filter(range(8, n // 5 + 1), lambda k: repeat(right(t, k), 5) = right(t, 5 * k))) END AS unit FROM flat),
+k AS (SELECT *, list_max(list_filter(range(5, n // unit + 1), lambda m: repeat(right(t, unit), m) = right(t, m * unit))) AS times,
+  list_min(list_filter(range(1, n // 10 + 1), lambda w: n % w = 0 AND repeat(left(t, w), n // w) = t)) AS whole FROM u),
+cut AS (SELECT doc_id, CASE WHEN unit * times * 2 > n THEN left(t, n - unit * times) WHEN n > 10 AND whole IS NOT NULL THEN left(t, whole) END AS cut FROM k)
+SELECT doc_id, coalesce(cut, CASE WHEN length(text) >= 50 AND contains(t, chr(10)) AND n_lines >= 10 AND n_top >= 10 AND n_top >= 0.8 * n_lines THEN top_line END, text) AS truncated
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN top USING (doc_id)"""
 ORACLES = {
+    "f1_repetition_truncation": _REPEATS,
     "f2_math_delimiters": oracle(f"SELECT doc_id, CASE WHEN {_HAS} THEN CASE WHEN doc_id % 3 = 0 THEN replace({_MATH_OUT}, '$', '') ELSE {_MATH_OUT} END ELSE {_MATH} END AS out FROM documents"),
     "f3_has_cjk": "SELECT doc_id, regexp_matches(text || CASE WHEN doc_id % 3 = 0 THEN '漢' ELSE '' END, '[一-鿿]') AS cjk FROM documents",
     "f4_heading": oracle(f"WITH t AS (SELECT doc_id, {_HEAD} AS t FROM documents) SELECT doc_id, replace(replace(repeat('#', CAST(length(t) - length(replace(t, '.', '')) + 2 AS INT)) || ' ' || t, '-' || chr(10), ''), chr(10), ' ') AS out FROM t"),
@@ -200,10 +216,7 @@ SELECT page_id, string_agg(md, chr(10) || chr(10) ORDER BY idx) AS markdown FROM
     "f14_pair_categories": oracle(f"SELECT component, img_id, gt_position, {CATEGORY} AS category FROM ({PAIRS})"),
     "f15_canonical_index": "SELECT l_orderkey, CASE WHEN count(*) = 1 THEN CAST(min(l_linenumber) AS VARCHAR) ELSE '[' || string_agg(l_linenumber, ',' ORDER BY l_linenumber) || ']' END AS gt_idx FROM lineitem GROUP BY l_orderkey",
     "f16_endpoints": "SELECT page_id, rtrim(url, '/') AS endpoint, regexp_extract(url, '^[^?#]*') AS shown FROM pages",
-    "a17_dominant_line": """
-WITH l AS (SELECT doc_id, trim(x) AS line, pos FROM (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE trim(x) <> ''),
-c AS (SELECT doc_id, line, count(*) AS n, min(pos) AS first FROM l GROUP BY ALL)
-SELECT doc_id, arg_max(line, n * 1000000 - first) AS top_line, max(n) AS n_top, CAST(sum(n) AS BIGINT) AS n_lines FROM c GROUP BY doc_id""",
+    "a17_dominant_line": _DOMINANT,
     "w3_neighbour_groups": oracle(f"{_GROUPS} SELECT page_id, idx, CASE WHEN flat THEN first END AS group_id, coalesce(flat AND many, false) AS merged, row_number() OVER (PARTITION BY page_id ORDER BY anchor, first IS NULL AND anchor < idx, idx) AS out_pos FROM y"),
     "j18_meets_non_merge": oracle(f"""
 WITH m AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS k FROM {{v_blocks}} WHERE label NOT IN {_in(NON_MERGE)})

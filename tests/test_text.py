@@ -4,12 +4,15 @@ import html
 import random
 import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions import json_values as J
 from foliospark.functions import text as X
 from foliospark.operators import table_markup as M
+from foliospark.plans.texts import ORACLES
 
 
 DIGITS = "0123456789"
@@ -240,3 +243,17 @@ def test_centred_divs(spark):
 def test_categories(spark, pred, gt, score, edit, want):
     df = spark.createDataFrame([(pred, gt, score, 1.0, edit)], "p string, g string, s double, r double, e double")
     assert df.select(X.pair_category(*map(F.col, "pgsre"))).first()[0] == want
+
+
+def test_repetition_sql_on_texts_that_repeat():
+    rng = random.Random(4)
+    texts = []
+    for _ in range(400):
+        unit = "".join(rng.choice("ab é") for _ in range(rng.choice([1, 2, 3, 8, 9, 12, 20])))
+        head = "".join(rng.choice("abxy") for _ in range(rng.choice([0, 0, 3, 30, 200])))
+        texts.append(head + unit * rng.choice([1, 4, 5, 6, 10, 30]) + rng.choice(["", "", "z"]))
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    got = dict(duckdb.sql(ORACLES["f1_repetition_truncation"]).fetchall())
+    cut = X._cut_repeats(pd.Series([t.strip() if len(t) >= 50 else None for t in texts])).tolist()
+    assert sum(isinstance(c, str) for c in cut) > 20
+    assert [got[i] for i in range(len(texts))] == [c if isinstance(c, str) else t for c, t in zip(cut, texts)]
