@@ -4,10 +4,11 @@ import hashlib
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.functions.edit import distance, edit_distance
+from foliospark.functions.edit import distance, distances, edit_distance
 from foliospark.operators import runner, runs, table_markup
 from foliospark.sources import files
 
@@ -103,6 +104,20 @@ def test_edit_distance(spark):
     assert all(r.d == (None if r.a is None or r.b is None else slowly(r.a, r.b)) for r in df.collect())
 
 
+def test_edit_distances_of_many_pairs():
+    """Pairs of all lengths about the edges of words, whole batches at once; 20,000 pairs of 150
+    characters take a second or two."""
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choices(rng.choice(("ab", "abcdefgh ", "aé漢𝄞")), k=n))
+    a = [text(rng.choice((0, 1, 63, 64, 65, 127, 128, 129, 150, 400))) for _ in range(1500)]
+    b = [x.replace("a", "", rng.randrange(9)) + rng.choice(("", "x")) if rng.random() < 0.6 else text(rng.randrange(140)) for x in a]
+    assert distances(pa.array(a), pa.array(b)).tolist() == [distance(x, y) for x, y in zip(a, b)]
+    a = ["".join(rng.choices("abcdefgh ", k=150)) for _ in range(20_000)]
+    began = time.time()
+    got = distances(pa.array(a), pa.array([x.replace("a", "") for x in a]))
+    assert got.tolist() == [x.count("a") for x in a] and time.time() - began < 6
+
+
 def test_long_edit_distance():
     rng = random.Random(3)
     a, b = ("".join(rng.choices("abcdefgh ", k=20_000)) for _ in "ab")
