@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def chosen_rows(df: DataFrame, key: str, order: list, columns: tuple[str, ...], pick, added: dict[str, str] | None = None) -> DataFrame:
+def chosen_rows(df: DataFrame, key: str, order: list, columns: tuple[str, ...], pick, added: dict[str, str] | None = None, many: bool = False) -> DataFrame:
     """Rows of each group that `pick` chooses, in its order. It gets the group's columns as arrays,
-    in `order`, and returns places and an array for each of `added`, names and types of new
-    columns. Groups are dealt by a hash and sorted in their partitions, and a task goes through
+    in `order` (nested columns as Arrow arrays), and returns places and an array for each of
+    `added`, names and types of new columns. With `many` it gets whole runs of groups and before
+    the columns the places where groups begin and the last ends. Groups are dealt by a hash and sorted in their partitions, and a task goes through
     them batch by batch: a group's rows stand together, many groups share a batch. One group at
     a time is held whole, so groups must be such as a page or a table."""
     added = added or {}
@@ -36,10 +37,11 @@ def chosen_rows(df: DataFrame, key: str, order: list, columns: tuple[str, ...],
             yield from chosen(t, [0, t.num_rows])
 
     def chosen(t, cuts):
-        arrays = [t.column(c).to_numpy() for c in columns]
+        flat = [t.column(c).combine_chunks() for c in columns]
+        arrays = [a if pa.types.is_nested(a.type) else a.to_numpy(zero_copy_only=False) for a in flat]
         picked = []
-        for lo, hi in zip(cuts, cuts[1:]):
-            got = pick(*(a[lo:hi] for a in arrays))
+        for lo, hi in [(0, cuts[-1])] * bool(cuts[-1]) if many else zip(cuts, cuts[1:]):
+            got = pick(*([np.array(cuts)] if many else []), *(a[lo:hi] for a in arrays))
             places, *more = got if isinstance(got, tuple) else (got,)
             picked.append((lo + places, *more))
         if picked:

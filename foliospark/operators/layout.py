@@ -210,44 +210,45 @@ def nms(boxes: DataFrame, same: float = 0.6, different: float = 0.98) -> DataFra
     return chosen_rows(boxes, "page_id", [F.desc("score"), F.desc("box_idx")], ("cls_id", *BOX), pick, {"nms_rank": "int"})
 
 
-def _clipped(shape: np.ndarray, triangle: np.ndarray) -> np.ndarray:
+def _clipped(shape: list, triangle: list) -> list:
     """The part of a convex shape within a triangle of positive turn: half-plane by half-plane."""
-    for a, b in zip(triangle, np.roll(triangle, -1, 0)):
-        if not len(shape):
+    for k in range(3):
+        if not shape:
             break
-        side = (b[0] - a[0]) * (shape[:, 1] - a[1]) - (b[1] - a[1]) * (shape[:, 0] - a[0])
+        (ax, ay), (bx, by) = triangle[k], triangle[(k + 1) % 3]
+        dx, dy = bx - ax, by - ay
+        side = [dx * (y - ay) - dy * (x - ax) for x, y in shape]
         out = []
-        for p, q, s, t in zip(shape, np.roll(shape, -1, 0), side, np.roll(side, -1)):
+        for p, q, s, t in zip(shape, [*shape[1:], shape[0]], side, [*side[1:], side[0]]):
             if s >= 0:
                 out.append(p)
             if s * t < 0:
-                out.append(p + (q - p) * (s / (s - t)))
-        shape = np.array(out).reshape(-1, 2)
+                along = s / (s - t)
+                out.append((p[0] + (q[0] - p[0]) * along, p[1] + (q[1] - p[1]) * along))
+        shape = out
     return shape
 
 
-def _turn(shape: np.ndarray) -> float:
+def _turn(shape: list) -> float:
     """Twice the signed area of a polygon."""
-    x, y = shape.T
-    return float(x @ np.roll(y, -1) - y @ np.roll(x, -1))
+    turned = [*shape[1:], shape[0]]
+    return sum(p[0] * q[1] for p, q in zip(shape, turned)) - sum(p[1] * q[0] for p, q in zip(shape, turned))
 
 
 def polygon_overlap(a, b) -> float:
     """The common area of two polygons without self-crossings over the smaller of their areas. Each
     is the signed sum of its triangles about its first corner, so it needn't be convex."""
-    a, b = (np.array([tuple(p) for p in x], float).reshape(-1, 2) for x in (a, b))
+    a, b = ([(float(x), float(y)) for x, y in shape] for shape in (a, b))
     least = min(abs(_turn(a)), abs(_turn(b))) if min(len(a), len(b)) > 2 else 0.0
     if not least:
         return 0.0
     both = 0.0
-    fans = [[np.stack([x[0], x[i], x[i + 1]]) for i in range(1, len(x) - 1)] for x in (a, b)]
-    for s in fans[0]:
-        for t in fans[1]:
-            turns = _turn(s), _turn(t)
-            if turns[0] and turns[1]:
-                part = _clipped(s if turns[0] > 0 else s[::-1], t if turns[1] > 0 else t[::-1])
-                if len(part) > 2:
-                    both += _turn(part) * np.sign(turns[0]) * np.sign(turns[1])
+    fans = [[(t, turn) for i in range(1, len(x) - 1) if (turn := _turn(t := [x[0], x[i], x[i + 1]]))] for x in (a, b)]
+    for s, turn_s in fans[0]:
+        for t, turn_t in fans[1]:
+            part = _clipped(s if turn_s > 0 else s[::-1], t if turn_t > 0 else t[::-1])
+            if len(part) > 2:
+                both += _turn(part) * (1 if (turn_s > 0) == (turn_t > 0) else -1)
     return abs(both) / least
 
 
@@ -264,49 +265,68 @@ def greedy_overlap_filter(boxes: DataFrame, polygon: str | None = None) -> DataF
     corners as pairs, two boxes that both have one and whose polygons overlap by less than 0.7
     of the smaller both stay as well. On full pages a box is compared with those that touch it."""
 
-    def pick(labels, *given):
+    rules: dict[tuple, tuple[bool, bool, bool]] = {}
+
+    def rule(a, b):
+        """Of two labels: whether either is an inline formula, and whether both stay."""
+        shown = tuple(sorted(_SHOWS.get(x, "text") for x in (a, b)))
+        return a == "inline_formula", b == "inline_formula", a != b and shown in _BOTH_STAY
+
+    def pick(cuts, labels, *given):
         x1, y1, x2, y2 = (v.astype(float) for v in given[:4])
         shapes = given[4] if polygon else None
-        n, size = len(labels), np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+        size = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
 
         def ratio(i, j):
             w, h = np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j]), np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j])
             least = np.minimum(size[i], size[j])
             return np.maximum(w, 0) * np.maximum(h, 0) / np.where(least > 0, least, 1)
 
-        if n > MATRIX:
-            near = Neighbours(x1, y1, np.maximum(x1, x2), np.maximum(y1, y2))
-        else:
-            every = np.arange(n)
-            matrix = ratio(every[:, None], every)
-        alive = np.ones(n, bool)
-        for i in range(n):
-            # a tiny box goes when its turn comes
-            alive[i] &= bool(x2[i] - x1[i] >= 6 and y2[i] - y1[i] >= 6)
-            if not alive[i]:
-                continue
-            later = near.after(i) if n > MATRIX else np.arange(i + 1, n)
-            shares = ratio(i, later) if n > MATRIX else matrix[i, i + 1 :]
-            hits = (shares > 0.5) & alive[later]
-            for j, share in zip(later[hits], shares[hits]):
-                if not alive[i]:
-                    break
-                if not alive[j]:
+        # a tiny box goes when its turn comes: it may beat boxes before it, none behind it
+        lasts = (x2 - x1 >= 6) & (y2 - y1 >= 6)
+        alive = [True] * len(labels)
+
+        def settle(i, later):
+            """Pairs in the order of their turns; they count while both boxes live."""
+            shares = ratio(i, later)
+            hits = np.flatnonzero((shares > 0.5) & lasts[i])
+            for i, j, share in zip(i[hits].tolist(), later[hits].tolist(), shares[hits].tolist()):
+                if not (alive[i] and alive[j]):
                     continue
-                if "inline_formula" in (labels[i], labels[j]):
-                    alive[i] &= labels[i] != "inline_formula"
-                    alive[j] &= labels[j] != "inline_formula"
-                elif share > 0.7:
-                    shown = tuple(sorted(_SHOWS.get(x, "text") for x in (labels[i], labels[j])))
-                    stay = labels[i] != labels[j] and shown in _BOTH_STAY
-                    if not stay and shapes is not None and shapes[i] is not None and shapes[j] is not None:
-                        stay = polygon_overlap(shapes[i], shapes[j]) < 0.7
-                    if not stay:
-                        alive[j if size[i] >= size[j] else i] = False
-        return np.flatnonzero(alive)
+                pair = labels[i], labels[j]
+                if pair not in rules:
+                    rules[pair] = rule(*pair)
+                inline_i, inline_j, stay = rules[pair]
+                if inline_i or inline_j:
+                    alive[i], alive[j] = not inline_i, not inline_j
+                elif share > 0.7 and not stay:
+                    if shapes is not None and (a := shapes[i].as_py()) is not None and (b := shapes[j].as_py()) is not None and polygon_overlap(a, b) < 0.7:
+                        continue
+                    alive[j if size[i] >= size[j] else i] = False
+
+        # runs of small pages as all their pairs at once, a full page box by box
+        full = np.flatnonzero(np.diff(cuts) > MATRIX).tolist()
+        begin = 0
+        for k in [*full, len(cuts) - 1]:
+            if k > begin:
+                ends = np.repeat(cuts[begin + 1 : k + 1], np.diff(cuts[begin : k + 1]))
+                at = np.arange(cuts[begin], cuts[k])
+                after = ends - at - 1
+                first = np.repeat(at, after)
+                settle(first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(after) - after, after))
+            if k < len(cuts) - 1:
+                lo, hi = cuts[k], cuts[k + 1]
+                a, b, c, d = (v[lo:hi] for v in (x1, y1, x2, y2))
+                near = Neighbours(a, b, np.maximum(a, c), np.maximum(b, d))
+                for i in range(lo, hi):
+                    if alive[i] and lasts[i]:
+                        later = lo + near.after(i - lo)
+                        settle(np.full(len(later), i), later)
+            begin = k + 1
+        return np.flatnonzero(lasts & np.array(alive, bool))
 
     columns = ("label", *BOX, polygon) if polygon else ("label", *BOX)
-    return chosen_rows(boxes.where(F.coalesce(F.col("label") != "reference", F.lit(True))), "page_id", ["box_idx"], columns, pick)
+    return chosen_rows(boxes.where(F.coalesce(F.col("label") != "reference", F.lit(True))), "page_id", ["box_idx"], columns, pick, many=True)
 
 
 def numbered(rows: DataFrame, skip: Column, order: str, name: str = "order") -> DataFrame:
