@@ -157,3 +157,42 @@ def test_listing_in_tasks(spark, tmp_path):
     assert files.listed(spark, f"file://{tmp_path}/one/two", "*.txt").count() == 0
     texts = {r.stem: r.text for r in files.prediction_texts(spark, str(tmp_path), "a").collect()}
     assert texts == {"empty": "", "x y+z%20é": "text", "c": "text", "d": "text"}
+
+
+def test_html_of_random_tables(spark, monkeypatch):
+    """All tables of a batch at once against cells painted one by one; cells are worked out once."""
+    rng = random.Random(5)
+    tags = ("fcel", "fcel", "ecel", "lcel", "ucel", "xcel")
+    rows = [(k, r, c, rng.choice(tags), f"<{k}.{r}.{c}>") for k in range(300) for h, w in [(rng.randrange(1, 7), rng.randrange(1, 7))] for r in range(h) for c in range(w) if rng.random() < 0.95 or (k % 2)]
+    df = spark.createDataFrame(rows, "table_id int, r int, c int, tag string, text string").withColumn("text", F.when(F.col("tag") == "fcel", F.col("text")).otherwise(""))
+
+    def slowly(cells):
+        cells = sorted(cells)
+        spans, owner = {}, {}
+        for k, r, c, tag, text in cells:
+            right = [x for x in cells if x[1] == r and x[2] > c]
+            down = [x for x in cells if x[2] == c and x[1] > r]
+            end_c = min([x[2] for x in right if x[3] not in ("lcel", "xcel")] or [max([x[2] for x in right], default=c) + 1])
+            end_r = min([x[1] for x in down if x[3] not in ("ucel", "xcel")] or [max([x[1] for x in down], default=r) + 1])
+            spans[r, c] = end_r - r, end_c - c
+            if tag in ("fcel", "ecel"):
+                owner |= {(y, x): (r, c) for y in range(r, end_r) for x in range(c, end_c)}
+        out = ""
+        for r in sorted({x[1] for x in cells}):
+            out += "<tr>"
+            for _, _, c, tag, text in [x for x in cells if x[1] == r]:
+                if (r, c) not in owner:
+                    out += "<td></td>"
+                elif owner[r, c] == (r, c):
+                    y, x = spans[r, c]
+                    shown = text.replace("<", "&lt;").replace(">", "&gt;") if tag == "fcel" else ""
+                    out += "<td" + (f' rowspan="{y}"' if y > 1 else "") + (f' colspan="{x}"' if x > 1 else "") + f">{shown}</td>"
+            out += "</tr>"
+        return f"<table>{out}</table>"
+
+    want = {k: slowly([x for x in rows if x[0] == k]) for k in {x[0] for x in rows}}
+    for much in (8, -1000):
+        monkeypatch.setattr(table_markup, "_MUCH", much)
+        got = table_markup.html_tables(df)
+        assert {r.table_id: r.html for r in got.collect()} == want
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ExistingRDD") == 1
