@@ -138,7 +138,9 @@ def prediction_texts(spark: SparkSession, folder: str, excluded: str | None = No
 
 def write_named_texts(rows: DataFrame, folder: str, name: str, text: str) -> DataFrame:
     """Writes each row's text to the file that `name` says, in `folder` of any file system that
-    pyarrow opens; returns (name, bytes). A repeated task writes the same files again."""
+    pyarrow opens; returns (name, bytes). A repeated task writes the same files again. Bytes go
+    to the file from the Arrow batch, as they are and a text at a time, so a task holds no more
+    than the batch, which Spark bounds (spark.sql.execution.arrow.maxBytesPerBatch)."""
     at = _uri(folder)
 
     def run(batches):
@@ -148,8 +150,8 @@ def write_named_texts(rows: DataFrame, folder: str, name: str, text: str) -> Dat
         system.create_dir(base, recursive=True)
         for batch in batches:
             sizes = []
-            for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = (t or "").encode("utf-8", "surrogatepass")
+            for n, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = t.as_buffer() if t.is_valid else b""
                 with system.open_output_stream(f"{base}/{n}", compression=None) as out:
                     out.write(data)
                 sizes.append(len(data))

@@ -196,3 +196,12 @@ def test_html_of_random_tables(spark, monkeypatch):
         got = table_markup.html_tables(df)
         assert {r.table_id: r.html for r in got.collect()} == want
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ExistingRDD") == 1
+
+
+def test_texts_are_written_as_they_are(spark, tmp_path):
+    """Bytes of a batch go to the files one text at a time and are not decoded: bytes that are no
+    UTF-8, empty texts and null."""
+    rows = spark.sql("SELECT concat('n', id) AS name, CASE WHEN id = 0 THEN NULL WHEN id = 1 THEN '' WHEN id = 2 THEN CAST(X'61FF62' AS STRING) ELSE 'é漢𝄞' END AS text FROM range(4)")
+    got = {r.name: r.bytes for r in files.write_named_texts(rows, str(tmp_path / "out"), "name", "text").collect()}
+    read = {n: (tmp_path / "out" / n).read_bytes() for n in got}
+    assert read == {"n0": b"", "n1": b"", "n2": b"a\xffb", "n3": "é漢𝄞".encode()} and got == {n: len(b) for n, b in read.items()}
