@@ -397,6 +397,23 @@ def test_repeats_odd_tables(spark, no_docs):
     assert got == [("1", 0), ("1", 0), ("2", 402), ("None", 400), ("None", 400)]
 
 
+def test_planted_passages(spark):
+    """Passages of over 50 words in two documents go from both if they have 400 bytes, and stay if
+    they have fewer; documents without a repeat keep their text. n_bytes tells nothing of that."""
+    rng = random.Random(12)
+    clean = [prose(rng, 200) for _ in range(20)]
+    passages = ["".join(" " + "".join(rng.choices("klmnop", k=k)) for _ in range(51))[1:] for k in (9, 8, 7, 6, 4, 2)]
+    assert sorted(map(len, passages)) == [152, 254, 356, 407, 458, 509]
+    texts = clean + [prose(rng, 40) + " " + p + " " + prose(rng, 30) for p in passages for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_array.remove_repeats(df, keep=("doc_id",)).collect()}
+    assert [got[i].kept_text for i in range(len(clean))] == clean
+    for i, p in enumerate(p for p in passages for _ in range(2)):
+        r = got[len(clean) + i]
+        assert (p in r.kept_text, r.n_removed > 0) == ((True, False) if len(f" {p} ") < 400 else (False, True))
+    assert [got[i].n_bytes for i in range(len(texts))] == [len(t) for t in texts]
+
+
 @pytest.mark.parametrize("copies,words", [(50, 0), (50, 12)])
 def test_rows_repeated_in_full(spark, copies, words):
     """Any number of equal rows beside rows that share parts with them, against counting."""
