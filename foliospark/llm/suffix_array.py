@@ -14,10 +14,14 @@ from pyspark.sql import types as T
 from foliospark.llm.common import compressed, mix, release, small, stored, table, unpacked
 
 MIN_BYTES = 400
+#: Words of a repeated passage that the query tells of beside repeats of MIN_BYTES: "over 50 words".
+PASSAGE_WORDS = 51
 #: Suffixes of a bucket, which one task sorts in memory (24 bytes each).
 BUCKET = 1 << 20
 #: Words of an anchor of a window of words, and words that are worked on at once.
 BLOCK, STRETCH = 5, 4000
+#: Bytes of texts whose words are found at once.
+LOT = 1 << 17
 #: Bytes that are worked on at once, whatever the length of a text.
 SEGMENT = 1 << 20
 
@@ -205,14 +209,37 @@ def _sort_and_compare(batches):
     yield rows(np.flatnonzero(inner), n, False)
 
 
-def word_places(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """The text's bytes, and where its words begin and end. White space, as Python knows it, stands
-    between words."""
+def _marked(text: str) -> tuple[bytes, bytes]:
+    """The text's bytes, and the same with any wide white space as blanks."""
     data = text.encode("utf-8", "surrogatepass")
-    marks = data if text.isascii() else _WIDE.sub(lambda m: " " * len(m[0].encode()), text).encode("utf-8", "surrogatepass")
+    return data, data if text.isascii() else _WIDE.sub(lambda m: " " * len(m[0].encode()), text).encode("utf-8", "surrogatepass")
+
+
+def _turns(marks: bytes) -> tuple[np.ndarray, np.ndarray]:
     space = np.concatenate([[True], _SPACE[np.frombuffer(marks, np.uint8)], [True]])
     turn = np.flatnonzero(space[1:] != space[:-1])
-    return data, turn[::2], turn[1::2]
+    return turn[::2], turn[1::2]
+
+
+def word_places(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text's bytes, and where its words begin and end. White space, as Python knows it, stands
+    between words."""
+    data, marks = _marked(text)
+    return data, *_turns(marks)
+
+
+def lots(keys: list[int], texts, gap: int):
+    """Texts of some LOT bytes in one buffer, with `gap` blanks between two: (keys, where each text
+    starts, bytes, where words begin and end)."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        held.append(_marked(text.as_py() or ""))
+        size += len(held[-1][0]) + gap
+        if size >= LOT or i + 1 == len(keys):
+            data, marks = ((b" " * gap).join(x) for x in zip(*held))
+            starts = np.cumsum([0] + [len(d) + gap for d, _ in held[:-1]])
+            yield np.array(keys[i + 1 - len(held) : i + 1]), starts, data, *_turns(marks)
+            held, size = [], 0
 
 
 def word_runs(data: bytes, s: np.ndarray, e: np.ndarray, words: int, size: int, roll: Roller):
@@ -226,7 +253,13 @@ def word_runs(data: bytes, s: np.ndarray, e: np.ndarray, words: int, size: int,
     # no such window reaches over a word that stands `size` bytes before the next one, and
     # STRETCH words between two of these have at most so many times `size` bytes
     cuts = [0, *(np.flatnonzero(np.diff(s) >= size) + 1).tolist(), len(s)]
-    for a, b in zip(cuts, cuts[1:]):
+    parts: list[list[int]] = []
+    for a, b in zip(cuts, cuts[1:]):  # short ones at once; no short window reaches over a cut
+        if parts and b - parts[-1][0] <= STRETCH and e[b - 1] - s[parts[-1][0]] <= roll.longest:
+            parts[-1][1] = b
+        else:
+            parts.append([a, b])
+    for a, b in parts:
         for lo in range(a, b - words + 1, STRETCH - words + 1):
             hi = min(b, lo + STRETCH)
             at = np.flatnonzero(short[lo : hi - words + 1])
@@ -260,10 +293,10 @@ def repeated_words(docs: DataFrame, words: int, size: int) -> DataFrame:
         roll = Roller(1, STRETCH * size)
         for batch in small(batches):
             out: list[list] = [[] for _ in range(6)]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data, s, e = word_places(text.as_py() or "")
+            for keys, starts, data, s, e in lots(batch.column(0).to_pylist(), batch.column(1), size):
                 for k, c, first, n in word_runs(data, s, e, words, size, roll):
-                    row = np.full(len(k), key), k.view(np.int64), c.view(np.int64), s[first], n, e[first + n + words - 2] - s[first]
+                    own = np.searchsorted(starts, s[first], "right") - 1
+                    row = keys[own], k.view(np.int64), c.view(np.int64), s[first] - starts[own], n, e[first + n + words - 2] - s[first]
                     for held, v in zip(out, row):
                         held.append(v)
             if out[0]:
@@ -356,12 +389,29 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, keep: tuple[str, ...] = (), with_text: bool = True, words: int = 0) -> DataFrame:
+def condensed(packed: np.ndarray) -> list[dict]:
+    """Maximal runs of ranges that are given as s << 32 | n, as `merged` takes them."""
+    if not len(packed):
+        return []
+    v = np.sort(packed)
+    s, e = v >> 32, np.maximum.accumulate((v >> 32) + (v & 0xFFFFFFFF))
+    head = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
+    last = np.concatenate([head[1:], [len(v)]]) - 1
+    return [{"s": a, "n": b - a} for a, b in zip(s[head].tolist(), e[last].tolist())]
+
+
+def without(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
+    return b"".join(data[a:b] for a, b in zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(data)]))
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, keep: tuple[str, ...] = (), with_text: bool = True, words: int = 0, passages: int = 0) -> DataFrame:
     """Every byte that a repeated string of `size` bytes covers is removed, in all its places;
     with words, so is every repeated passage of so many words, however short they are.
 
     Returns the columns `keep`, n_bytes, n_removed, n_spans, kept_sha256 and, with with_text,
     kept_text: the bytes that are left as text, without characters of which a byte went.
+    With passages, n_passage_bytes follows: the bytes that are in such a string or in a repeated
+    passage of so many words. All other columns stay as they are without.
     Every row is a document of its own: rows repeated in full are copies of each other, and
     texts of `size` bytes or more that occur twice are removed wholly. Null and shorter texts
     have no such string and stay whole. Rows are told apart by a 64-bit hash of all kept
@@ -371,33 +421,49 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, k
     """
     key = F.xxhash64(*[F.col(c) for c in keep], F.col(text)).alias("__key")
     mine = docs.select(*[F.col(c) for c in keep], key, F.col(text).alias("__text"))
-    spans = repeated_spans(mine.select(F.col("__key").alias("key"), F.col("__text").alias("text")), size, words).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    texts = mine.select(F.col("__key").alias("key"), F.col("__text").alias("text"))
+    spans = repeated_spans(texts, size, words).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    if passages:
+        # (one long a range, as there may be one for every word)
+        place = F.shiftleft(F.col("span.s").cast("long"), 32).bitwiseOR(F.col("span.n").cast("long"))
+        short = repeated_words(texts, passages, size).groupBy(F.col("key").alias("__key")).agg(F.collect_set(place).alias("__short"))
+        spans = spans.join(short, "__key", "full")
     schema = T.StructType(
         [docs.schema[c] for c in keep]
         + [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
         + ([T.StructField("kept_text", T.StringType())] if with_text else [])
+        + ([T.StructField("n_passage_bytes", T.LongType())] if passages else [])
     )
+    places = ["__spans", *["__short"] * bool(passages)]
 
     def run(batches):
         for batch in small(batches):
-            rows: list[list] = [[] for _ in range(5)]
-            for text, ranges in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+            rows: list[list] = [[] for _ in range(6)]
+            more = batch.column(len(keep) + 2) if passages else pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+            for text, ranges, places_ in zip(batch.column(len(keep)), batch.column(len(keep) + 1), more):
                 data = unpacked(text)
-                cuts = merged(ranges.as_py())
-                left = b"".join(data[a:b] for a, b in zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(data)]))
-                for held, v in zip(rows, (len(data), len(data) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))):
+                spans = ranges.as_py() or []
+                short = condensed(places_.values.to_numpy()) if places_.is_valid else []
+                cuts = merged(spans)
+                left = without(data, cuts)
+                gone = sum(e - s for s, e in merged(spans + short))
+                told = len(data), len(data) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"), gone
+                for held, v in zip(rows, told):
                     held.append(v)
-            cols = [pa.array(rows[i], pa.int64()) for i in range(3)] + [pa.array(rows[i], pa.string()) for i in range(3, 5)][: 1 + with_text]
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+            asked = [*range(4), *[4] * with_text, *[5] * bool(passages)]
+            cols = [pa.array(rows[i], kinds[i]) for i in asked]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=schema.names)
 
     packed = T.StructType([*mine.schema.fields[:-1], T.StructField("__text", T.BinaryType())])
-    joined = mine.mapInArrow(compressed, packed).join(spans.hint("merge"), "__key", "left").select(*[F.col(c) for c in keep], "__text", "__spans")
+    joined = mine.mapInArrow(compressed, packed).join(spans.hint("merge"), "__key", "left").select(*[F.col(c) for c in keep], "__text", *places)
     return joined.mapInArrow(run, schema)
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of 400 bytes in all documents, with the text that is left of each."""
-    return remove_repeats(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    """Repeats of 400 bytes in all documents, with the text that is left of each; beside them, in a
+    column of its own, what passages of over 50 words that repeat have, however short they are."""
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=("doc_id",), passages=PASSAGE_WORDS)
 
 
 QUERIES = {"op9_suffix_array": op9_suffix_array}

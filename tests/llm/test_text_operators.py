@@ -414,6 +414,30 @@ def test_planted_passages(spark):
     assert [got[i].n_bytes for i in range(len(texts))] == [len(t) for t in texts]
 
 
+def test_passages_under_400_bytes(spark, tmp_path):
+    """The query tells of repeated passages of 51 words of any length beside its repeats of 400 bytes:
+    bytes of those against counting, the other columns as they are by 400 bytes alone."""
+    rng = random.Random(21)
+    word = lambda k: "".join(rng.choices("klmnopé", k=k))
+    clean = [prose(rng, 150) for _ in range(10)]
+    passages = [" ".join(word(k) for _ in range(n)) for k, n in ((1, 51), (2, 60), (4, 55), (5, 51), (9, 51), (4, 50))]
+    texts = clean + [prose(rng, 40) + " " + p + " " + prose(rng, 30) for p in passages for _ in range(2)]
+    texts += [passages[1] + "\n" + passages[1], passages[0], passages[2].replace(" ", "  "), None, "", clean[0] + " " + passages[3]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_array.op9_suffix_array(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == removed(texts, 400)
+    places = [suffix_array.word_places(t or "") for t in texts]
+    windows = [[(int(a), int(b)) for a, b in zip(s, e[50:])] for _, s, e in places]
+    seen = Counter(places[i][0][a:b] for i, w in enumerate(windows) for a, b in w)
+    strings = Counter(d[k : k + 400] for d, *_ in places for k in range(len(d) - 399))
+    for i, (d, *_) in enumerate(places):
+        gone = {x for a, b in windows[i] if seen[d[a:b]] > 1 for x in range(a, b)}
+        gone |= {x for k in range(len(d) - 399) if strings[d[k : k + 400]] > 1 for x in range(k, k + 400)}
+        assert got[i].n_passage_bytes == len(gone)
+    assert [got[i].n_passage_bytes > 0 for i in range(10, 22)] == [True] * 10 + [False] * 2
+    assert sum(got[i].n_removed == 0 < got[i].n_passage_bytes for i in got) > 6
+
+
 @pytest.mark.parametrize("copies,words", [(50, 0), (50, 12)])
 def test_rows_repeated_in_full(spark, copies, words):
     """Any number of equal rows beside rows that share parts with them, against counting."""
